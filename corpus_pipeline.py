@@ -1,8 +1,68 @@
-"""A corpus pipeline of the text operators: filter, deduplicate, pack."""
+"""A corpus pipeline of the text operators: filter, deduplicate, pack.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
+kept. All but the last return the columns of ``documents``; the last returns the
+place of every piece of every document in its training sequence. No SQL states
+the stages (a fitted classifier, a random field, SimHash, a search), so the tests
+hold them against brute force.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loglattice.llm import langid, toxicity
+from loglattice.llm.common import durable, table
+from loglattice.llm.exact_dedup import exact_groups, keep_first_copies
+from loglattice.llm.packing import pack_documents
+from loglattice.llm.simhash import near_groups
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose expected severity is below the limit; fitted on ``labels``."""
+    return toxicity.keep_civil(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told; fitted on the documents themselves."""
+    return langid.keep_identified(docs, langid.fit(docs))
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the row with the largest doc_id."""
+    return keep_first_copies(docs, exact_groups(docs).where("kept").select("doc_id"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates, the document with the smallest doc_id."""
+    return keep_first_copies(docs, near_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, packed into sequences."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("language_id", drop_unidentified),
+    ("exact_dedup", drop_exact_copies),
+    ("simhash_near_dedup", drop_near_copies),
+    ("best_fit_packing", pack),
+]
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what a stage keeps is checkpointed for the next."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = durable(docs)
+    return docs

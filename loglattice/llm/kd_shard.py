@@ -47,7 +47,9 @@ class Node:
 
     first: int
     leaves: int
-    dim: int = -1
+    dim: int = 0
+    low: int = 0
+    high: int = 1
     cut: int = 0
     below: Node | None = None
     above: Node | None = None
@@ -91,13 +93,15 @@ def keyed(found: DataFrame, n: int) -> DataFrame:
 
 
 def widest(rows: DataFrame, root: Node, nodes: list[Node], n: int) -> dict[int, int]:
-    """The weight of each frontier node; sets the dimension that its points lie widest in."""
-    spans = [(F.max(f"k{k}") - F.min(f"k{k}")).alias(f"s{k}") for k in range(n)]
+    """The weight of each frontier node; sets the dimension that its points lie widest in, and their bounds."""
+    spans = [f(f"k{k}").alias(f"{f.__name__}{k}") for k in range(n) for f in (F.min, F.max)]
     found = rows.groupBy(root.column().alias("node")).agg(F.sum("size").alias("w"), *spans).collect()
     stats = {row.node: row for row in found}
     for node in nodes:
         row = stats.get(node.first)
-        node.dim = max(range(n), key=lambda k: (row[f"s{k}"] >> (CHECK + WITHIN), -k)) if row else 0
+        if row:
+            node.dim = max(range(n), key=lambda k: ((row[f"max{k}"] >> CHECK + WITHIN) - (row[f"min{k}"] >> CHECK + WITHIN), -k))
+            node.low, node.high = row[f"min{node.dim}"], row[f"max{node.dim}"] + 1
     return {node.first: stats[node.first].w if node.first in stats else 0 for node in nodes}
 
 
@@ -106,7 +110,7 @@ def find_cuts(rows: DataFrame, root: Node, nodes: list[Node], weights: dict[int,
     # Of each open search: [lower end, upper end, weight below the lower end, weight to be below the cut]
     open_: dict[int, list] = {}
     for node in nodes:
-        open_[node.first] = [0, 1 << (COORDINATE + CHECK + WITHIN), 0, weights[node.first] * (node.leaves // 2) / node.leaves]
+        open_[node.first] = [node.low >> WITHIN << WITHIN, node.high, 0, weights[node.first] * (node.leaves // 2) / node.leaves]
     by_first = {node.first: node for node in nodes}
     while open_:
         here = F.col("node")
