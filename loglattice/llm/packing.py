@@ -21,6 +21,7 @@ is packed like any other; further columns are not looked at.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +39,9 @@ EXTRA_NODES = 4000
 #: Fillings that are enumerated at a node.
 FILLINGS = 4
 
+#: Marks that may stand behind a word, and the end of the letters that have one lower case each.
+MARKS, LATIN_END = ".,;:!?", "\u0130"
+
 PIECES_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 IDS_SCHEMA = PIECES_SCHEMA + ", ids array<int>"
 
@@ -52,11 +56,23 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo = BoundedMemo(300_000)
+        self.memo, self.words = BoundedMemo(250_000), BoundedMemo(250_000)
+        self.marks = dict(zip(MARKS, self._encode(list(MARKS)), strict=True)) | {"": b""}
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [array("I", x.ids).tobytes() for x in found]
 
     def _compute(self, chunks: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return [np.array(x.ids, np.uint32).tobytes() for x in found]
+        """A word and a mark behind it are encoded apart, and Latin words in lower case, as the tokenizer itself does."""
+        parts = []
+        for chunk in chunks:
+            mark = chunk[-1:] if chunk[-1:] in self.marks and chunk[-2:-1].isalpha() and chunk[-2] < LATIN_END else ""
+            word = chunk[:-1] if mark else chunk
+            parts.append((word.lower() if word and max(word) < LATIN_END else word, mark))
+        self.words.admit({word for word, _ in parts}, self._encode)
+        known, marks = self.words.young, self.marks
+        return [known[word] + marks[mark] for word, mark in parts]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
