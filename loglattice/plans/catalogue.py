@@ -1,12 +1,610 @@
-"""Registered queries of the event-log engine and the SQL that they must equal."""
+"""Registered queries of the event-log engine and the SQL that they must equal.
+
+The driver's ``events`` stand for decoded logs: the hour is the block, the user
+the transaction, the event's number the log. Money is in whole cents, 256-bit
+numbers are shown in decimal, bytes in hexadecimal.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from loglattice.functions import abi, dec256, hexes, u256
+from loglattice.functions.signature import parse_event
+from loglattice.functions.types import ORDER
+from loglattice.operators import compaction, fold, latest, lookup, metrics
 
-FLAGSHIP = "latest_per_key"
+FLAGSHIP = "flagship_positions_top"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: Blocks are hours since 1970; a fixed one that some of the rows lie above.
+EVENTS_SQL = """
+    events_ AS (
+        SELECT event_id, user_id, event_type, ts, 1 + user_id % 3 AS chain_id, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS block_number,
+               user_id AS transaction_index, event_id AS log_index, CAST(round(value * 100) AS BIGINT) AS cents, props
+        FROM events)
+"""
+
+
+def register(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name; ``{events}`` in the SQL is the common view."""
+
+    def add(query: Query) -> Query:
+        QUERIES[query.__name__] = query
+        if sql is not None:
+            ORACLE_SQL[query.__name__] = sql.replace("{events}", EVENTS_SQL)
+        return query
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def chain_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(
+        "event_id",
+        "user_id",
+        "event_type",
+        "ts",
+        (1 + F.col("user_id") % 3).alias("chain_id"),
+        F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts) div 3600").alias("block_number"),
+        F.col("user_id").alias("transaction_index"),
+        F.col("event_id").alias("log_index"),
+        F.round(F.col("value") * 100).cast("long").alias("cents"),
+        "props",
+    )
+
+
+def blocks_of(share: float) -> str:
+    """SQL of the block at a share of the way from the first to the last."""
+    return f"(SELECT min(block_number) + CAST(floor((max(block_number) - min(block_number)) * {share}) AS BIGINT) FROM events_)"
+
+
+def block_at(events: DataFrame, share: float) -> int:
+    low, high = events.agg(F.min("block_number"), F.max("block_number")).first()
+    return low + int((high - low) * share)
+
+
+def address_of(number: Column) -> Column:
+    """A number as 20 bytes."""
+    return F.substring(u256.from_long(number), 13, 20)
+
+
+ADDRESS_SQL = "'0x' || lpad(lower(to_hex({0})), 40, '0')"
+
+
+@register(
+    """
+    WITH {events},
+    transfers AS (SELECT CASE WHEN user_id % 50 = 0 THEN 0 ELSE user_id END AS s, (user_id * 7 + event_id) % 1000 AS r, cents AS v, block_number FROM events_),
+    sides AS (
+        SELECT s AS a, 0 AS value_in, v AS value_out, block_number FROM transfers WHERE s <> 0
+        UNION ALL SELECT r, v, 0, block_number FROM transfers WHERE r <> 0)
+    SELECT '0x' || lpad(lower(to_hex(a)), 40, '0') AS address, CAST(sum(value_in) AS VARCHAR) AS total_in, CAST(sum(value_out) AS VARCHAR) AS total_out,
+           count(*) AS transfer_count, CAST(sum(value_in) - sum(value_out) AS VARCHAR) AS balance, max(block_number) AS updated_at_block
+    FROM sides GROUP BY a ORDER BY sum(value_in) - sum(value_out) DESC, a LIMIT 20
+    """
+)
+def flagship_positions_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transfers folded into positions; the twenty largest balances."""
+    sender = F.when(F.col("user_id") % 50 == 0, F.lit(0)).otherwise(F.col("user_id"))
+    transfers = chain_events(spark, sf_dir).select(
+        address_of(sender).alias("from"), address_of((F.col("user_id") * 7 + F.col("event_id")) % 1000).alias("to"), u256.from_long(F.col("cents")).alias("value"), F.col("ts").alias("block_timestamp"), *ORDER
+    )
+    held = fold.transfer_positions(transfers)
+    worth = u256.sub(F.col("total_in"), F.col("total_out"))
+    ranked = held.withColumn("_worth", dec256.order_key(worth)).orderBy(F.desc("_worth"), "address").limit(20)
+    return ranked.select(
+        hexes.hex_text(F.col("address")).alias("address"), u256.to_text(F.col("total_in")).alias("total_in"), u256.to_text(F.col("total_out")).alias("total_out"), "transfer_count",
+        fold.balance(F.col("total_in"), F.col("total_out")).alias("balance"), "updated_at_block",
+    )
+
+
+LIVE = "SELECT event_id, user_id, event_type, block_number, cents"
+
+
+@register(f"WITH {{events}} {LIVE} FROM events_ QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY block_number DESC, transaction_index DESC, log_index DESC) = 1")
+def live_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chain_events(spark, sf_dir).select("event_id", "user_id", "event_type", "cents", *ORDER)
+    return latest.latest(rows, ["user_id"]).select("event_id", "user_id", "event_type", "block_number", "cents")
+
+
+@register(
+    f"WITH {{events}} {LIVE} FROM events_ WHERE block_number <= {blocks_of(0.5)} QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY block_number DESC, transaction_index DESC, log_index DESC) = 1"
+)
+def live_view_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = chain_events(spark, sf_dir)
+    rows = events.select("event_id", "user_id", "event_type", "cents", *ORDER)
+    return latest.as_of(rows, ["user_id"], block_at(events, 0.5)).select("event_id", "user_id", "event_type", "block_number", "cents")
+
+
+@register(
+    f"WITH {{events}} {LIVE} FROM events_ QUALIFY row_number() OVER (PARTITION BY user_id, block_number // 100 ORDER BY block_number DESC, transaction_index DESC, log_index DESC) = 1"
+)
+def bucket_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chain_events(spark, sf_dir).select("event_id", "user_id", "event_type", "cents", *ORDER)
+    return latest.latest_by_bucket(rows, ["user_id"], 100).select("event_id", "user_id", "event_type", "block_number", "cents")
+
+
+@register(
+    """
+    SELECT event_id, user_id, event_type, value FROM (
+        SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS r FROM events) WHERE r = 1
+    """
+)
+def replacing_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    return latest.latest_version(rows, ["user_id", "event_type"], "event_id")
+
+
+@register(
+    f"""
+    WITH {{events}},
+    head AS (SELECT max(block_number) AS h, min(block_number) + 24 AS lower_ FROM events_),
+    candidates AS (SELECT * FROM events_ WHERE block_number > (SELECT lower_ FROM head) AND block_number <= (SELECT h - 10 FROM head)),
+    keep AS (
+        SELECT user_id, block_number, transaction_index, log_index FROM candidates
+        QUALIFY row_number() OVER (PARTITION BY user_id, block_number // 50 ORDER BY block_number DESC, transaction_index DESC, log_index DESC) = 1)
+    SELECT event_id, user_id, block_number FROM events_
+    WHERE NOT (block_number > (SELECT lower_ FROM head) AND block_number <= (SELECT h - 10 FROM head)
+               AND user_id IN (SELECT user_id FROM candidates)
+               AND (user_id, block_number, transaction_index, log_index) NOT IN (SELECT (user_id, block_number, transaction_index, log_index) FROM keep))
+    """
+)
+def compaction_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chain_events(spark, sf_dir).select("event_id", "user_id", *ORDER)
+    low, high = rows.agg(F.min("block_number"), F.max("block_number")).first()
+    return compaction.compacted(rows, ["user_id"], 50, high, low + 24, margin=10).select("event_id", "user_id", "block_number")
+
+
+@register(
+    f"""
+    WITH {{events}}
+    SELECT chain_id, count(*) AS n, sum(CASE WHEN block_number <= {blocks_of(0.5)} OR chain_id <> 2 THEN 0 ELSE 1 END)::BIGINT AS deleted FROM events_ GROUP BY chain_id
+    """
+)
+def rollback_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chain_events(spark, sf_dir).select("chain_id", "block_number")
+    kept = compaction.rolled_back(rows, block_at(rows, 0.5), 2).groupBy("chain_id").agg(F.count("*").alias("kept"))
+    return rows.groupBy("chain_id").agg(F.count("*").alias("n")).join(kept, "chain_id", "left").select("chain_id", "n", (F.col("n") - F.coalesce("kept", F.lit(0))).alias("deleted"))
+
+
+SYNC_SQL = "sync AS (SELECT chain_id, block_number AS last_block, ts AS updated_at, block_number - 12 AS finalized_block FROM events_)"
+
+
+def sync_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chain_events(spark, sf_dir).select("chain_id", F.col("block_number").alias("last_block"), F.col("ts").alias("updated_at"), (F.col("block_number") - 12).alias("finalized_block"))
+
+
+@register(f"WITH {{events}}, {SYNC_SQL} SELECT * FROM sync QUALIFY row_number() OVER (PARTITION BY chain_id ORDER BY updated_at DESC, last_block DESC) = 1")
+def sync_state_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.latest_checkpoint(sync_rows(spark, sf_dir))
+
+
+@register(f"WITH {{events}}, {SYNC_SQL} SELECT chain_id, last_block, count(*) AS n FROM sync WHERE chain_id <> 1 OR last_block >= {blocks_of(0.8)} GROUP BY ALL")
+def sync_state_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sync_rows(spark, sf_dir)
+    edge = block_at(rows.withColumnRenamed("last_block", "block_number"), 0.8)
+    return compaction.truncated(rows, edge, 1).groupBy("chain_id", "last_block").agg(F.count("*").alias("n"))
+
+
+@register("WITH {events} SELECT event_id, block_number FROM events_ WHERE block_number >= (SELECT quantile_cont(block_number, 0.95) FROM events_)")
+def recovery_floor_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.recovery_rows(chain_events(spark, sf_dir).select("event_id", "block_number"))
+
+
+@register("WITH {events} SELECT coalesce(max(block_number), 0) AS last, count(*) AS n FROM events_ WHERE event_type = 'click'")
+def high_water(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.high_water(chain_events(spark, sf_dir).where("event_type = 'click'"))
+
+
+@register("WITH {events} SELECT coalesce(max(block_number), 0) AS last, count(*) AS n FROM events_ WHERE event_type = 'none'")
+def high_water_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.high_water(chain_events(spark, sf_dir).where("event_type = 'none'"))
+
+
+@register(
+    """
+    WITH {events},
+    state AS (SELECT user_id, cents AS state_cents FROM events_ WHERE event_type = 'purchase'
+              QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY block_number DESC, transaction_index DESC, log_index DESC) = 1)
+    SELECT event_id, user_id, state_cents, state_cents IS NOT NULL AS found FROM events_ LEFT JOIN state USING (user_id) WHERE event_type = 'click'
+    """
+)
+def keyed_lookup_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = chain_events(spark, sf_dir)
+    history = events.where("event_type = 'purchase'").select("user_id", "cents", *ORDER)
+    clicks = events.where("event_type = 'click'").select("event_id", "user_id")
+    return lookup.lookup(clicks, history, ["user_id"]).select("event_id", "user_id", "state_cents", "found")
+
+
+@register("WITH {events} SELECT DISTINCT block_number, user_id FROM events_")
+def prefetch_readset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookup.read_set(chain_events(spark, sf_dir), "block_number", "user_id")
+
+
+@register(
+    """
+    WITH {events},
+    gone AS (SELECT DISTINCT user_id FROM events_ WHERE event_type = 'error')
+    SELECT DISTINCT user_id FROM events_ WHERE user_id NOT IN (SELECT user_id FROM gone)
+    """
+)
+def tombstone_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = chain_events(spark, sf_dir)
+    gone = events.where("event_type = 'error'").select("user_id").distinct()
+    return lookup.known_absent(events.select("user_id").distinct(), gone, ["user_id"])
+
+
+@register(
+    """
+    WITH {events}
+    SELECT event_id, CASE WHEN event_type = 'purchase' THEN 'purchase_events' ELSE 'view_events' END AS route FROM events_
+    WHERE event_type = 'purchase' AND user_id IN (SELECT c_custkey FROM customer WHERE c_nationkey < 10) OR event_type = 'view'
+    """
+)
+def event_router(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics to tables: one asks for certain addresses, the other for any."""
+    events = chain_events(spark, sf_dir).select("event_id", "event_type", "user_id")
+    known = table(spark, sf_dir, "customer").where("c_nationkey < 10").select("c_custkey")
+    bought = lookup.in_set(events.where("event_type = 'purchase'"), "user_id", known, lower=False)
+    seen = events.where("event_type = 'view'")
+    named = [rows.select("event_id", F.lit(name).alias("route")) for rows, name in ((bought, "purchase_events"), (seen, "view_events"))]
+    return named[0].unionByName(named[1])
+
+
+@register("SELECT event_id, coalesce(json_extract_string(props, '$.k'), '') AS k, coalesce(json_extract_string(props, '$.missing'), '') AS missing FROM events WHERE event_type = 'click'")
+def event_view_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    get = lambda name: F.coalesce(F.get_json_object("props", f"$.{name}"), F.lit("")).alias(name)
+    return table(spark, sf_dir, "events").where("event_type = 'click'").select("event_id", get("k"), get("missing"))
+
+
+@register("""WITH {events} SELECT event_id, '{"kind":"' || event_type || '","user":"' || user_id || '","value":"' || cents || '"}' AS params FROM events_""")
+def params_to_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = F.struct(F.col("event_type").alias("kind"), u256.to_text(u256.from_long(F.col("user_id"))).alias("user"), u256.to_signed_text(u256.from_long(F.col("cents"))).alias("value"))
+    return chain_events(spark, sf_dir).select("event_id", F.to_json(shown).alias("params"))
+
+
+@register("SELECT c_custkey, '0x' || substr(md5(c_name), 1, 40) AS address, lower(c_name) AS name FROM customer")
+def addr_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = hexes.lenient_bytes(F.concat(F.lit("0X"), F.upper(F.md5(F.col("c_name").cast("binary"))))).alias("raw")
+    back = table(spark, sf_dir, "customer").select("c_custkey", raw, F.lower("c_name").alias("name"))
+    return back.select("c_custkey", hexes.hex_text(F.col("raw")).alias("address"), "name")
+
+
+@register(
+    """
+    SELECT o_orderkey, '0x' || lpad(lower(to_hex(o_custkey)), 40, '0') AS owner, CAST(o_orderkey AS VARCHAR) AS amount, o_orderstatus = 'F' AS closed, lower(to_hex(o_orderkey % 256)) AS tail
+    FROM orders
+    """
+)
+def abi_static_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words built from orders and decoded as an event's data."""
+    event = parse_event("Order(address owner, uint256 amount, bool closed)")
+    data = F.concat(u256.from_long(F.col("o_custkey")), u256.from_long(F.col("o_orderkey")), u256.from_long(F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", data.alias("data"))
+    values = abi.decoded(event, F.array(F.lit(event.topic)), F.col("data"))
+    tail = F.lower(F.conv(F.hex(F.substring(values["amount"], 32, 1)), 16, 16))
+    return rows.where(abi.fits(event, F.col("data"))).select(
+        "o_orderkey", hexes.hex_text(values["owner"]).alias("owner"), u256.to_text(values["amount"]).alias("amount"), values["closed"].alias("closed"), tail.alias("tail")
+    )
+
+
+@register(
+    """
+    SELECT o_orderkey, CAST(o_orderkey % 4 AS INT) AS n, CASE WHEN o_orderkey % 4 = 0 THEN '[]' ELSE '[' || array_to_string(list_transform(generate_series(1, o_orderkey % 4), lambda i: CAST(o_custkey * i AS VARCHAR)), ' ') || ']' END AS shown,
+           lower(o_orderpriority) AS note
+    FROM orders
+    """
+)
+def abi_dynamic_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dynamic array and a string behind their offsets, and the array as text."""
+    event = parse_event("Batch(uint256[] amounts, string note)")
+    n = (F.col("o_orderkey") % 4).cast("int")
+    words = F.when(n == 0, F.array().cast("array<binary>")).otherwise(F.transform(F.sequence(F.lit(1), n), lambda i: u256.from_long(F.col("o_custkey") * i)))
+    note = F.lower("o_orderpriority").cast("binary")
+    padded = F.rpad(note, 32, F.lit(b"\x00"))
+    data = F.concat(
+        u256.literal(64), u256.from_long(64 + 32 + 32 * n.cast("long")), u256.from_long(n.cast("long")), F.unhex(F.array_join(F.transform(words, F.hex), "")),
+        u256.from_long(F.length(note).cast("long")), padded,
+    )
+    rows = table(spark, sf_dir, "orders").where("o_orderkey is not null").select("o_orderkey", data.alias("data"))
+    values = abi.decoded(event, F.array(F.lit(event.topic)), F.col("data"))
+    return rows.select("o_orderkey", F.size(values["amounts"]).alias("n"), abi.array_text(values["amounts"], "uint256[]").alias("shown"), values["note"].alias("note"))
+
+
+@register("SELECT l_returnflag, l_linestatus, CAST(sum(CAST(round(l_extendedprice * 100) AS HUGEINT)) AS VARCHAR) || repeat('0', 30) AS total, count(*) AS n FROM lineitem GROUP BY ALL")
+def u256_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cents scaled by 10^30, far beyond any built-in number, and summed."""
+    cents = u256.from_long(F.round(F.col("l_extendedprice") * 100).cast("long"))
+    scaled = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", u256.mul(cents, u256.literal(10**30)).alias("v"))
+    return scaled.groupBy("l_returnflag", "l_linestatus").agg(u256.to_text(u256.sum_of(F.col("v"))).alias("total"), F.count("*").alias("n"))
+
+
+@register(
+    """
+    WITH {events}
+    SELECT user_id, CAST(sum(CASE WHEN event_type = 'purchase' THEN cents ELSE 0 END) - sum(CASE WHEN event_type = 'click' THEN cents ELSE 0 END) AS VARCHAR) AS balance FROM events_ GROUP BY user_id
+    """
+)
+def u256_signed_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = lambda kind: u256.from_long(F.when(F.col("event_type") == kind, F.col("cents")).otherwise(0))
+    rows = chain_events(spark, sf_dir).select("user_id", of("purchase").alias("i"), of("click").alias("o"))
+    sums = rows.groupBy("user_id").agg(u256.sum_of(F.col("i")).alias("i"), u256.sum_of(F.col("o")).alias("o"))
+    return sums.select("user_id", fold.balance(F.col("i"), F.col("o")).alias("balance"))
+
+
+@register(
+    """
+    SELECT o_orderkey, CAST(o_orderkey & o_custkey AS VARCHAR) AS both_, CAST(o_orderkey | o_custkey AS VARCHAR) AS either_, CAST(xor(o_orderkey, o_custkey) AS VARCHAR) AS one,
+           CAST(CAST(o_orderkey AS HUGEINT) * 65536 AS VARCHAR) AS left_, CAST(o_orderkey // 8 AS VARCHAR) AS right_
+    FROM orders
+    """
+)
+def u256_bitwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = u256.from_long(F.col("o_orderkey")), u256.from_long(F.col("o_custkey"))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", u256.to_text(u256.bit_and(a, b)).alias("both_"), u256.to_text(u256.bit_or(a, b)).alias("either_"), u256.to_text(u256.bit_xor(a, b)).alias("one"),
+        u256.to_text(u256.shift_left(a, F.lit(16))).alias("left_"), u256.to_text(u256.shift_right(a, F.lit(3))).alias("right_"),
+    )
+
+
+@register(
+    """
+    SELECT o_orderkey, CAST((CAST(o_orderkey AS HUGEINT) * 1000000007 * 1000000009) // (1 + o_custkey) AS VARCHAR) AS quotient,
+           CAST((CAST(o_orderkey AS HUGEINT) * 1000000007 * 1000000009) % (1 + o_custkey) AS VARCHAR) AS remainder, '0' AS by_zero
+    FROM orders
+    """
+)
+def u256_divmod(spark: SparkSession, sf_dir: str) -> DataFrame:
+    big = u256.mul(u256.from_long(F.col("o_orderkey")), u256.literal(1_000_000_007 * 1_000_000_009))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", big.alias("a"), u256.from_long(1 + F.col("o_custkey")).alias("b"))
+    return rows.select(
+        "o_orderkey", u256.to_text(u256.div(F.col("a"), F.col("b"))).alias("quotient"), u256.to_text(u256.mod(F.col("a"), F.col("b"))).alias("remainder"),
+        u256.to_text(u256.div(F.col("a"), u256.literal(0))).alias("by_zero"),
+    )
+
+
+@register(
+    """
+    SELECT c_nationkey, CAST(max(c_custkey * 1000003) AS VARCHAR) AS most, CAST(min(c_custkey * 1000003) AS VARCHAR) AS least, sum(CASE WHEN c_custkey * 1000003 > 50000000 THEN 1 ELSE 0 END)::BIGINT AS above
+    FROM customer GROUP BY c_nationkey
+    """
+)
+def u256_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select("c_nationkey", u256.from_long(F.col("c_custkey") * 1_000_003).alias("v"))
+    found = rows.groupBy("c_nationkey").agg(F.max("v").alias("most"), F.min("v").alias("least"), F.count_if(F.col("v") > u256.literal(50_000_000)).alias("above"))
+    return found.select("c_nationkey", u256.to_text(F.col("most")).alias("most"), u256.to_text(F.col("least")).alias("least"), "above")
+
+
+@register(
+    """
+    WITH base AS (SELECT o_orderkey, CAST(round(o_totalprice * 100) AS HUGEINT) AS cents, 1 + o_custkey % 97 AS q FROM orders),
+    parts AS (SELECT o_orderkey, cents, q, cents * 10000000000000000 AS amount, (cents * 10000000000000000) // q AS average FROM base)
+    SELECT o_orderkey, CAST(average AS VARCHAR) AS average_scaled, CAST(-amount + average * q AS VARCHAR) AS rest_scaled FROM parts
+    """
+)
+def dec256_avg_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A price cut at the eighteenth digit, and what the cut leaves, as scaled whole numbers."""
+    cents = u256.mul(u256.from_long(F.round(F.col("o_totalprice") * 100).cast("long")), u256.literal(10**16))
+    quantity = u256.mul(u256.from_long(1 + F.col("o_custkey") % 97), u256.literal(10**18))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", cents.alias("a"), quantity.alias("q"))
+    priced = rows.withColumn("p", dec256.div(F.col("a"), F.col("q")))
+    rest = dec256.sub(dec256.mul(F.col("p"), F.col("q")), F.col("a"))
+    return priced.select("o_orderkey", u256.to_signed_text(F.col("p")).alias("average_scaled"), u256.to_signed_text(rest).alias("rest_scaled"))
+
+
+@register(
+    """
+    WITH RECURSIVE {events},
+    trades AS (SELECT user_id, CASE WHEN event_type = 'purchase' THEN 1 + event_id % 5 ELSE -(1 + event_id % 3) END AS quantity, 100 + cents AS price,
+                      row_number() OVER (PARTITION BY user_id ORDER BY block_number, transaction_index, log_index) AS n
+               FROM events_ WHERE event_type IN ('purchase', 'click')),
+    folded AS (
+        SELECT user_id, n, quantity AS amount, CASE WHEN quantity >= 0 THEN CAST(floor(price) AS BIGINT) ELSE 0 END AS average, CASE WHEN quantity < 0 THEN -quantity * price ELSE 0 END AS realised FROM trades WHERE n = 1
+        UNION ALL
+        SELECT t.user_id, t.n, f.amount + t.quantity,
+               CASE WHEN t.quantity >= 0 AND f.amount + t.quantity <> 0 THEN CAST(CASE WHEN (t.quantity * t.price + f.amount * f.average) % (f.amount + t.quantity) <> 0 AND ((t.quantity * t.price + f.amount * f.average) < 0) <> ((f.amount + t.quantity) < 0)
+                    THEN (t.quantity * t.price + f.amount * f.average) // (f.amount + t.quantity) - 1 ELSE (t.quantity * t.price + f.amount * f.average) // (f.amount + t.quantity) END AS BIGINT) ELSE f.average END,
+               f.realised + CASE WHEN t.quantity < 0 THEN -t.quantity * (t.price - f.average) ELSE 0 END
+        FROM folded f JOIN trades t ON t.user_id = f.user_id AND t.n = f.n + 1)
+    SELECT user_id, amount, average, realised, n AS trades FROM folded QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC) = 1
+    """
+)
+def pnl_ordered_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Average price and realised profit of each user, trade by trade."""
+    quantity = F.when(F.col("event_type") == "purchase", 1 + F.col("event_id") % 5).otherwise(-(1 + F.col("event_id") % 3))
+    trades = chain_events(spark, sf_dir).where("event_type in ('purchase', 'click')").select("user_id", quantity.alias("quantity"), (100 + F.col("cents")).alias("price"), *ORDER)
+    return fold.ordered_fold(trades, ["user_id"], fold.trade_step, "user_id long, amount long, average long, realised long, trades long")
+
+
+@register(
+    """
+    WITH {events}
+    SELECT event_id, CAST(sum(cents) OVER w AS BIGINT) AS running, CAST(sum(cents * (1 + event_id % 7)) OVER w AS BIGINT) AS cost
+    FROM events_ WINDOW w AS (PARTITION BY user_id ORDER BY block_number, transaction_index, log_index ROWS UNBOUNDED PRECEDING)
+    """
+)
+def running_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    so_far = Window.partitionBy("user_id").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    rows = chain_events(spark, sf_dir).select("event_id", "user_id", "cents", *ORDER)
+    return rows.select("event_id", F.sum("cents").over(so_far).alias("running"), F.sum(F.col("cents") * (1 + F.col("event_id") % 7)).over(so_far).alias("cost"))
+
+
+@register(
+    """
+    WITH {events},
+    samples AS (SELECT chain_id, ts, event_id, max(event_id) OVER (PARTITION BY chain_id ORDER BY ts) AS counter, greatest(block_number - 400000, 0) AS behind FROM events_)
+    SELECT event_id, behind, coalesce(round((counter - lag(counter) OVER w) * 1e6 / (epoch_us(ts) - lag(epoch_us(ts)) OVER w), 6), 0) AS counter_per_s
+    FROM samples WINDOW w AS (PARTITION BY chain_id ORDER BY ts)
+    """
+)
+def metrics_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by_time = Window.partitionBy("chain_id").orderBy("ts")
+    samples = chain_events(spark, sf_dir).select("chain_id", "ts", "event_id", "block_number", F.max("event_id").over(by_time).alias("counter"))
+    found = metrics.rates(samples, ["counter"])
+    return found.select("event_id", metrics.lag_behind(F.col("block_number"), F.lit(400_000).cast("long")).alias("behind"), F.round("counter_per_s", 6).alias("counter_per_s"))
+
+
+@register("SELECT ts, count(*) AS n, max(user_id) AS most FROM events WHERE ts = (SELECT max(ts) FROM events) GROUP BY ts")
+def metrics_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.newest(table(spark, sf_dir, "events"), {"n": F.count("*"), "most": F.max("user_id")})
+
+
+@register(
+    """
+    WITH {events}
+    SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS bucket, event_type, CAST(sum(cents) AS BIGINT) AS cents, count(*) AS n, max(user_id) AS most FROM events_ GROUP BY ALL
+    """
+)
+def metrics_time_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = {"cents": F.sum("cents"), "n": F.count("*"), "most": F.max("user_id")}
+    return metrics.by_bucket(chain_events(spark, sf_dir), "6 hours", found, keys=("event_type",))
+
+
+@register(
+    """
+    WITH {events}
+    SELECT chain_id, round(avg(CASE WHEN event_type = 'click' THEN cents END), 6) AS clicks, round(avg(CASE WHEN event_type IN ('purchase', 'signup') THEN cents END), 6) AS others FROM events_ GROUP BY chain_id
+    """
+)
+def conditional_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    return chain_events(spark, sf_dir).groupBy("chain_id").agg(
+        F.round(metrics.average_where(kind == "click", F.col("cents")), 6).alias("clicks"), F.round(metrics.average_where(kind.isin("purchase", "signup"), F.col("cents")), 6).alias("others")
+    )
+
+
+@register(
+    """
+    WITH tables_ AS (SELECT r_name AS database, n_name AS "table", CASE WHEN n_nationkey % 5 = 0 THEN 'LiveView' ELSE 'Tree' END AS engine, n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey),
+    columns_ AS (
+        SELECT database, "table", 'block_number' AS name FROM tables_ WHERE n_nationkey % 2 = 0 UNION ALL SELECT database, "table", 'chain_id' FROM tables_ WHERE n_nationkey % 3 = 0)
+    SELECT database, "table", count(*) FILTER (WHERE name = 'chain_id') > 0 AS has_chain FROM columns_ JOIN tables_ USING (database, "table")
+    WHERE engine NOT LIKE '%View' GROUP BY ALL HAVING count(*) FILTER (WHERE name = 'block_number') > 0
+    """
+)
+def catalog_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    tables = places.select(F.col("r_name").alias("database"), F.col("n_name").alias("table"), F.when(F.col("n_nationkey") % 5 == 0, "LiveView").otherwise("Tree").alias("engine"), "n_nationkey")
+    named = lambda k, name: tables.where(F.col("n_nationkey") % k == 0).select("database", "table", F.lit(name).alias("name"))
+    return metrics.tables_with(named(2, "block_number").unionByName(named(3, "chain_id")), tables.drop("n_nationkey"))
+
+
+CHAINS_SQL = """
+    ours AS (SELECT block_number AS number, max(event_id) AS hash FROM events_ GROUP BY block_number),
+    theirs AS (SELECT number, CASE WHEN number >= {0} THEN hash + 1 ELSE hash END AS hash FROM ours WHERE number % 7 <> 3)
+"""
+
+
+@register(
+    f"""
+    WITH {{events}}, {CHAINS_SQL.format(blocks_of(0.6))},
+    met AS (SELECT number, min(CASE WHEN ours.hash = theirs.hash THEN 1 ELSE 0 END) OVER (ORDER BY number) AS same FROM ours JOIN theirs USING (number))
+    SELECT max(number) AS ancestor, count(*) AS shared FROM met WHERE same = 1
+    """
+)
+def fork_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last block that two chains share before their hashes first differ."""
+    events = chain_events(spark, sf_dir)
+    edge = block_at(events, 0.6)
+    ours = events.groupBy(F.col("block_number").alias("number")).agg(F.max("event_id").alias("hash"))
+    theirs = ours.where("number % 7 <> 3").select("number", F.when(F.col("number") >= edge, F.col("hash") + 1).otherwise(F.col("hash")).alias("other"))
+    met = ours.join(theirs, "number")
+    parted = met.agg(F.min(F.when(F.col("hash") != F.col("other"), F.col("number"))).alias("parted"))
+    shared = met.crossJoin(F.broadcast(parted)).where(F.col("parted").isNull() | (F.col("number") < F.col("parted")))  # one row
+    return shared.agg(F.max("number").alias("ancestor"), F.count("*").alias("shared"))
+
+
+@register(f"WITH {{events}} SELECT min(CASE WHEN block_number >= {blocks_of(0.3)} THEN block_number END) AS ceil_block, max(block_number) AS last_block FROM events_ WHERE block_number % 5 = 0")
+def gap_ceil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = chain_events(spark, sf_dir)
+    return lookup.ceil_block(events.where("block_number % 5 = 0"), block_at(events, 0.3))
+
+
+@register(
+    """
+    WITH {events},
+    both_ AS (SELECT block_number, transaction_index, log_index, 'click' AS kind, cents, NULL AS page FROM events_ WHERE event_type = 'click'
+              UNION ALL SELECT block_number, transaction_index, log_index, 'view', NULL, props FROM events_ WHERE event_type = 'view')
+    SELECT log_index, kind, cents, page, row_number() OVER (PARTITION BY block_number ORDER BY transaction_index, log_index) AS position FROM both_
+    """
+)
+def multi_event_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of two kinds, each with its own columns, in one order within a block."""
+    events = chain_events(spark, sf_dir)
+    clicks = events.where("event_type = 'click'").select(*ORDER, F.lit("click").alias("kind"), "cents")
+    views = events.where("event_type = 'view'").select(*ORDER, F.lit("view").alias("kind"), F.col("props").alias("page"))
+    within = Window.partitionBy("block_number").orderBy("transaction_index", "log_index")
+    return clicks.unionByName(views, allowMissingColumns=True).select("log_index", "kind", "cents", "page", F.row_number().over(within).cast("long").alias("position"))
+
+
+@register(f"WITH {{events}}, {SYNC_SQL} SELECT chain_id, least(max(last_block), max(finalized_block)) AS checkpoint, max(last_block) - max(finalized_block) AS behind FROM sync GROUP BY chain_id")
+def finalized_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sync_rows(spark, sf_dir).groupBy("chain_id").agg(F.max("last_block").alias("l"), F.max("finalized_block").alias("f"))
+    return found.select("chain_id", F.least("l", "f").alias("checkpoint"), metrics.lag_behind(F.col("l"), F.col("f")).alias("behind"))
+
+
+@register("SELECT event_id, ts FROM events WHERE ts >= (SELECT max(ts) - INTERVAL 7 DAY FROM events)")
+def ttl_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", "ts")
+    return compaction.unexpired(rows, rows.agg(F.max("ts")).first()[0])
+
+
+@register(
+    """
+    SELECT s_suppkey, coalesce(e.t, g.t) AS "table" FROM supplier
+    LEFT JOIN (SELECT n_nationkey, r_name AS t FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 2 = 0) e ON s_nationkey = e.n_nationkey
+    CROSS JOIN (SELECT 'general' AS t) g
+    """
+)
+def typed_route_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table by address and event, or else by event alone."""
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("address"), F.lit("E").alias("event_name"))
+    places = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).where("n_nationkey % 2 = 0")
+    exact = places.select(F.col("n_nationkey").alias("address"), F.lit("E").alias("event_name"), F.col("r_name").alias("table"))
+    general = spark.createDataFrame([("E", "general")], "event_name string, table string")
+    return lookup.route(rows, exact, general).select("s_suppkey", "table")
+
+
+@register(f"WITH {{events}} SELECT event_id, block_number, 1 AS sign FROM events_ WHERE block_number <= {blocks_of(0.7)}")
+def sign_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rolled back by appending negated rows."""
+    rows = chain_events(spark, sf_dir).select("event_id", "block_number", F.lit(1).alias("sign"))
+    both = rows.unionByName(compaction.negated(rows, block_at(rows, 0.7)))
+    return compaction.collapsed(both).select("event_id", "block_number", F.col("sign").cast("int").alias("sign"))
+
+
+@register("WITH {events} SELECT user_id, CAST(sum(cents) AS BIGINT) AS spent FROM events_ GROUP BY user_id ORDER BY spent DESC, user_id LIMIT 20")
+def top_outflow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spent = chain_events(spark, sf_dir).groupBy("user_id").agg(F.sum("cents").alias("spent"))
+    return latest.top(spent, "spent", 20, "user_id")
+
+
+@register("WITH {events} SELECT chain_id, block_number, max(ts) AS block_timestamp FROM events_ GROUP BY ALL")
+def blocks_with_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chain_events(spark, sf_dir).groupBy("chain_id", "block_number").agg(F.max("ts").alias("block_timestamp"))
+
+
+@register(
+    """
+    SELECT c_custkey, '[' || CASE WHEN c_custkey % 2 = 0 THEN 'true' ELSE 'false' END || ' true]' AS flags, '[' || c_custkey || ' ' || (c_custkey + 1) || ']' AS numbers FROM customer
+    """
+)
+def array_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = F.array(F.col("c_custkey") % 2 == 0, F.lit(True))
+    numbers = F.array(u256.from_long(F.col("c_custkey")), u256.from_long(F.col("c_custkey") + 1))
+    return table(spark, sf_dir, "customer").select("c_custkey", abi.array_text(flags, "bool[]").alias("flags"), abi.array_text(numbers, "uint256[2]").alias("numbers"))
+
+
+@register("SELECT quantile_disc(value, 0.5) IS NOT NULL AS known, count(*) AS n FROM events")
+def quantile_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").agg((metrics.quantile_or_zero("value", 0.5) >= 0).alias("known"), F.count("*").alias("n"))
