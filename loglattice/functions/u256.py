@@ -151,7 +151,8 @@ def to_text(a: Column) -> Column:
 
     def shown(x: Column) -> Column:
         found = F.aggregate(F.reverse(limbs(x)), groups, fold)
-        return F.ltrim(F.array_join(F.transform(F.reverse(found), lambda g: F.lpad(g.cast("string"), 9, "0")), ""), F.lit("0"))
+        digits = F.array_join(F.transform(F.reverse(found), lambda g: F.lpad(g.cast("string"), 9, "0")), "")
+        return F.when(x.isNotNull(), F.ltrim(digits, F.lit("0")))
 
     return let(lambda bare: F.when(bare == "", "0").otherwise(bare), let(shown, a))
 

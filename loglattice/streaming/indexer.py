@@ -4,8 +4,9 @@ A batch of pages is decoded once per event and appended under its number; then
 the state rows that it changes are appended; then the checkpoint is written. A
 batch that fails before its checkpoint is repeated under the same number and
 replaces itself. On a fork the tables are cut back to the last shared block and
-reading goes on there: state needs no undoing, as the newest row of each key at
-or below that block is the state.
+reading goes on there. State needs no undoing: the newest row of each key at or
+below the end of the last whole batch is the state, and the events between that
+and the block are folded again from their tables.
 """
 
 from __future__ import annotations
@@ -140,15 +141,37 @@ class Indexer:
             logs.unpersist()
         for block in heads:
             self.tracker.push(block)
-        self.tracker.finalize(effective_finalized(heads, finalized, self.tracker.finalized))
+        self.tracker.finalize(effective_finalized(self.tracker.chain, finalized, self.tracker.finalized))
         self.save_checkpoint(Checkpoint(heads[-1], self.tracker.finalized, self.tracker.chain))
         return heads[-1]
 
     def rollback(self, block: int) -> None:
-        """Cuts every table back to a block."""
+        """Cuts every table back to a block, and folds again what lies between the last batch's end and it."""
         self.batch += 1
         for table in self.tables():
             table.rollback(block, self.batch, self.chain_id)
+        settled = self._forget_checkpoints(block)
+        if self.project.states and (settled is None or settled < block):
+            between = (F.col("block_number") > (settled if settled is not None else -1)) & (F.col("block_number") <= block)
+            events = {s.table: self.event_table(s).read().where(between) for s in self.specs}
+            self.batch += 1
+            for state in self.project.states:
+                table = self.state_table(state)
+                table.append(self.processors[state.name](latest(table.read(), state.key), events), self.batch)
+
+    def _forget_checkpoints(self, block: int) -> int | None:
+        """Drops this chain's checkpoints above a block; the last block of those that stay."""
+        schema = next(s for n, s, _ in system_tables() if n == "sync_state")
+        table = self.table("sync_state", schema)
+        if not table.exists():
+            return None
+        fs, path = table._fs()
+        old = [f.getPath() for f in fs.listStatus(path(table.path))]
+        keep = self.checkpoints().where((F.col("chain_id") != self.chain_id) | (F.col("last_block") <= block))
+        keep.coalesce(1).write.mode("overwrite").json(f"{table.path}/batch={self.batch}-kept")
+        for folder in old:
+            fs.delete(folder, True)
+        return self.checkpoints().where(F.col("chain_id") == self.chain_id).agg(F.max("last_block")).first()[0]
 
     def fork(self, theirs: list[Block]) -> Block | None:
         """Resolves a fork, rolls back, and checkpoints the shared block; None: start anew."""
