@@ -52,7 +52,10 @@ class Bloom:
         self.words = np.zeros(bits // 8, np.uint8) if words is None else words
 
     def _places(self, digests: np.ndarray) -> np.ndarray:
-        raw = digests.view(np.uint8).reshape(len(digests), -1)[:, :16].copy().view("<u8")
+        own = digests.view(np.uint8).reshape(len(digests), -1)[:, :16]
+        raw = np.zeros((len(digests), 16), np.uint8)
+        raw[:, : own.shape[1]] = own
+        raw = raw.view("<u8")
         step = raw[:, 1] | np.uint64(1)
         return (raw[:, :1] + np.arange(PROBES, dtype=np.uint64) * step[:, None]) % np.uint64(self.bits)
 
@@ -90,9 +93,8 @@ class Run:
 class LsmIndex:
     """Memtable, sorted runs in levels, compaction. ``keep`` is np.maximum or np.minimum.
 
-    Digests are 32-byte values of dtype V32 viewed as S33-safe sort keys; here
-    they are held as fixed-width bytes with a closing one, so that trailing zero
-    bytes count.
+    Digests are held as fixed-width bytes with a closing one, so that trailing
+    zero bytes count.
     """
 
     def __init__(self, keep=np.maximum, memtable: int = MEMTABLE):
@@ -193,9 +195,9 @@ def index_entries(members: DataFrame, largest: bool) -> DataFrame:
 
 
 def _wide(digests: list[bytes]) -> np.ndarray:
-    """Digests, padded to 16 bytes at least, for the filter."""
-    width = max(16, max(map(len, digests), default=16))
-    return np.frombuffer(b"".join(d.ljust(width, b"\0") for d in digests), f"V{width}")
+    """Digests of one length as an array, with the closing byte that runs have as well."""
+    width = 1 + max(map(len, digests), default=0)
+    return np.frombuffer(b"".join(d + b"\1" for d in digests), f"V{width}")
 
 
 def hit_filter(groups: DataFrame) -> bytes:
