@@ -27,6 +27,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +38,13 @@ from loglattice.llm.common import BoundedMemo, durable, keep_rows, slices
 
 #: The rows that the classifier is fitted on, at most.
 POSITIVES, NEGATIVES = 3000, 12_000
-#: Features that are weighed at most, and the least log-likelihood ratio of one.
-CANDIDATES, RATIO = 60_000, 12.0
-GRADES = 3
+#: Features that are weighed at most, and how many of them may tell the classes apart by chance.
+CANDIDATES, CHANCE = 60_000, 0.5
+#: Penalties on weights: on their squares, and on their sizes for each root of a positive row.
+GRADES, RIDGE, LASSO = 3, 0.003, 0.017
 REJECT = 0.5
 BEGINNINGS = (3, 4, 5, 6)
+LENGTHS = [f"#{n}" for n in range(32)]
 
 _WORD = re.compile(r"\w+")
 
@@ -55,6 +58,11 @@ def features(chunk: str) -> list[str]:
     return found
 
 
+def length_feature(chunks: set[str]) -> str:
+    """A text's length class: what is telling in a short text may be chance in a long one."""
+    return f"#{len(chunks).bit_length()}"
+
+
 @dataclass
 class Model:
     """Weights by feature, and the thresholds in order."""
@@ -88,6 +96,7 @@ class Scorer:
         for chunks in split:
             present: set[int] = set()
             present.update(*filter(None, map(get, chunks)))
+            present.update(filter(None.__ne__, [self.number.get(length_feature(chunks))]))
             out.append(self.model.severity(math.fsum(weight[i] for i in present)) if chunks else (0.0, 0))
         return out
 
@@ -103,9 +112,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, positives: i
     return durable(text.join(F.broadcast(known), "doc_id").select("doc_id", "text", "grade"))  # bounded by the two numbers
 
 
+def text_features(text: str | None) -> set[str]:
+    chunks = set((text or "").lower().split())
+    return {f for chunk in chunks for f in features(chunk)} | {length_feature(chunks)}
+
+
 def _texts(batch: pa.RecordBatch) -> Iterator[set[str]]:
-    for text in batch.column(0).to_pylist():
-        yield {f for chunk in set((text or "").lower().split()) for f in features(chunk)}
+    return map(text_features, batch.column(0).to_pylist())
 
 
 def count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,8 +136,25 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: int
     least = 3 if n_pos >= 100 else 2
     counted = sample.where("grade > 0").select("text").repartition(8).mapInArrow(count_features, "feature string, n long")
     top = counted.groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "feature").limit(CANDIDATES)
-    names = [row.feature for row in top.collect()]
-    number = docs.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})
+    candidates = {row.feature: row.n for row in top.collect()}
+    names = list(candidates)
+    shared = docs.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})
+
+    def count_known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, count = shared.value, Counter()
+        for batch in batches:
+            for found in _texts(batch):
+                count.update(known[f] for f in found if f in known)
+        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.int32()), pa.array(list(count.values()), pa.int64())], ["i", "n"])
+
+    others = sample.where("grade <= 0").select("text").repartition(8).mapInArrow(count_known, "i int, n long").groupBy("i").agg(F.sum("n").alias("n"))
+    negative = np.zeros(len(names))
+    for row in others.collect():
+        negative[row.i] = row.n
+    n_neg = sample.where("grade <= 0").count()
+    telling = [names[i] for i in telling_features(np.array(list(candidates.values()), float), negative, n_pos, n_neg)]
+    telling = [f for f in telling if f[0] != "#"] + LENGTHS
+    number = docs.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(telling)})
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = number.value
@@ -134,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: int
 
     rows = sample.select("text", "grade", "doc_id").mapInArrow(present, "present binary, grade int, doc_id long").collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.present)))
-    return fit_rows(names, [np.frombuffer(row.present, np.int32) for row in rows], np.array([row.grade for row in rows], np.int64))
+    return fit_rows(telling, [np.frombuffer(row.present, np.int32) for row in rows], np.array([row.grade for row in rows], np.int64))
 
 
 def likelihood_ratio(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> np.ndarray:
@@ -147,36 +177,43 @@ def likelihood_ratio(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> np.nda
     return 2 * (part(a, n_a * share) + part(b, n_b * share) + part(n_a - a, n_a * (1 - share)) + part(n_b - b, n_b * (1 - share)))
 
 
+def telling_features(a: np.ndarray, b: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
+    """The places of features that ``a`` positive and ``b`` negative rows have, and that tell the two apart."""
+    if not n_pos or not n_neg:
+        return np.zeros(0, np.int64)
+    least = NormalDist().inv_cdf(1 - CHANCE / (2 * max(1, len(a)))) ** 2
+    return np.flatnonzero((likelihood_ratio(a, b, n_pos, n_neg) >= least) & (a / n_pos > 4 * b / n_neg))
+
+
 def fit_rows(names: list[str], rows: list[np.ndarray], grades: np.ndarray, steps: int = 400) -> Model:
-    """Select the telling features, grade binary labels, and fit weights and thresholds."""
+    """Grade binary labels by the number of features, and fit weights and thresholds."""
     positive = grades > 0
-    n_pos, n_neg = int(positive.sum()), int((~positive).sum())
-    if not n_pos or not n_neg:
+    if not positive.any() or positive.all():
         return Model({}, [1e9] * GRADES)
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     column = np.concatenate(rows)
-    a = np.bincount(column[positive[row]], minlength=len(names)).astype(float)
-    b = np.bincount(column[~positive[row]], minlength=len(names)).astype(float)
-    telling = (likelihood_ratio(a, b, n_pos, n_neg) >= RATIO) & (a / n_pos > 4 * b / n_neg)
-    keep = np.flatnonzero(telling)
-    new = np.full(len(names), -1)
-    new[keep] = np.arange(len(keep))
-    use = new[column] >= 0
-    row, column = row[use], new[column[use]]
     if grades.max() == 1:
-        amount = np.bincount(row, minlength=len(rows))
+        word = np.array([n[0] != "#" for n in names])[column]
+        amount = np.bincount(row[word], minlength=len(rows))
         cuts = np.quantile(amount[positive], [k / GRADES for k in range(1, GRADES)])
         grades = np.where(positive, 1 + (amount[:, None] > cuts).sum(axis=1), 0)
     most = int(grades.max())
-    weights, thresholds = fit_cumulative(row, column, grades, len(keep), most, steps)
-    return Model({names[j]: float(w) for j, w in zip(keep, weights, strict=True)}, thresholds.tolist())
+    free = np.array([n[0] == "#" for n in names])
+    weights, thresholds = fit_cumulative(row, column, grades, len(names), most, steps, free=free)
+    return Model(dict(zip(names, weights.tolist(), strict=True)), thresholds.tolist())
+
 
+def fit_cumulative(row: np.ndarray, column: np.ndarray, grades: np.ndarray, width: int, most: int, steps: int, ridge: float = RIDGE, lasso: float = LASSO, free: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Maximum likelihood with a ridge, by Adam; thresholds are a first one and positive gaps.
 
-def fit_cumulative(row: np.ndarray, column: np.ndarray, grades: np.ndarray, width: int, most: int, steps: int, ridge: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
-    """Maximum likelihood with a ridge, by Adam; thresholds are a first one and positive gaps."""
+    Weights are at least 0 but for the ``free`` ones: every other feature was
+    chosen as one of toxic rows, and nothing else should clear a text.
+    """
     params = np.r_[np.zeros(width), 1.0, np.zeros(most - 1)]
     first, second = np.zeros_like(params), np.zeros_like(params)
     n = len(grades)
+    free = np.zeros(width, bool) if free is None else free
+    pull = np.where(free, 0.0, lasso * math.sqrt(np.count_nonzero(grades)))
 
     def sigmoid(z: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
@@ -194,11 +231,12 @@ def fit_cumulative(row: np.ndarray, column: np.ndarray, grades: np.ndarray, widt
         by_cut = np.zeros(most)
         np.add.at(by_cut, grades[grades > 0] - 1, -(at / chance)[grades > 0])
         np.add.at(by_cut, grades[grades < most], (over / chance)[grades < most])
-        gradient = np.r_[np.bincount(column, by_score[row], minlength=width) - ridge * weights, by_cut.sum(), np.cumsum(by_cut[::-1])[::-1][1:] * gaps]
+        gradient = np.r_[np.bincount(column, by_score[row], minlength=width) - ridge * weights - pull, by_cut.sum(), np.cumsum(by_cut[::-1])[::-1][1:] * gaps]
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
         rate = 0.1 if step < steps * 3 // 4 else 0.02
         params = params + rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+        params[:width] = np.where(free, params[:width], np.maximum(params[:width], 0))
     raw = params[width:]
     return params[:width], raw[0] + np.r_[0.0, np.cumsum(np.exp(raw[1:]))]
 

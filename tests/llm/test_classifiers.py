@@ -74,7 +74,8 @@ def test_language_held_out_and_switching(spark):
     found = langid.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
     assert len(found) > 200 and (found.lang == found.lang_pred).mean() > 0.98 and found.score.between(0, 1).all()
     one, two = (docs.where((F.col("lang") == lang) & (F.col("n_chars") > 1500)).orderBy("doc_id").first().text for lang in ("en", "de"))
-    mixed = " ".join(one.split()[:30] + two.split()[:30])
+    first, second = ([w for w in text.split() if langid.letters(w)][:30] for text in (one, two))
+    mixed = " ".join(first + second)
     words = langid.Labeller(model).words(mixed)
     assert sum(k == "en" for _, k in words[:30]) >= 25 and sum(k == "de" for _, k in words[-30:]) >= 25
 
