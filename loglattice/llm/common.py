@@ -31,14 +31,14 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 class BoundedMemo:
-    """A memo of two generations, each of at most ``limit`` entries.
+    """A memo of two generations, each of about ``limit`` entries; one of over 64 letters counts for more.
 
     What was not asked for during a whole generation is forgotten, so that an
-    unbounded vocabulary takes bounded memory.
+    unbounded vocabulary, or texts without blanks, take bounded memory.
     """
 
     def __init__(self, limit: int = 250_000):
-        self.limit, self.young, self.old = limit, {}, {}
+        self.limit, self.young, self.old, self.weight = limit, {}, {}, 0
 
     def admit(self, keys: Iterable[str], compute: Callable[[list[str]], Iterable]) -> None:
         """Make every key present in ``young``."""
@@ -46,9 +46,10 @@ class BoundedMemo:
         fresh = keys - self.young.keys()
         if not fresh:
             return
-        if len(self.young) + len(fresh) > self.limit:
-            self.old, self.young = self.young, {}
+        if self.weight + len(fresh) > self.limit:
+            self.old, self.young, self.weight = self.young, {}, 0
             fresh = keys
+        self.weight += len(fresh) + (sum(map(len, fresh)) >> 6)
         unknown = []
         for key in fresh:
             value = self.old.get(key)

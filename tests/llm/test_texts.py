@@ -521,6 +521,19 @@ def test_shards_split_a_large_group_and_keep_small_ones(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_memo_is_bounded():
+    from loglattice.llm.common import BoundedMemo
+
+    asked = []
+    memo = BoundedMemo(100)
+    for k in range(60):
+        keys = [f"{k}-{i}" for i in range(10)] + ["always"] + ["long" * 500 + str(k)]
+        memo.admit(keys, lambda new: asked.extend(new) or [len(x) for x in new])
+        assert all(memo.young[x] == len(x) for x in keys)
+        assert len(memo.young) <= 110 and sum(map(len, [*memo.young, *memo.old])) < 20_000
+    assert asked.count("always") == 1
+
+
 def test_queries_are_registered():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
