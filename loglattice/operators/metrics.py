@@ -45,9 +45,9 @@ def quantile_or_zero(column: str, share: float, exact: bool = False) -> Column:
 
 
 def recovery_rows(rows: DataFrame, share: float = 0.95, block: str = "block_number") -> DataFrame:
-    """Rows whose block is at or above the share's quantile."""
-    floor = rows.agg(quantile_or_zero(block, share, exact=True).alias("_floor"))
-    return rows.crossJoin(F.broadcast(floor)).where(F.col(block) >= F.col("_floor")).drop("_floor")  # one row
+    """Rows whose block is at or above the share's quantile; the one number makes the scan's filter."""
+    floor = rows.agg(quantile_or_zero(block, share, exact=True)).first()[0]
+    return rows.where(F.col(block) >= floor)
 
 
 def high_water(rows: DataFrame, column: str = "block_number") -> DataFrame:

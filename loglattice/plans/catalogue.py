@@ -519,8 +519,8 @@ def fork_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
     ours = events.groupBy(F.col("block_number").alias("number")).agg(F.max("event_id").alias("hash"))
     theirs = ours.where("number % 7 <> 3").select("number", F.when(F.col("number") >= edge, F.col("hash") + 1).otherwise(F.col("hash")).alias("other"))
     met = ours.join(theirs, "number")
-    parted = met.agg(F.min(F.when(F.col("hash") != F.col("other"), F.col("number"))).alias("parted"))
-    shared = met.crossJoin(F.broadcast(parted)).where(F.col("parted").isNull() | (F.col("number") < F.col("parted")))  # one row
+    parted = met.agg(F.min(F.when(F.col("hash") != F.col("other"), F.col("number")))).first()[0]
+    shared = met if parted is None else met.where(F.col("number") < parted)
     return shared.agg(F.max("number").alias("ancestor"), F.count("*").alias("shared"))
 
 
