@@ -18,7 +18,7 @@ import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
 
 from loglattice.sources.blocks import PAGE
@@ -151,6 +151,20 @@ class _Reader(DataSourceReader):
             yield as_row(page)
 
 
+class _PushingReader(_Reader):
+    """Chosen by the option ``pushdown``; Spark then wants ``spark.sql.python.filterPushdown.enabled``."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Bounds on the block number narrow the range; Spark applies all filters as well."""
+        for one in filters:
+            if getattr(one, "attribute", None) == ("header", "number"):
+                if isinstance(one, (EqualTo, GreaterThanOrEqual, GreaterThan)):
+                    self.start = max(self.start, one.value + isinstance(one, GreaterThan))
+                if isinstance(one, (EqualTo, LessThanOrEqual, LessThan)):
+                    self.end = min(self.end, one.value - isinstance(one, LessThan))
+            yield one
+
+
 class _Tail(SimpleDataSourceStreamReader):
     """Blocks behind the last one seen, with the hash of that one as the parent."""
 
@@ -181,7 +195,8 @@ class BlockRanges(DataSource):
         return PAGE
 
     def reader(self, schema: StructType) -> _Reader:
-        return _Reader(self.options)
+        pushes = str(self.options.get("pushdown", "false")).lower() == "true"
+        return (_PushingReader if pushes else _Reader)(self.options)
 
     def simpleStreamReader(self, schema: StructType) -> _Tail:
         return _Tail(self.options)
