@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from loglattice.llm.common import BoundedMemo, slices
+from loglattice.llm.common import BoundedMemo, text_slices, worker_state
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 IDS_SCHEMA = SCHEMA + ", ids array<int>"
@@ -188,14 +188,11 @@ class Encoder:
 
 #: Two white-space characters in a row, or the mark that units are cut at.
 _AMBIGUOUS = re.compile(r"\s\s|\0")
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
 def encoder(path: str, pattern: str) -> Encoder:
     """The worker's encoder for a ranks file; made once a worker."""
-    if (path, pattern) not in _ENCODERS:
-        _ENCODERS[path, pattern] = Encoder(read_ranks(path), pattern)
-    return _ENCODERS[path, pattern]
+    return worker_state(("bpe", path, pattern), lambda: Encoder(read_ranks(path), pattern))
 
 
 def bpe_round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
@@ -209,17 +206,16 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = Fa
         own = encoder(path, pattern)
         decimal = own.decimal.__getitem__
         for batch in batches:
-            docs_ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in slices(texts):
+            for a, texts in text_slices(batch.column(1)):
                 counts, digests, decoded, all_ids = [], [], [], []
-                for ids in own.encode(texts[a:b]):
+                for ids in own.encode(texts):
                     ids = ids.tolist()
                     counts.append(len(ids))
                     digests.append(hashlib.sha256(b" ".join(map(decimal, ids))).hexdigest())
                     decoded.append(hashlib.sha256(own.decode(ids)).hexdigest())
                     if with_ids:
                         all_ids.append(ids)
-                columns = {"doc_id": docs_ids.slice(a, b - a), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(digests), "decoded_sha256": pa.array(decoded)}
+                columns = {"doc_id": batch.column(0).slice(a, len(texts)), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(digests), "decoded_sha256": pa.array(decoded)}
                 if with_ids:
                     columns["ids"] = pa.array(all_ids, pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_pydict(columns)

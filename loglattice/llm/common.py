@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,16 +63,30 @@ class BoundedMemo:
             self.young.update(zip(unknown, compute(unknown), strict=True))
 
 
-def slices(texts: list, limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
-    """Consecutive ranges of ``texts`` of about ``limit`` characters, one text at least."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        size += len(text or "")
-        if size >= limit:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+_WORKER: dict = {}
+
+
+def worker_state(key, make: Callable):
+    """What a worker keeps between its tasks: of one operator at a time, since workers are reused."""
+    if key not in _WORKER:
+        _WORKER.clear()
+        if key is not None:
+            _WORKER[key] = make()
+    return _WORKER.get(key)
+
+
+def text_slices(column: pa.Array, limit: int = SLICE_CHARS) -> Iterator[tuple[int, list]]:
+    """(first row, texts) of consecutive parts of a column of about ``limit`` bytes, one text at least.
+
+    Only one part at a time is made into Python strings.
+    """
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start, n = 0, len(column)
+    while start < n:
+        done = int(ends[start - 1]) if start else 0
+        end = min(n, int(np.searchsorted(ends, done + limit)) + 1)
+        yield start, column.slice(start, end - start).to_pylist()
+        start = end
 
 
 def keep_rows(docs: DataFrame, accepts: Callable[[], Callable[[list], list]], text: str = "text") -> DataFrame:
@@ -83,8 +99,7 @@ def keep_rows(docs: DataFrame, accepts: Callable[[], Callable[[list], list]], te
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = accepts()
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            mask = [ok for a, b in slices(texts) for ok in judge(texts[a:b])]
+            mask = [ok for _, texts in text_slices(batch.column(batch.schema.get_field_index(text))) for ok in judge(texts)]
             yield batch.filter(pa.array(mask, pa.bool_()))
 
     return docs.mapInArrow(rows, docs.schema)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loglattice.llm.common import durable
+from loglattice.llm.common import durable, text_slices, worker_state
 
 #: Entries of a memtable before it is flushed, and bits of the filter of hits (1 MB).
 MEMTABLE = 1 << 15
@@ -168,8 +168,9 @@ def digests_of(docs: DataFrame, digest: Callable[[bytes], bytes]) -> DataFrame:
     """(doc_id, digest) of each row of (doc_id, text)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state(None, None)
         for batch in batches:
-            made = [digest(_raw(text)) for text in batch.column(1).to_pylist()]
+            made = [digest(_raw(text)) for _, texts in text_slices(batch.column(1)) for text in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["doc_id", "digest"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(rows, "doc_id long, digest binary")
@@ -233,8 +234,7 @@ def collided(docs: DataFrame, words: bytes, digest: Callable[[bytes], bytes]) ->
         def out(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], ["digest", "raw"])
 
-        for batch in batches:
-            raws = [_raw(text) for text in batch.column(0).to_pylist()]
+        for raws in ([_raw(text) for text in texts] for batch in batches for _, texts in text_slices(batch.column(0))):
             keys = [digest(raw) for raw in raws]
             differ = []
             for i in np.flatnonzero(hits.may_hold(_wide(keys))).tolist():

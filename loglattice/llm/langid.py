@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglattice.llm.common import BoundedMemo, keep_rows, slices
+from loglattice.llm.common import BoundedMemo, keep_rows, text_slices, worker_state
 from loglattice.llm.toxicity import SharedModel
 
 #: Documents of each language, training sequences and their words.
@@ -318,14 +318,9 @@ def expectations(scores: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.n
     return chance, pairs
 
 
-_LABELLERS: dict[str, Labeller] = {}
-
-
 def labeller(shared: SharedModel) -> Labeller:
-    if shared.id not in _LABELLERS:
-        _LABELLERS.clear()
-        _LABELLERS[shared.id] = Labeller(shared.value)
-    return _LABELLERS[shared.id]
+    """The worker's labeller of a broadcast model; made once a worker."""
+    return worker_state(("langid", shared.id), lambda: Labeller(shared.value))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -335,8 +330,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = labeller(shared)
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            found = [x for a, b in slices(texts) for x in own.label(texts[a:b])]
+            found = [x for _, texts in text_slices(batch.column(2)) for x in own.label(texts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([k for k, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglattice.llm.common import BoundedMemo, slices
+from loglattice.llm.common import BoundedMemo, text_slices, worker_state
 
 CAPACITY = 2048
 #: Pieces that are packed together; bounds a task's memory.
@@ -82,13 +82,9 @@ class ChunkTokenizer:
         return [b"".join(map(get, chunks)) for chunks in split]
 
 
-_TOKENIZERS: dict[str, ChunkTokenizer] = {}
-
-
 def tokenizer(path: str) -> ChunkTokenizer:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = ChunkTokenizer(path)
-    return _TOKENIZERS[path]
+    """The worker's tokenizer of a file; made once a worker."""
+    return worker_state(("tokenizer", path), lambda: ChunkTokenizer(path))
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, closing_id: int = 0, with_ids: bool = False) -> DataFrame:
@@ -98,10 +94,10 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, closing_i
         own = tokenizer(path)
         closing = np.array([closing_id], "<u4").tobytes()
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts):
+            doc_ids = batch.column(0).to_pylist()
+            for a, texts in text_slices(batch.column(1)):
                 out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
-                for doc_id, ids in zip(doc_ids[a:b], own.encode(texts[a:b]), strict=True):
+                for doc_id, ids in zip(doc_ids[a : a + len(texts)], own.encode(texts), strict=True):
                     ids += closing
                     for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglattice.llm.common import durable
+from loglattice.llm.common import durable, text_slices, worker_state
 from loglattice.llm.components import connected_components
 
 BITS, DISTANCE, SEGMENT = 64, 3, 16
@@ -72,8 +72,9 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp) of each row of (doc_id, text); fp is the fingerprint as a signed long."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state(None, None)
         for batch in batches:
-            made = np.array([fingerprint(text, shingle) for text in batch.column(1).to_pylist()], np.uint64)
+            made = np.array([fingerprint(text, shingle) for _, texts in text_slices(batch.column(1)) for text in texts], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], ["doc_id", "fp"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(rows, "doc_id long, fp long")

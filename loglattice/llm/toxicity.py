@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglattice.llm.common import BoundedMemo, durable, keep_rows, slices
+from loglattice.llm.common import BoundedMemo, durable, keep_rows, text_slices, worker_state
 
 #: The rows that the classifier is fitted on, at most.
 POSITIVES, NEGATIVES = 3000, 12_000
@@ -118,7 +118,7 @@ def text_features(text: str | None) -> set[str]:
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[set[str]]:
-    return map(text_features, batch.column(0).to_pylist())
+    return (text_features(text) for _, texts in text_slices(batch.column(0)) for text in texts)
 
 
 def count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,15 +241,9 @@ def fit_cumulative(row: np.ndarray, column: np.ndarray, grades: np.ndarray, widt
     return params[:width], raw[0] + np.r_[0.0, np.cumsum(np.exp(raw[1:]))]
 
 
-_SCORERS: dict[int, Scorer] = {}
-
-
 def scorer(shared) -> Scorer:
     """The worker's scorer of a broadcast model; made once a worker."""
-    if shared.id not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[shared.id] = Scorer(shared.value)
-    return _SCORERS[shared.id]
+    return worker_state(("toxicity", shared.id), lambda: Scorer(shared.value))
 
 
 class SharedModel:
@@ -272,8 +266,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = scorer(shared)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            found = [x for a, b in slices(texts) for x in own.score(texts[a:b])]
+            found = [x for _, texts in text_slices(batch.column(1)) for x in own.score(texts)]
             severity = [s for s, _ in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(severity, pa.float64()), pa.array([g for _, g in found], pa.int32()), pa.array([s >= REJECT for s in severity], pa.bool_())], ["doc_id", "expected_severity", "grade", "toxic"])
 

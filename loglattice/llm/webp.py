@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loglattice.llm.common import slices
+from loglattice.llm.common import text_slices
 
 WIDTH, MOST_ROWS, UNIT = 64, 1 << 14, 64
 
@@ -520,10 +520,9 @@ def media_column(docs: DataFrame, with_media: bool = False) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                out = [describe(text, with_media) for text in texts[a:b]]
-                columns = [batch.column(0).slice(a, b - a)]
+            for a, texts in text_slices(batch.column(1)):
+                out = [describe(text, with_media) for text in texts]
+                columns = [batch.column(0).slice(a, len(texts))]
                 for k, kind in enumerate((pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.binary()] * with_media)):
                     columns.append(pa.array([x[k] for x in out], kind))
                 names = [field.strip().split()[0] for field in (MEDIA_SCHEMA if with_media else SCHEMA).split(",")]
