@@ -136,7 +136,7 @@ def fits_long(a: Column) -> Column:
 
 
 def to_text(a: Column) -> Column:
-    """Decimal digits: limbs are folded into nine groups of nine digits."""
+    """Decimal digits: of numbers below 2^64 by one conversion, else limbs folded into nine groups of nine digits."""
     groups = F.array(*[F.lit(0).cast("long")] * 9)
 
     def fold(seen: Column, limb: Column) -> Column:
@@ -154,7 +154,11 @@ def to_text(a: Column) -> Column:
         digits = F.array_join(F.transform(F.reverse(found), lambda g: F.lpad(g.cast("string"), 9, "0")), "")
         return F.when(x.isNotNull(), F.ltrim(digits, F.lit("0")))
 
-    return let(lambda bare: F.when(bare == "", "0").otherwise(bare), let(shown, a))
+    def text(x: Column) -> Column:
+        below = F.conv(F.hex(F.substring(x, 25, 8)), 16, 10)
+        return F.when(fits_long(x), below).otherwise(shown(x))
+
+    return let(text, a)
 
 
 def to_signed_text(a: Column) -> Column:

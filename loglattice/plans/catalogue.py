@@ -216,14 +216,14 @@ def high_water_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH {events},
     state AS (SELECT user_id, cents AS state_cents FROM events_ WHERE event_type = 'purchase'
               QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY block_number DESC, transaction_index DESC, log_index DESC) = 1)
-    SELECT event_id, user_id, state_cents, state_cents IS NOT NULL AS found FROM events_ LEFT JOIN state USING (user_id) WHERE event_type = 'click'
+    SELECT event_id, user_id, coalesce(state_cents, 0) AS state_cents, state_cents IS NOT NULL AS found FROM events_ LEFT JOIN state USING (user_id) WHERE event_type = 'click'
     """
 )
 def keyed_lookup_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = chain_events(spark, sf_dir)
     history = events.where("event_type = 'purchase'").select("user_id", "cents", *ORDER)
     clicks = events.where("event_type = 'click'").select("event_id", "user_id")
-    return lookup.lookup(clicks, history, ["user_id"]).select("event_id", "user_id", "state_cents", "found")
+    return lookup.lookup(clicks, history, ["user_id"]).select("event_id", "user_id", F.coalesce("state_cents", F.lit(0)).alias("state_cents"), "found")
 
 
 @register("WITH {events} SELECT DISTINCT block_number, user_id FROM events_")
@@ -535,7 +535,7 @@ def gap_ceil(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH {events},
     both_ AS (SELECT block_number, transaction_index, log_index, 'click' AS kind, cents, NULL AS page FROM events_ WHERE event_type = 'click'
               UNION ALL SELECT block_number, transaction_index, log_index, 'view', NULL, props FROM events_ WHERE event_type = 'view')
-    SELECT log_index, kind, cents, page, row_number() OVER (PARTITION BY block_number ORDER BY transaction_index, log_index) AS position FROM both_
+    SELECT log_index, kind, coalesce(cents, 0) AS cents, coalesce(page, '') AS page, row_number() OVER (PARTITION BY block_number ORDER BY transaction_index, log_index) AS position FROM both_
     """
 )
 def multi_event_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -544,7 +544,7 @@ def multi_event_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     clicks = events.where("event_type = 'click'").select(*ORDER, F.lit("click").alias("kind"), "cents")
     views = events.where("event_type = 'view'").select(*ORDER, F.lit("view").alias("kind"), F.col("props").alias("page"))
     within = Window.partitionBy("block_number").orderBy("transaction_index", "log_index")
-    return clicks.unionByName(views, allowMissingColumns=True).select("log_index", "kind", "cents", "page", F.row_number().over(within).cast("long").alias("position"))
+    return clicks.unionByName(views, allowMissingColumns=True).select("log_index", "kind", F.coalesce("cents", F.lit(0)).alias("cents"), F.coalesce("page", F.lit("")).alias("page"), F.row_number().over(within).cast("long").alias("position"))
 
 
 @register(f"WITH {{events}}, {SYNC_SQL} SELECT chain_id, least(max(last_block), max(finalized_block)) AS checkpoint, max(last_block) - max(finalized_block) AS behind FROM sync GROUP BY chain_id")
