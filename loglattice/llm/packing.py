@@ -41,6 +41,8 @@ FILLINGS = 4
 
 #: Marks that may stand behind a word, and the end of the letters that have one lower case each.
 MARKS, LATIN_END = ".,;:!?", "\u0130"
+#: What a token that closes a word ends with, and how many words are encoded together.
+WORD_END, TOGETHER = "</w>", 256
 
 PIECES_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 IDS_SCHEMA = PIECES_SCHEMA + ", ids array<int>"
@@ -57,11 +59,32 @@ class ChunkTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo, self.words = BoundedMemo(250_000), BoundedMemo(250_000)
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
         self.marks = dict(zip(MARKS, self._encode(list(MARKS)), strict=True)) | {"": b""}
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [array("I", x.ids).tobytes() for x in found]
+        """The ids of each word; words of Latin letters go together, parted again where a token closes a word."""
+        out: list[bytes] = [b""] * len(words)
+        plain = [i for i, w in enumerate(words) if w.isalpha() and max(w) < LATIN_END]
+        rest = set(range(len(words))).difference(plain)
+        lines = [plain[a : a + TOGETHER] for a in range(0, len(plain), TOGETHER)]
+        found = self.tokenizer.encode_batch_fast([" ".join([words[i] for i in line]) for line in lines], add_special_tokens=False)
+        for line, encoded in zip(lines, found, strict=True):
+            ids = np.array(encoded.ids, np.uint32)
+            ends = (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
+            if len(ends) != len(line):
+                rest.update(line)
+                continue
+            raw, begin = ids.tobytes(), 0
+            for i, end in zip(line, ends, strict=True):
+                out[i] = raw[begin:end]
+                begin = end
+        rest = sorted(rest)
+        for i, encoded in zip(rest, self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = array("I", encoded.ids).tobytes()
+        return out
 
     def _compute(self, chunks: list[str]) -> list[bytes]:
         """A word and a mark behind it are encoded apart, and Latin words in lower case, as the tokenizer itself does."""
