@@ -120,20 +120,20 @@ def find_cuts(rows: DataFrame, root: Node, nodes: list[Node], weights: dict[int,
         high = F.coalesce(*[F.when(here == first, F.lit(s[1])) for first, s in open_.items()])
         width = F.coalesce(*[F.when(here == first, F.lit(w)) for first, w in widths.items()])
         at = rows.select(root.column().alias("node"), "size", *[c for c in rows.columns if c[0] == "k"]).select("node", "size", key.alias("key"), low.alias("low"), high.alias("high"), width.alias("width"))
-        inside = at.where("key >= low AND key < high").groupBy("node", F.expr("(key - low) div width").alias("bin")).agg(F.sum("size").alias("w"))
+        inside = at.where("key >= low AND key < high").groupBy("node", F.expr("(key - low) div width").alias("bin")).agg(F.sum("size").alias("w"), F.count("*").alias("n"))
         bins: dict[int, list] = {}
         for row in inside.collect():
-            bins.setdefault(row.node, []).append((row.bin, row.w))
+            bins.setdefault(row.node, []).append((row.bin, row.w, row.n))
         for first in list(open_):
             search = open_[first]
             a, b, under, want = search
-            for k, w in sorted(bins.get(first, [])):
+            for k, w, n in sorted(bins.get(first, [])):
                 if under + w < want:
                     under += w
                     continue
                 begin, end = a + k * widths[first], min(b, a + (k + 1) * widths[first])
                 point = end - begin <= 1 << WITHIN
-                if w <= NEAR * leaf or (point and w <= HEAVY * leaf) or end - begin == 1:
+                if n == 1 or w <= NEAR * leaf or (point and w <= HEAVY * leaf) or end - begin == 1:
                     by_first[first].cut = begin if want - under < under + w - want else end
                     del open_[first]
                 else:
