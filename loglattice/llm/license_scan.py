@@ -11,7 +11,19 @@ leaves out templates by their size before any bigram is made; a template that
 shares no bigram with the unit ends there; the rest get the coefficient, with
 repeated bigrams counted as often as both have them.
 
+A notice that is wrapped over lines or stands within a paragraph is found as a
+span: any run of neighbouring words of the whole text that has as many words as
+the template at least (or is the whole text, where that is shorter). Of all
+spans the best counts, exactly: a best span starts and ends with a bigram of the
+template, so for every such start the bigrams that follow are read once, each
+counted while the template has it that often. Texts without any of a template's
+telling words, too short ones, and those with too few of its distinct bigrams
+cannot reach the limit and end before.
+
 Defined results: a null or empty text matches nothing (licence null, dice 0);
+``licence`` and ``dice`` are those of the best unit or span, a licence that a unit
+matches keeps the coefficient of its best unit, and ``lines`` counts units only,
+so it is 0 where a notice stands in no line of its own;
 texts of any length are read whole; of equally near templates the
 alphabetically last counts; repeated rows give repeated results; further
 columns are not looked at.
@@ -19,6 +31,7 @@ columns are not looked at.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 from pyspark.sql import DataFrame
@@ -56,19 +69,74 @@ def template_rows(templates: dict[str, list[str]]) -> list[tuple[str, int, list[
     return rows
 
 
-def _literal(templates: dict[str, list[str]], dice: float) -> str:
-    def text(value: str) -> str:
-        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+def least_overlap(n: int, dice: float) -> int:
+    """The bigrams that a span has to share with a template of ``n``: it has as many itself, or is shorter and whole."""
+    return math.ceil(n * dice / (2 - dice) - 1e-9)
 
-    rows = []
+
+#: Words of licences, tried first as those without which a text has no notice.
+TELLING = ["license", "licensed", "licensor", "licenses", "software", "redistribution", "copyright", "commons", "gnu", "warranty"]
+
+
+def telling_words(templates: dict[str, list[str]], dice: float) -> list[str]:
+    """Words of which every span that matches any template has one.
+
+    Of each template so many are taken that the bigrams without them are fewer
+    than the least overlap.
+    """
+    chosen: list[str] = []
+    for texts in templates.values():
+        for text in texts:
+            words = normalised(text)
+            rest = list(zip(words, words[1:], strict=False))
+            need = least_overlap(len(rest), dice)
+            rest = [b for b in rest if not set(b) & set(chosen)]
+            for word in [*(w for w in TELLING if w in words), *sorted(set(words), key=lambda w: (-len(w), w))]:
+                if len(rest) < need:
+                    break
+                if any(word in b for b in rest):
+                    chosen.append(word)
+                    rest = [b for b in rest if word not in b]
+    return chosen
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _literal(templates: dict[str, list[str]], dice: float) -> str:
+    text, rows = _text, []
     for name, n, bigrams in template_rows(templates):
         keys = ", ".join(text(b) for b, _ in bigrams)
         times = ", ".join(str(k) for _, k in bigrams)
         low, high = n * dice / (2 - dice), n * (2 - dice) / dice
-        rows.append(f"named_struct('name', {text(name)}, 'n', {n}, 'low', {low!r}D, 'high', {high!r}D, 'keys', array({keys}), 'times', array({times}))")
+        need, sums = least_overlap(n, dice), 0
+        for few, k in enumerate(sorted((k for _, k in bigrams), reverse=True), 1):  # noqa: B007
+            sums += k
+            if sums >= need:
+                break
+        rows.append(f"named_struct('name', {text(name)}, 'n', {n}, 'low', {low!r}D, 'high', {high!r}D, 'keys', array({keys}), 'times', array({times}), 'need', {need}, 'few', {few})")
     return f"array({', '.join(rows)})"
 
 
+def _spans(own: str, templates: dict[str, list[str]], dice: float) -> str:
+    """An array of (dice, name): of each template that has one, the best span of the bigrams ``own``.
+
+    ``members`` are (number of the bigram in the template, place), ``ranked`` are
+    (place, place of the bigram's occurrence before which it is one too many). A
+    start counts if ``need`` members follow within the longest span that can match.
+    """
+    members = f"filter(transform({own}, (b, i) -> struct(int(array_position(t.keys, b)) AS k, i AS i)), x -> x.k > 0)"
+    ranked = """array_sort(transform(s, (x, j) -> struct(x.i AS i,
+        coalesce(if(get(s, j - get(t.times, x.k - 1)).k = x.k, get(s, j - get(t.times, x.k - 1)).i, -1), -1) AS q)))"""
+    starts = "filter(transform(p, (x, j) -> struct(x.i AS i, get(p, j + t.need - 1).i - x.i < t.high AS near, j + 1 AS j)), x -> x.near)"
+    useful = "filter(slice(p, a.j, int(t.high) + 1), y -> y.q < a.i AND y.i - a.i < t.high)"
+    score = f"array_max(transform({useful}, (y, r) -> 2D * (r + 1) / (t.n + greatest(y.i - a.i + 1, least(t.n, size({own}))))))"
+    best = f"array_max(flatten(transform(array(array_sort({members})), s -> flatten(transform(array({ranked}), p -> transform({starts}, a -> {score}))))))"
+    fits = f"size({own}) >= t.low AND size(array_intersect({own}, t.keys)) >= t.few"
+    return f"filter(transform(filter({_literal(templates, dice)}, t -> {fits}), t -> struct({best} AS dice, t.name AS name)), x -> x.dice >= {dice!r}D)"
+
+
 def scan_licences(docs: DataFrame, templates: dict[str, list[str]] | None = None, dice: float = DICE) -> DataFrame:
     """doc_id, licence (of the nearest template at ``dice`` or more, else null), dice, lines (units that match)."""
     templates = TEMPLATES if templates is None else templates
@@ -81,20 +149,24 @@ def scan_licences(docs: DataFrame, templates: dict[str, list[str]] | None = None
             concat(split(bare, '\n'), if(contains(bare, '\n'), array(replace(bare, '\n', ' ')), array())),
             line -> split(regexp_replace(trim(line), ' +', ' '), ' ')), words -> size(words) - 1 BETWEEN {low} AND {high})
     """.format(low=repr(low), high=repr(high))
-    bigrams = "transform(units, words -> transform(slice(words, 2, size(words) - 1), (word, i) -> concat(words[i], ' ', word)))"
+    telling = " OR ".join(f"contains(bare, {_text(w)})" for w in telling_words(templates, dice))
+    words = f"if({telling}, split(regexp_replace(trim(replace(bare, '\n', ' ')), ' +', ' '), ' '), array())"
+    pairs_of = "transform(slice(words, 2, greatest(size(words) - 1, 0)), (word, i) -> concat(words[i], ' ', word))"
+    bigrams = f"transform(units, words -> {pairs_of})"
     scored = f"""
         transform(pairs, own -> array_max(transform(
             filter({known}, t -> size(own) BETWEEN t.low AND t.high AND arrays_overlap(t.keys, own)),
             t -> struct(2D * aggregate(zip_with(t.keys, t.times, (key, k) -> least(k, size(filter(own, b -> b = key)))), 0, (a, b) -> a + b) / (t.n + size(own)) AS dice, t.name AS name))))
     """
+    spans = f"flatten(transform(whole, own -> {_spans('own', templates, dice)}))"
     found = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), bare.alias("bare"))
-        .select("doc_id", F.expr(units).alias("units"))
-        .select("doc_id", F.expr(bigrams).alias("pairs"))
-        .select("doc_id", F.expr(f"filter({scored}, s -> s.dice >= {dice!r}D)").alias("hits"))
+        .select("doc_id", F.expr(units).alias("units"), F.expr(f"array({words})").alias("texts"))
+        .select("doc_id", F.expr(bigrams).alias("pairs"), F.expr(f"transform(texts, words -> {pairs_of})").alias("whole"))
+        .select("doc_id", F.expr(f"filter({scored}, s -> s.dice >= {dice!r}D)").alias("hits"), F.expr(spans).alias("spans"))
+        .select("doc_id", F.expr("array_max(concat(hits, filter(spans, s -> NOT exists(hits, h -> h.name = s.name))))").alias("best"), F.size("hits").alias("lines"))
     )
-    best = F.array_max("hits")
-    return found.select("doc_id", best["name"].alias("licence"), F.coalesce(best["dice"], F.lit(0.0)).alias("dice"), F.size("hits").alias("lines"))
+    return found.select("doc_id", F.col("best.name").alias("licence"), F.coalesce("best.dice", F.lit(0.0)).alias("dice"), "lines")
 
 
 def oracle_sql(templates: dict[str, list[str]] | None = None, dice: float = DICE) -> str:

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -485,6 +486,45 @@ def test_licences(spark, odd_docs, no_docs):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def best_span(text, templates, dice=license_scan.DICE):
+    """(licence, dice) of the best run of words, by trying all of them."""
+    words = license_scan.normalised(text)
+    pairs = [f"{a} {b}" for a, b in itertools.pairwise(words)]
+    hits = []
+    for name, n, b in license_scan.template_rows(templates):
+        for i in range(len(pairs)):
+            for j in range(i + min(n, len(pairs)), min(len(pairs), i + 2 * n) + 1):
+                hits.append((2.0 * sum((Counter(pairs[i:j]) & Counter(dict(b))).values()) / (n + j - i), name))
+    best = max(hits, default=(0.0, None))
+    return best[::-1] if best[0] >= dice else (None, 0.0)
+
+
+def test_licence_notices_within_texts(spark):
+    """Wrapped notices and notices within a paragraph, which no line and no whole text is near enough to."""
+    gpl, bsd = license_scan.TEMPLATES["GPL-3.0"][1], license_scan.TEMPLATES["BSD-3-Clause"][0]
+    prose = "the quick brown fox jumps over the lazy dog every day "
+    texts = [
+        prose * 20 + "\n" + textwrap.fill(gpl, 60, initial_indent=" * ", subsequent_indent=" * "), textwrap.fill(bsd, 40) + ":\n" + prose * 9,
+        "This project is great. Released under the MIT License. Thanks to all.", prose * 20, "This project was released under the old licence of MIT.",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: (r.licence, r.dice, r.lines) for r in license_scan.scan_licences(df).collect()}
+    assert [dice_of(t)[0] for t in texts] == [None] * 5
+    assert found == {0: ("GPL-3.0", 1.0, 0), 1: ("BSD-3-Clause", 1.0, 0), 2: ("MIT", 1.0, 0), 3: (None, 0.0, 0), 4: (None, 0.0, 0)}
+
+
+def test_licence_spans_equal_brute_force(spark):
+    rng = random.Random(5)
+    templates = {"A": ["a b a b c d", "license of a b"], "B": ["b a b a b a c d a b", "software c d"]}
+    texts = [" ".join(rng.choice(["a", "b", "a b", "c d", "license of", "software", "x"]) for _ in range(rng.randint(0, 25))) + " y" * 30 for _ in range(300)]  # too long for a unit
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for dice in (0.8, 0.6):
+        found = {r.doc_id: (r.licence, r.dice) for r in license_scan.scan_licences(df, templates, dice).collect()}
+        wanted = {k: best_span(t, templates, dice) for k, t in enumerate(texts)}
+        assert {k: v[0] for k, v in found.items()} == {k: v[0] for k, v in wanted.items()} and len({v[0] for v in wanted.values()}) == 3
+        assert all(v[1] == pytest.approx(wanted[k][1]) for k, v in found.items())
+
+
 # Sharding.
 
 
