@@ -33,13 +33,14 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DICE = 0.8
 
-#: Notices as published, by SPDX identifier.
+#: Sentences of notices, by SPDX identifier: the templates of the SQL, for lines, whole texts and spans.
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'],
     "MIT": ["Released under the MIT License", "Licensed under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."],
@@ -50,6 +51,22 @@ TEMPLATES = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
 }
 
+#: Notices as published and whole, for spans: further paragraphs that stand alone. The texts of licences are in ``licences``.
+NOTICES = {
+    "Apache-2.0": ['Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'],
+    "MIT": ['Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'],
+    "GPL-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <http://www.gnu.org/licenses/>."],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
+}
+
+
+def published() -> dict[str, list[str]]:
+    """``NOTICES`` and the licences themselves, from the first word of the terms to their end."""
+    found = {name: list(texts) for name, texts in NOTICES.items()}
+    for path in sorted((Path(__file__).parent / "licences").glob("*.txt")):
+        found.setdefault(path.stem, []).append(path.read_text(encoding="utf-8"))
+    return found
+
 
 def normalised(text: str) -> list[str]:
     """The words of a template, as the scan makes those of a text."""
@@ -76,6 +93,8 @@ def least_overlap(n: int, dice: float) -> int:
 
 #: Words of licences, tried first as those without which a text has no notice.
 TELLING = ["license", "licensed", "licensor", "licenses", "software", "redistribution", "copyright", "commons", "gnu", "warranty"]
+#: Words of all texts, tried last.
+COMMON = set("a an and any are as at be by can for from have if in is it its may not of on one or other such that the this to under use which with without you your".split())
 
 
 def telling_words(templates: dict[str, list[str]], dice: float) -> list[str]:
@@ -91,7 +110,8 @@ def telling_words(templates: dict[str, list[str]], dice: float) -> list[str]:
             rest = list(zip(words, words[1:], strict=False))
             need = least_overlap(len(rest), dice)
             rest = [b for b in rest if not set(b) & set(chosen)]
-            for word in [*(w for w in TELLING if w in words), *sorted(set(words), key=lambda w: (-len(w), w))]:
+            often = Counter(words)
+            for word in [*(w for w in TELLING if w in often), *sorted(often, key=lambda w: (w in COMMON, -often[w], w))]:
                 if len(rest) < need:
                     break
                 if any(word in b for b in rest):
@@ -139,7 +159,9 @@ def _spans(own: str, templates: dict[str, list[str]], dice: float) -> str:
 
 def scan_licences(docs: DataFrame, templates: dict[str, list[str]] | None = None, dice: float = DICE) -> DataFrame:
     """doc_id, licence (of the nearest template at ``dice`` or more, else null), dice, lines (units that match)."""
-    templates = TEMPLATES if templates is None else templates
+    wider = templates
+    if templates is None:
+        templates, wider = TEMPLATES, {k: [*TEMPLATES.get(k, []), *published().get(k, [])] for k in TEMPLATES | published()}
     sizes = [n for _, n, _ in template_rows(templates)]
     low, high = min(sizes) * dice / (2 - dice), max(sizes) * (2 - dice) / dice
     known = _literal(templates, dice)
@@ -149,8 +171,8 @@ def scan_licences(docs: DataFrame, templates: dict[str, list[str]] | None = None
             concat(split(bare, '\n'), if(contains(bare, '\n'), array(replace(bare, '\n', ' ')), array())),
             line -> split(regexp_replace(trim(line), ' +', ' '), ' ')), words -> size(words) - 1 BETWEEN {low} AND {high})
     """.format(low=repr(low), high=repr(high))
-    telling = " OR ".join(f"contains(bare, {_text(w)})" for w in telling_words(templates, dice))
-    words = f"if({telling}, split(regexp_replace(trim(replace(bare, '\n', ' ')), ' +', ' '), ' '), array())"
+    telling = " OR ".join(f"contains(text, {_text(f' {w} ')})" for w in telling_words(wider, dice))
+    words = "if(told, split(regexp_replace(trim(text), ' +', ' '), ' '), array())"
     pairs_of = "transform(slice(words, 2, greatest(size(words) - 1, 0)), (word, i) -> concat(words[i], ' ', word))"
     bigrams = f"transform(units, words -> {pairs_of})"
     scored = f"""
@@ -158,10 +180,12 @@ def scan_licences(docs: DataFrame, templates: dict[str, list[str]] | None = None
             filter({known}, t -> size(own) BETWEEN t.low AND t.high AND arrays_overlap(t.keys, own)),
             t -> struct(2D * aggregate(zip_with(t.keys, t.times, (key, k) -> least(k, size(filter(own, b -> b = key)))), 0, (a, b) -> a + b) / (t.n + size(own)) AS dice, t.name AS name))))
     """
-    spans = f"flatten(transform(whole, own -> {_spans('own', templates, dice)}))"
+    spans = f"flatten(transform(whole, own -> {_spans('own', wider, dice)}))"
     found = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), bare.alias("bare"))
-        .select("doc_id", F.expr(units).alias("units"), F.expr(f"array({words})").alias("texts"))
+        .select("doc_id", F.expr(units).alias("units"), F.expr("concat(' ', replace(bare, '\n', ' '), ' ')").alias("text"))
+        .select("doc_id", "units", "text", F.expr(telling).alias("told"))
+        .select("doc_id", "units", F.expr(f"array({words})").alias("texts"))
         .select("doc_id", F.expr(bigrams).alias("pairs"), F.expr(f"transform(texts, words -> {pairs_of})").alias("whole"))
         .select("doc_id", F.expr(f"filter({scored}, s -> s.dice >= {dice!r}D)").alias("hits"), F.expr(spans).alias("spans"))
         .select("doc_id", F.expr("array_max(concat(hits, filter(spans, s -> NOT exists(hits, h -> h.name = s.name))))").alias("best"), F.size("hits").alias("lines"))

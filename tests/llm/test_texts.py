@@ -513,6 +513,20 @@ def test_licence_notices_within_texts(spark):
     assert found == {0: ("GPL-3.0", 1.0, 0), 1: ("BSD-3-Clause", 1.0, 0), 2: ("MIT", 1.0, 0), 3: (None, 0.0, 0), 4: (None, 0.0, 0)}
 
 
+def test_whole_licences(spark):
+    """Notices and licence texts as published, wrapped or in one line, alone and within prose."""
+    whole, prose = license_scan.published(), "the quick brown fox jumps over the lazy dog every day "
+    assert whole.keys() == {"Apache-2.0", "BSD-3-Clause", "GPL-3.0", "MIT", "MPL-2.0"} and min(len(whole[k]) for k in whole.keys() - {"BSD-3-Clause"}) == 2
+    texts = [(k, t) for k in sorted(whole) for text in whole[k] for t in (" ".join(text.split()), prose * 30 + "\n" + textwrap.fill(text, 70) + "\n" + prose * 30)]
+    assert all(dice_of(t)[0] is None for k, t in texts if k == "MIT" and "\n" not in t)
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id: (r.licence, r.dice) for r in license_scan.scan_licences(df).collect()}
+    assert [found[k][0] for k in range(len(texts))] == [k for k, _ in texts]
+    assert all(found[k][1] > 0.99 for k, (_, t) in enumerate(texts) if dice_of(t)[0] is None)  # else that of the unit
+    without = " ".join(license_scan.published()["Apache-2.0"][1].split()[600:])
+    assert license_scan.scan_licences(spark.createDataFrame([(1, without)], "doc_id long, text string")).first().licence is None
+
+
 def test_licence_spans_equal_brute_force(spark):
     rng = random.Random(5)
     templates = {"A": ["a b a b c d", "license of a b"], "B": ["b a b a b a c d a b", "software c d"]}
