@@ -3,7 +3,9 @@
 A log's data is BINARY; a word is a substring of it. Decoding never fails a row:
 a value whose offset, length or content is not valid becomes the zero of its
 type, and ``decodes`` tells whether all were valid. A log whose data is shorter
-than the event's head is left out (``fits``).
+than the event's head, or that has fewer topics than indexed arguments, is left
+out (``fits``). Elementary values and arrays of them are built-in expressions;
+tuples and arrays of dynamic values or of arrays are an Arrow function.
 """
 
 from __future__ import annotations
@@ -13,8 +15,9 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loglattice.functions import hexes
-from loglattice.functions.signature import Argument, Event
+from loglattice.functions import abi_nested, hexes
+from loglattice.functions.signature import Argument, Event, Kind
+from loglattice.functions.types import event_type
 
 WORD_BYTES = 32
 #: A length or an offset beyond this is not read; no log is so long.
@@ -57,16 +60,19 @@ def scalar(kind: str, word: Column) -> Column:
     return word
 
 
-def zero(kind: str) -> Column:
-    if kind.endswith("]"):
-        return F.array()
-    if kind == "bool":
+def zero(kind: Kind) -> Column:
+    """No elements, empty text, zero bytes, or a tuple of such."""
+    if kind.element:
+        return F.array().cast(event_type(kind))
+    if kind.fields:
+        return F.struct(*[zero(own).alias(name) for name, own in kind.fields])
+    if kind.base == "bool":
         return F.lit(False)
-    if kind == "string":
+    if kind.base == "string":
         return F.lit("")
-    if kind == "bytes":
+    if kind.base == "bytes":
         return F.unhex(F.lit(""))
-    n = 20 if kind == "address" else int(m.group(1)) if (m := re.match(r"^bytes(\d+)$", kind)) else 32
+    n = 20 if kind.base == "address" else int(m.group(1)) if (m := re.match(r"^bytes(\d+)$", kind.base)) else 32
     return F.unhex(F.lit("00" * n))
 
 
@@ -79,25 +85,24 @@ def words_at(data: Column, place: Column, n: Column, kind: str) -> Column:
 
 def data_argument(data: Column, argument: Argument, head: int) -> Column:
     """The value of a data argument whose head begins at a word; null if it is not valid."""
-    kind = argument.type
-    if argument.is_array:
-        element = re.sub(r"\[\d*\]$", "", kind)
-        if element.endswith("]") or element in ("string", "bytes"):
-            raise NotImplementedError(f"nested dynamic type {kind}")
-        if argument.dynamic:
+    kind = argument.kind
+    if kind.nested:
+        return abi_nested.nested_at(data, kind, head)
+    if kind.element:
+        if kind.dynamic:
             place = offset_at(data, head)
             n = small_number(word_at(data, place))
-            return words_at(data, place + WORD_BYTES, n, element)
-        return words_at(data, F.lit(head * WORD_BYTES), F.lit(argument.head_words), element)
-    if argument.dynamic:
+            return words_at(data, place + WORD_BYTES, n, kind.element.base)
+        return words_at(data, F.lit(head * WORD_BYTES), F.lit(argument.head_words), kind.element.base)
+    if kind.dynamic:
         raw = bytes_at(data, offset_at(data, head))
-        return raw.cast("string") if kind == "string" else raw
-    return scalar(kind, word_at(data, F.lit(head * WORD_BYTES)))
+        return raw.cast("string") if kind.base == "string" else raw
+    return scalar(kind.base, word_at(data, F.lit(head * WORD_BYTES)))
 
 
 def topic_argument(topic: Column, argument: Argument) -> Column:
     """The value of an indexed argument; of a dynamic type, its hash."""
-    if argument.dynamic or argument.is_array:
+    if argument.hashed:
         return hexes.word(topic)
     if argument.type == "address":
         return hexes.topic_address(topic)
@@ -108,30 +113,36 @@ def topic_argument(topic: Column, argument: Argument) -> Column:
     return hexes.word(topic)
 
 
-def fits(event: Event, data: Column) -> Column:
-    """Whether the data has the event's head."""
-    return F.length(data) >= event.head_words * WORD_BYTES
+def fits(event: Event, data: Column, topics: Column | None = None) -> Column:
+    """Whether the data has the event's head, and there is a topic for each indexed argument."""
+    long_enough = F.length(data) >= event.head_words * WORD_BYTES
+    return long_enough if topics is None else long_enough & (F.size(topics) > len(event.indexed))
 
 
-def decoded(event: Event, topics: Column, data: Column) -> dict[str, Column]:
-    """A column for each argument in the order of the signature; not valid ones are zero."""
+def values_of(event: Event, topics: Column, data: Column) -> dict[str, Column]:
+    """A column for each argument in the order of the signature; not valid ones are null."""
     out, head, nth = {}, 0, 1
     for argument in event.arguments:
         if argument.indexed:
             out[argument.name] = topic_argument(F.coalesce(F.get(topics, nth), F.lit("")), argument)
             nth += 1
         else:
-            out[argument.name] = F.coalesce(data_argument(data, argument, head), zero(argument.type))
+            out[argument.name] = data_argument(data, argument, head)
             head += argument.head_words
     return out
 
 
+def decoded(event: Event, topics: Column, data: Column) -> dict[str, Column]:
+    """The same; not valid ones are zero."""
+    kinds = {a.name: a for a in event.arguments}
+    return {name: value if kinds[name].indexed else F.coalesce(value, zero(kinds[name].kind)) for name, value in values_of(event, topics, data).items()}
+
+
 def decodes(event: Event, topics: Column, data: Column) -> Column:
     """Whether there are topics for all indexed arguments and every data value is valid."""
-    head, ok = 0, F.size(topics) >= 1 + len(event.indexed)
+    values, ok = values_of(event, topics, data), F.size(topics) >= 1 + len(event.indexed)
     for argument in event.data:
-        ok = ok & data_argument(data, argument, head).isNotNull()
-        head += argument.head_words
+        ok = ok & values[argument.name].isNotNull()
     return ok
 
 
@@ -141,7 +152,9 @@ def array_text(values: Column, kind: str) -> Column:
 
     element = re.sub(r"\[\d*\]$", "", kind)
     if element.startswith("uint"):
-        shown = F.transform(values, u256.to_text)
+        shown = u256.texts(values)
+    elif element.startswith("int"):
+        shown = u256.signed_texts(values)
     elif element == "bool":
         shown = F.transform(values, lambda v: v.cast("string"))
     elif element == "string":

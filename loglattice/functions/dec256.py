@@ -1,9 +1,9 @@
 """Signed decimals of 256 bits with a fixed scale, as 32 bytes of the scaled integer.
 
 Every operation gives null where the result is not representable or the divisor
-is zero. Addition, subtraction and comparison are built-in expressions;
-multiplication and division are Arrow functions on whole numbers, since Spark's
-own decimals lose digits there.
+is zero; ``all_stand`` tells of a whole group whether that happened. They are
+Arrow functions on the limbs of whole batches, since Spark's own decimals lose
+digits beyond 38.
 """
 
 from __future__ import annotations
@@ -11,10 +11,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loglattice.functions import limbs as cells_
 from loglattice.functions import u256
 
 SCALE, MOST_SCALE = 18, 76
@@ -60,31 +62,48 @@ def literal(text: str, scale: int = SCALE) -> Column:
     return u256.literal(parse(text, scale))
 
 
-def _negative(a: Column) -> Column:
-    return F.substring(a, 1, 1) >= F.unhex(F.lit("80"))
-
-
 def order_key(a: Column) -> Column:
     """Bytes that sort as the signed numbers do."""
-    return u256.bit_xor(a, u256.literal(u256.SIGN))
+    return F.arrow_udf(cells_.binary(_flipped), "binary")(a)
+
+
+def _flipped(a: np.ndarray) -> np.ndarray:
+    out = a.copy()
+    out[-1] ^= np.uint64(1 << 31)
+    return out
+
+
+def _signed(f: Callable[..., tuple[np.ndarray, np.ndarray]]) -> Callable[..., Column]:
+    """``f`` of matrices gives a matrix and which of its values stand; the others, and nulls, are null."""
+
+    def over(*arrays: pa.Array) -> pa.Array:
+        value, good = f(*map(cells_.matrix, arrays))
+        return cells_.packed(value, cells_.missing(*arrays) | ~good)
 
+    return lambda *columns: F.arrow_udf(over, "binary")(*columns)
 
-def add(a: Column, b: Column) -> Column:
-    fits = lambda x, y, total: F.when((_negative(x) != _negative(y)) | (_negative(total) == _negative(x)), total)
-    return u256.let(lambda x, y: u256.let(fits, x, y, u256.add(x, y)), a, b)
 
+def _sum(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    total = cells_.add(a, b)
+    return total, (cells_.negative(a) != cells_.negative(b)) | (cells_.negative(total) == cells_.negative(a))
 
-def sub(a: Column, b: Column) -> Column:
-    fits = lambda x, y, total: F.when((_negative(x) == _negative(y)) | (_negative(total) == _negative(x)), total)
-    return u256.let(lambda x, y: u256.let(fits, x, y, u256.sub(x, y)), a, b)
 
+def _difference(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    total = cells_.subtract(a, b)
+    return total, (cells_.negative(a) == cells_.negative(b)) | (cells_.negative(total) == cells_.negative(a))
 
-def neg(a: Column) -> Column:
-    return u256.let(lambda x: F.when(x != u256.literal(LOW), u256.negate(x)), a)
 
+def _opposite(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    size, below = cells_.magnitude(a)
+    return cells_.signed(size, ~below & size.any(axis=0))
 
-def absolute(a: Column) -> Column:
-    return u256.let(lambda x: F.when(_negative(x), neg(x)).otherwise(x), a)
+
+def _size(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    size, below = cells_.magnitude(a)
+    return cells_.signed(size, np.zeros_like(below))
+
+
+add, sub, neg, absolute = _signed(_sum), _signed(_difference), _signed(_opposite), _signed(_size)
 
 
 def truncated(a: int, b: int) -> int:
@@ -92,50 +111,80 @@ def truncated(a: int, b: int) -> int:
     return abs(a) // abs(b) * (1 if (a < 0) == (b < 0) else -1)
 
 
-def _over(f: Callable[[int, int], int | None]) -> Callable[[Column, Column], Column]:
-    @F.pandas_udf("binary")
-    def over(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            found = None if x is None or y is None else f(u256.signed(x), u256.signed(y))
-            out.append(None if found is None or not LOW <= found <= HIGH else u256.pack(found))
-        return pd.Series(out, dtype=object)
-
-    return over
+def mul(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """The product of sixteen limbs, and its quotient by the unit cut towards zero."""
 
+    def over(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        (x, low), (y, other) = cells_.magnitude(a), cells_.magnitude(b)
+        return cells_.signed(cells_.divide_by(cells_.multiply(x, y, 2 * cells_.LIMBS), 10**scale), low != other)
 
-def mul(a: Column, b: Column, scale: int = SCALE) -> Column:
-    unit = 10**scale
-    return _over(lambda x, y: truncated(x * y, unit))(a, b)
+    return _signed(over)(a, b)
 
 
 def div(a: Column, b: Column, scale: int = SCALE) -> Column:
-    unit = 10**scale
-    return _over(lambda x, y: truncated(x * unit, y) if y else None)(a, b)
+    def over(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        (x, low), (y, other) = cells_.magnitude(a), cells_.magnitude(b)
+        unit = np.broadcast_to(cells_.of_whole([10**scale]), x.shape)
+        wide = np.zeros((2 * cells_.LIMBS, y.shape[1]), np.uint64)
+        wide[: cells_.LIMBS] = y
+        found, _ = cells_.divide(cells_.multiply(x, unit, 2 * cells_.LIMBS), wide)
+        value, good = cells_.signed(found, low != other)
+        return value, good & y.any(axis=0)
+
+    return _signed(over)(a, b)
 
 
 def mod(a: Column, b: Column) -> Column:
     """The remainder, with the sign of the dividend."""
-    return _over(lambda x, y: x - y * truncated(x, y) if y else None)(a, b)
+
+    def over(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        (x, low), (y, _) = cells_.magnitude(a), cells_.magnitude(b)
+        value, good = cells_.signed(cells_.divide(x, y)[1], low)
+        return value, good & y.any(axis=0)
+
+    return _signed(over)(a, b)
 
 
 def to_text(a: Column, scale: int = SCALE) -> Column:
-    """Built in: digits without trailing zeros, from the text of the scaled integer."""
+    """Digits without trailing zeros behind the decimal sign; never ``-0``."""
 
-    def shown(x: Column, digits: Column) -> Column:
-        whole = F.ltrim(F.substring(digits, 1, 78 - scale), F.lit("0"))
-        fraction = F.rtrim(F.substring(digits, 79 - scale, scale), F.lit("0")) if scale else F.lit("")
-        number = F.concat(F.when(whole == "", "0").otherwise(whole), F.when(fraction == "", "").otherwise(F.concat(F.lit("."), fraction)))
-        return F.concat(F.when(_negative(x), "-").otherwise(""), number)
+    def over(values: pa.Array) -> pa.Array:
+        size, below = cells_.magnitude(cells_.matrix(values))
+        shown = [to_string(-x if b else x, scale) for x, b in zip(cells_.whole(size), below.tolist(), strict=True)]
+        return pa.array(shown, pa.string(), mask=cells_.missing(values))
 
-    return u256.let(lambda x: u256.let(shown, x, F.lpad(u256.to_text(absolute(x)), 78, "0")), a)
+    return F.arrow_udf(over, "string")(a)
 
 
 def from_decimal(value: Column, scale: int = SCALE) -> Column:
-    """A Spark decimal, by its text."""
+    """A Spark decimal, by its text; null beyond the range or the scale."""
+
+    def number(text: str | None) -> bytes | None:
+        try:
+            return None if text is None else u256.pack(parse(text, scale))
+        except ValueError:
+            return None
+
+    return F.arrow_udf(lambda values: pa.array(map(number, values.to_pylist()), pa.binary()), "binary")(value.cast("string"))
+
+
+def from_integer_bytes(value: Column, little: bool = False) -> Column:
+    """Two's complement of 1 to 32 bytes, of either byte order, as a scaled integer; null for any other length."""
+
+    def number(raw: bytes | None) -> bytes | None:
+        return u256.pack(int.from_bytes(raw, "little" if little else "big", signed=True)) if raw and len(raw) <= u256.BYTES else None
+
+    return F.arrow_udf(lambda values: pa.array(map(number, values.to_pylist()), pa.binary()), "binary")(value)
+
+
+def to_integer_bytes(value: Column, little: bool = False) -> Column:
+    """The 32 bytes of the scaled integer in either byte order."""
+    return F.unhex(F.array_join(F.reverse(F.regexp_extract_all(F.hex(value), F.lit("(..)"), F.lit(1))), "")) if little else value
 
-    @F.pandas_udf("binary")
-    def over(values: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None else u256.pack(parse(format(v, "f"), scale)) for v in values], dtype=object)
 
-    return over(value)
+def all_stand(value: Column, *arguments: Column) -> Column:
+    """Over a group: whether no operation failed, that is, gave null for arguments that are not null."""
+    given = F.lit(True)
+    for one in arguments:
+        given = given & one.isNotNull()
+    return F.bool_and(value.isNotNull() | ~given)

@@ -8,29 +8,73 @@ from dataclasses import dataclass, field
 
 from loglattice.functions.keccak import keccak256
 
-_TYPE = re.compile(r"^(address|bool|string|bytes(?:[1-9]|[12]\d|3[0-2])?|u?int(?:\d+)?)((?:\[\d*\])*)$")
+_ELEMENTARY = re.compile(r"^(address|bool|string|bytes(?:[1-9]|[12]\d|3[0-2])?|u?int(?:\d+)?)$")
+
+
+@dataclass(frozen=True)
+class Kind:
+    """A type: elementary, an array (``element``, and ``length`` if it is fixed), or a tuple (``fields``)."""
+
+    base: str
+    element: Kind | None = None
+    length: int | None = None
+    fields: tuple[tuple[str, Kind], ...] = ()
+
+    @property
+    def text(self) -> str:
+        """The canonical form."""
+        if self.element:
+            return f"{self.element.text}[{'' if self.length is None else self.length}]"
+        return f"({','.join(k.text for _, k in self.fields)})" if self.base == "tuple" else self.base
+
+    @property
+    def dynamic(self) -> bool:
+        """Whether the value stands behind an offset."""
+        if self.element:
+            return self.length is None or self.element.dynamic
+        return any(k.dynamic for _, k in self.fields) if self.base == "tuple" else self.base in ("string", "bytes")
+
+    @property
+    def words(self) -> int:
+        """Words of the head."""
+        if self.dynamic:
+            return 1
+        if self.element:
+            return self.length * self.element.words
+        return sum(k.words for _, k in self.fields) if self.base == "tuple" else 1
+
+    @property
+    def nested(self) -> bool:
+        """A tuple, or an array of anything but elementary values of one word."""
+        return self.base == "tuple" or self.element is not None and (self.element.element is not None or self.element.dynamic or self.element.nested)
 
 
 @dataclass(frozen=True)
 class Argument:
     name: str
-    type: str
+    kind: Kind
     indexed: bool = False
 
+    @property
+    def type(self) -> str:
+        return self.kind.text
+
     @property
     def is_array(self) -> bool:
-        return self.type.endswith("]")
+        return self.kind.element is not None
 
     @property
     def dynamic(self) -> bool:
-        """Whether the value stands behind an offset."""
-        return self.type in ("string", "bytes") or self.type.endswith("[]")
+        return self.kind.dynamic
 
     @property
     def head_words(self) -> int:
-        """Words of the head: one, or one for each element of a fixed array."""
-        fixed = re.search(r"\[(\d+)\]$", self.type)
-        return int(fixed.group(1)) if fixed and not self.dynamic else 1
+        return self.kind.words
+
+    @property
+    def hashed(self) -> bool:
+        """Whether, if indexed, its topic is a hash of the value."""
+        return self.dynamic or self.is_array or self.kind.base == "tuple"
 
 
 @dataclass(frozen=True)
@@ -61,37 +105,69 @@ def full_type(kind: str) -> str:
     return re.sub(r"^(u?int)(?=\[|$)", r"\g<1>256", kind)
 
 
+def split_list(text: str) -> list[str]:
+    """The parts between commas that stand outside of parentheses; blanks alone are no part."""
+    parts, depth, start = [], 0, 0
+    for k, c in enumerate(text):
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            parts.append(text[start:k])
+            start = k + 1
+    return [*parts, text[start:]] if text.strip() else []
+
+
+def parse_argument(text: str, unnamed: str) -> Argument:
+    """``type [indexed] [name]``; a tuple is ``(type name, ...)``, with or without ``tuple`` before it."""
+    bare = text.strip()
+    if opened := re.match(r"(?:tuple\s*)?\(", bare):
+        depth, at = 1, opened.end()
+        while at < len(bare) and depth:
+            depth += (bare[at] == "(") - (bare[at] == ")")
+            at += 1
+        if depth:
+            raise ValueError(f"{text!r} is not closed")
+        inner = [parse_argument(part, f"c{k}") for k, part in enumerate(split_list(bare[opened.end() : at - 1]))]
+        if not inner:
+            raise ValueError(f"{text!r} has no members")
+        kind, rest = Kind("tuple", fields=tuple((a.name, a.kind) for a in inner)), bare[at:]
+    else:
+        first = re.match(r"[A-Za-z0-9]*", bare).group(0)
+        if not _ELEMENTARY.match(first):
+            raise ValueError(f"{text!r} has no known type")
+        kind, rest = Kind(full_type(first)), bare[len(first) :]
+    while array := re.match(r"\[(\d*)\]", rest):
+        kind, rest = Kind("", kind, int(array.group(1)) if array.group(1) else None), rest[array.end() :]
+    if rest and not rest[0].isspace():
+        raise ValueError(f"{text!r} has no known type")
+    words = rest.split()
+    names = [w for w in words if w != "indexed"]
+    if len(names) > 1:
+        raise ValueError(f"{text!r} has two names")
+    return Argument(names[0] if names else unnamed, kind, "indexed" in words)
+
+
 def parse_event(text: str) -> Event:
-    """``[event] Name(type [indexed] [name], ...)``; unnamed arguments are p0, p1, ..."""
+    """``[event] Name(type [indexed] [name], ...)``; unnamed arguments are p0, p1, ..., members of tuples c0, c1, ..."""
     found = re.match(r"^\s*(?:event\s+)?([A-Za-z_$][\w$]*)\s*\((.*)\)\s*(?:anonymous\s*)?;?\s*$", text, re.S)
     if not found:
         raise ValueError(f"not an event signature: {text!r}")
-    arguments = []
-    for k, part in enumerate(p for p in found.group(2).split(",")) if found.group(2).strip() else ():
-        words = part.split()
-        if not words or not _TYPE.match(words[0]):
-            raise ValueError(f"argument {k} of {text!r} has no known type")
-        rest = words[1:]
-        indexed = "indexed" in rest
-        names = [w for w in rest if w != "indexed"]
-        if len(names) > 1:
-            raise ValueError(f"argument {k} of {text!r} has two names")
-        arguments.append(Argument(names[0] if names else f"p{k}", full_type(words[0]), indexed))
-    event = Event(found.group(1), tuple(arguments))
+    event = Event(found.group(1), tuple(parse_argument(part, f"p{k}") for k, part in enumerate(split_list(found.group(2)))))
     return Event(event.name, event.arguments, "0x" + keccak256(event.canonical.encode()).hex())
 
 
+def _abi_argument(entry: dict) -> str:
+    kind = entry["type"]
+    if kind.startswith("tuple"):
+        kind = f"({', '.join(map(_abi_argument, entry['components']))}){kind.removeprefix('tuple')}"
+    return " ".join(x for x in (kind, "indexed" if entry.get("indexed") else "", entry.get("name", "")) if x)
+
+
 def events_of_abi(text: str) -> list[str]:
     """Signatures of the events of an ABI in JSON (a list, or an object with ``abi``)."""
     entries = json.loads(text)
     if isinstance(entries, dict):
         entries = entries["abi"]
-    found = []
-    for entry in entries:
-        if entry.get("type") == "event":
-            arguments = (" ".join(x for x in (a["type"], "indexed" if a.get("indexed") else "", a.get("name", "")) if x) for a in entry.get("inputs", []))
-            found.append(f"{entry['name']}({', '.join(arguments)})")
-    return found
+    return [f"{e['name']}({', '.join(map(_abi_argument, e.get('inputs', [])))})" for e in entries if e.get("type") == "event"]
 
 
 def snake_case(name: str) -> str:

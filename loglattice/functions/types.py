@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import types as T
 
+from loglattice.functions.signature import Kind
+
 #: 256-bit numbers are 32 bytes, most significant first, so that they sort as numbers.
 WORD = T.BinaryType()
 
@@ -34,15 +34,13 @@ STATE_TYPES: dict[str, T.DataType] = {
 }
 
 
-def event_type(kind: str) -> T.DataType:
-    """The Spark type of a contract type."""
-    if array := re.match(r"^(.*)\[\d*\]$", kind):
-        return T.ArrayType(event_type(array.group(1)))
-    if kind == "bool":
-        return T.BooleanType()
-    if kind == "string":
-        return T.StringType()
-    return T.BinaryType()
+def event_type(kind: Kind) -> T.DataType:
+    """The Spark type of a contract type: arrays, tuples as structs, numbers and bytes as BINARY."""
+    if kind.element:
+        return T.ArrayType(event_type(kind.element))
+    if kind.fields:
+        return T.StructType([T.StructField(name, event_type(own)) for name, own in kind.fields])
+    return {"bool": T.BooleanType(), "string": T.StringType()}.get(kind.base, T.BinaryType())
 
 
 def state_type(kind: str) -> T.DataType:

@@ -1,20 +1,26 @@
 """Unsigned and signed 256-bit integers as 32 bytes, most significant first.
 
 Comparison, minimum, maximum, grouping and joins are those of BINARY, which sorts
-as the numbers do. Addition, subtraction, multiplication, sums, bit operations
-and text are built-in expressions over limbs; division, remainder and shifts are
-Arrow functions over whole batches. All results are modulo 2^256.
+as the numbers do. Sums are built in: each limb is a long column that is summed
+with map-side combining, and the eight sums are carried once a group. All other
+arithmetic and text are Arrow functions over the limbs of whole batches
+(``functions.limbs``), and neighbouring ones share one passage to Python. All
+results are modulo 2^256.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BYTES, LIMBS, BASE = 32, 8, 1 << 32
+from loglattice.functions import limbs as cells_
+
+BYTES, LIMBS = 32, 8
 MODULUS = 1 << 256
 SIGN = 1 << 255
 
@@ -42,40 +48,19 @@ def from_long(value: Column) -> Column:
     return F.unhex(F.concat(F.when(value < 0, F.lit("F" * 48)).otherwise(F.lit("0" * 48)), digits))
 
 
-def let(f: Callable[..., Column], *values: Column) -> Column:
-    """``f`` of values that are computed once, however often it names them."""
-    bound = F.array(F.struct(*[v.alias(f"v{k}") for k, v in enumerate(values)]))
-    return F.get(F.transform(bound, lambda s: f(*[s[f"v{k}"] for k in range(len(values))])), 0)
-
-
-def _limb(value: Column, k: int, size: int = 4) -> Column:
-    """The k-th limb of ``size`` bytes, least significant first."""
-    return F.conv(F.hex(F.substring(value, BYTES - size * (k + 1) + 1, size)), 16, 10).cast("long")
-
-
-def limbs(value: Column, size: int = 4) -> Column:
-    return F.array(*[_limb(value, k, size) for k in range(BYTES // size)])
-
-
-def from_limbs(values: Column, size: int = 4) -> Column:
-    """Limbs, which may be negative or too large, to a number: carries run upwards, the last is dropped."""
-    bits, mask = 8 * size, (1 << 8 * size) - 1
-    start = F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("carry"))
+def _arrow(f: Callable[..., pa.Array], kind: str = "binary") -> Callable[..., Column]:
+    """An Arrow function that is made where it is called, so that importing needs no session."""
+    return lambda *columns: F.arrow_udf(f, kind)(*columns)
 
-    def step(seen: Column, limb: Column) -> Column:
-        total = limb + seen["carry"]
-        digits = F.lpad(F.hex(total.bitwiseAND(F.lit(mask).cast("long"))), 2 * size, "0")
-        return F.struct(F.concat(digits, seen["text"]).alias("text"), F.shiftright(total, bits).alias("carry"))
 
-    return F.unhex(F.aggregate(values, start, step, lambda seen: seen["text"]))
-
-
-def add(a: Column, b: Column) -> Column:
-    return let(lambda x, y: from_limbs(F.array(*[_limb(x, k) + _limb(y, k) for k in range(LIMBS)])), a, b)
-
-
-def sub(a: Column, b: Column) -> Column:
-    return let(lambda x, y: from_limbs(F.array(*[_limb(x, k) - _limb(y, k) for k in range(LIMBS)])), a, b)
+add = _arrow(cells_.binary(cells_.add))
+sub = _arrow(cells_.binary(cells_.subtract))
+mul = _arrow(cells_.binary(cells_.multiply))
+bit_and = _arrow(cells_.binary(lambda a, b: a & b))
+bit_or = _arrow(cells_.binary(lambda a, b: a | b))
+bit_xor = _arrow(cells_.binary(lambda a, b: a ^ b))
+bit_not = _arrow(cells_.binary(cells_.invert))
+negate = _arrow(cells_.binary(cells_.negate))
 
 
 def add_overflows(a: Column, b: Column) -> Column:
@@ -86,44 +71,44 @@ def sub_overflows(a: Column, b: Column) -> Column:
     return a < b
 
 
-def negate(a: Column) -> Column:
-    return let(lambda x: from_limbs(F.array(*[-_limb(x, k) for k in range(LIMBS)])), a)
-
-
-def mul(a: Column, b: Column) -> Column:
-    """By limbs of 16 bits, whose products and their sums fit a long."""
-
-    def product(x: Column, y: Column) -> Column:
-        places = F.sequence(F.lit(0), F.lit(BYTES // 2 - 1))
-        one = lambda k: F.aggregate(F.sequence(F.lit(0), k), F.lit(0).cast("long"), lambda s, i: s + F.get(x, i) * F.get(y, k - i))
-        return from_limbs(F.transform(places, one), 2)
+#: Limbs as a struct of longs, and back from the sums of a group.
+LIMB_STRUCT = "struct<" + ", ".join(f"l{k}: bigint" for k in range(LIMBS)) + ">"
 
-    return let(product, let(lambda x: limbs(x, 2), a), let(lambda y: limbs(y, 2), b))
 
+def _limbs(values: pa.Array) -> pa.Array:
+    rows, null = cells_.matrix(values).astype(np.int64), cells_.missing(values)
+    fields = [pa.array(row, pa.int64(), mask=null) for row in rows]
+    return pa.StructArray.from_arrays(fields, [f"l{k}" for k in range(LIMBS)])
 
-def sum_of(value: Column) -> Column:
-    """The sum over a group; up to 2^31 rows a group."""
-    return from_limbs(F.array(*[F.coalesce(F.sum(_limb(value, k)), F.lit(0)) for k in range(LIMBS)]))
 
+def _carried(values: pa.Array) -> pa.Array:
+    """The number of limbs that may be negative or too large; the last carry is dropped."""
+    rows = [values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(LIMBS)]
+    out, carry = np.zeros((LIMBS, len(values)), np.uint64), np.zeros(len(values), np.int64)
+    for k, row in enumerate(rows):
+        total = row + carry
+        out[k], carry = (total & 0xFFFFFFFF).astype(np.uint64), total >> 32
+    return cells_.packed(out)
 
-def _bits(a: Column, b: Column, how: str) -> Column:
-    return let(lambda x, y: from_limbs(F.array(*[getattr(_limb(x, k), how)(_limb(y, k)) for k in range(LIMBS)])), a, b)
 
+def limbs(value: Column) -> Column:
+    """A struct of eight longs, the least significant 32 bits first."""
+    return F.arrow_udf(_limbs, LIMB_STRUCT)(value)
 
-def bit_and(a: Column, b: Column) -> Column:
-    return _bits(a, b, "bitwiseAND")
 
+def from_limbs(sums: list[Column]) -> Column:
+    """Limbs, which may be negative or too large, to a number: carries run upwards."""
+    return F.arrow_udf(_carried, "binary")(F.struct(*[s.cast("long").alias(f"l{k}") for k, s in enumerate(sums)]))
 
-def bit_or(a: Column, b: Column) -> Column:
-    return _bits(a, b, "bitwiseOR")
 
+def limb_sums(value: Column) -> list[Column]:
+    """The sums over a group of the limbs of a struct of ``limbs``; up to 2^31 rows a group."""
+    return [F.coalesce(F.sum(value[f"l{k}"]), F.lit(0)) for k in range(LIMBS)]
 
-def bit_xor(a: Column, b: Column) -> Column:
-    return _bits(a, b, "bitwiseXOR")
 
-
-def bit_not(a: Column) -> Column:
-    return let(lambda x: from_limbs(F.array(*[F.lit(BASE - 1).cast("long") - _limb(x, k) for k in range(LIMBS)])), a)
+def sum_of(value: Column) -> Column:
+    """The sum over a group; up to 2^31 rows a group."""
+    return from_limbs(limb_sums(limbs(value)))
 
 
 def is_zero(a: Column) -> Column:
@@ -135,39 +120,35 @@ def fits_long(a: Column) -> Column:
     return F.substring(a, 1, 24) == F.unhex(F.lit("00" * 24))
 
 
-def to_text(a: Column) -> Column:
-    """Decimal digits: of numbers below 2^64 by one conversion, else limbs folded into nine groups of nine digits."""
-    groups = F.array(*[F.lit(0).cast("long")] * 9)
+def _text(values: pa.Array) -> pa.Array:
+    return pa.array(cells_.texts(cells_.matrix(values)), pa.string(), mask=cells_.missing(values))
 
-    def fold(seen: Column, limb: Column) -> Column:
-        start = F.struct(F.filter(seen, lambda g: g < 0).alias("out"), limb.alias("carry"))
 
-        def step(acc: Column, group: Column) -> Column:
-            total = group * F.lit(BASE).cast("long") + acc["carry"]
-            unit = F.lit(10**9).cast("long")
-            return F.struct(F.concat(acc["out"], F.array(total % unit)).alias("out"), F.call_function("div", total, unit).alias("carry"))
+def _signed_text(values: pa.Array) -> pa.Array:
+    size, below = cells_.magnitude(cells_.matrix(values))
+    shown = [f"-{t}" if b else t for t, b in zip(cells_.texts(size), below.tolist(), strict=True)]
+    return pa.array(shown, pa.string(), mask=cells_.missing(values))
 
-        return F.aggregate(seen, start, step, lambda acc: acc["out"])
 
-    def shown(x: Column) -> Column:
-        found = F.aggregate(F.reverse(limbs(x)), groups, fold)
-        digits = F.array_join(F.transform(F.reverse(found), lambda g: F.lpad(g.cast("string"), 9, "0")), "")
-        return F.when(x.isNotNull(), F.ltrim(digits, F.lit("0")))
+#: Decimal digits, and those of two's complement.
+to_text = _arrow(_text, "string")
+to_signed_text = _arrow(_signed_text, "string")
 
-    def text(x: Column) -> Column:
-        below = F.conv(F.hex(F.substring(x, 25, 8)), 16, 10)
-        return F.when(fits_long(x), below).otherwise(shown(x))
 
-    return let(text, a)
+def _each(f: Callable[[pa.Array], pa.Array]) -> Callable[[pa.Array], pa.Array]:
+    """A function of the values of an array column."""
 
+    def over(lists: pa.Array) -> pa.Array:
+        shown = f(lists.flatten())
+        ends = np.concatenate([[0], np.cumsum(np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), shown, mask=lists.is_null() if lists.null_count else None)
 
-def to_signed_text(a: Column) -> Column:
-    below = lambda x: F.substring(x, 1, 1) >= F.unhex(F.lit("80"))
-    return let(lambda x: F.concat(F.when(below(x), "-").otherwise(""), to_text(F.when(below(x), negate(x)).otherwise(x))), a)
+    return over
 
 
-def to_double(a: Column) -> Column:
-    return to_text(a).cast("double")
+#: The same of arrays of numbers.
+texts = _arrow(_each(_text), "array<string>")
+signed_texts = _arrow(_each(_signed_text), "array<string>")
 
 
 def parse(text: str) -> int:
@@ -180,62 +161,43 @@ def parse(text: str) -> int:
     return value
 
 
-def _batch(f: Callable[[int, int], int | None]) -> Callable[[Column, Column], Column]:
-    @F.pandas_udf("binary")
-    def over(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            found = None if x is None or y is None else f(unpack(x), unpack(y))
-            out.append(None if found is None else pack(found))
-        return pd.Series(out, dtype=object)
-
-    return over
-
-
-def div(a: Column, b: Column) -> Column:
-    """The quotient; 0 where the divisor is 0."""
-    return _batch(lambda x, y: x // y if y else 0)(a, b)
-
-
-def mod(a: Column, b: Column) -> Column:
-    """The remainder; 0 where the divisor is 0."""
-    return _batch(lambda x, y: x % y if y else 0)(a, b)
+#: Quotient and remainder; 0 where the divisor is 0.
+div = _arrow(cells_.binary(lambda a, b: cells_.divide(a, b)[0]))
+mod = _arrow(cells_.binary(lambda a, b: cells_.divide(a, b)[1]))
 
 
 def div_by(a: Column, divisor: int) -> Column:
     """The quotient by a constant, which is not 0."""
     if divisor <= 0:
         raise ZeroDivisionError("a constant divisor is above 0")
-    return _batch(lambda x, _: x // divisor)(a, a)
+    if divisor >= MODULUS:
+        return F.when(a.isNotNull(), literal(0))
 
+    def over(a: np.ndarray) -> np.ndarray:
+        found = cells_.divide_by(a, divisor)
+        return cells_.of_whole([x // divisor for x in cells_.whole(a)]) if found is None else found
 
-def shift_left(a: Column, by: Column) -> Column:
-    return _shift(lambda x, n: x << n if n < 256 else 0)(a, by)
+    return F.arrow_udf(cells_.binary(over), "binary")(a)
 
 
-def shift_right(a: Column, by: Column) -> Column:
-    return _shift(lambda x, n: x >> n if n < 256 else 0)(a, by)
+def _shift(left: bool) -> Callable[[Column, Column], Column]:
+    def over(values: pa.Array, by: pa.Array) -> pa.Array:
+        places = pc.fill_null(by.cast(pa.int64()), 0).to_numpy(zero_copy_only=False)
+        return cells_.packed(cells_.shift(cells_.matrix(values), places, left), cells_.missing(values, by))
 
+    return lambda a, by: F.arrow_udf(over, "binary")(a, by.cast("long"))
 
-def _shift(f: Callable[[int, int], int]) -> Callable[[Column, Column], Column]:
-    @F.pandas_udf("binary")
-    def over(a: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or pd.isna(k) else pack(f(unpack(x), int(k))) for x, k in zip(a, n, strict=True)], dtype=object)
 
-    return over
+shift_left, shift_right = _shift(True), _shift(False)
 
 
 def from_text(text: Column) -> Column:
     """Parsed numbers; null where the text is none."""
 
-    @F.pandas_udf("binary")
-    def over(values: pd.Series) -> pd.Series:
-        out = []
-        for value in values:
-            try:
-                out.append(None if value is None else pack(parse(value)))
-            except ValueError:
-                out.append(None)
-        return pd.Series(out, dtype=object)
-
-    return over(text)
+    def number(value: str | None) -> bytes | None:
+        try:
+            return None if value is None else pack(parse(value))
+        except ValueError:
+            return None
+
+    return F.arrow_udf(lambda values: pa.array(map(number, values.to_pylist()), pa.binary()), "binary")(text)

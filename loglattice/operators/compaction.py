@@ -34,7 +34,7 @@ def compacted(log: DataFrame, keys: list[str], interval: int, head: int, lower:
     if span is None:
         return log
     inside = (F.col("block_number") > span[0]) & (F.col("block_number") <= span[1])
-    keep = latest_by_bucket(log.where(inside), keys, interval).select(*keys, *ORDER)
+    keep = latest_by_bucket(log.where(inside).select(*keys, *ORDER), keys, interval)
     dropped = log.where(inside).select(*keys, *ORDER).join(keep, [*keys, *ORDER], "left_anti").distinct()
     return log.join(dropped, [*keys, *ORDER], "left_anti").select(*log.columns)
 

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from loglattice.functions import u256
 from loglattice.functions.types import ORDER
+from loglattice.operators.latest import position
 
 ZERO_ADDRESS = bytes(20)
 
@@ -24,21 +25,26 @@ def transfer_positions(transfers: DataFrame, sender: str = "from", receiver: str
     """Totals in and out, transfers, and the last position of each address.
 
     Transfers from and to the zero address count on one side only; one to
-    oneself counts twice. One pass: each transfer gives its two sides, which
-    are summed in the map tasks.
+    oneself counts twice. One pass: a value is cut into limbs once, each transfer
+    gives its two sides, and a hash aggregation sums them in the map tasks.
     """
-    zero, nothing = F.lit(ZERO_ADDRESS), u256.literal(0)
     sides = F.array(
-        F.struct(F.col(f"`{sender}`").alias("address"), nothing.alias("value_in"), F.col(f"`{value}`").alias("value_out")),
-        F.struct(F.col(f"`{receiver}`").alias("address"), F.col(f"`{value}`").alias("value_in"), nothing.alias("value_out")),
-    )
-    flat = transfers.select(F.explode(sides).alias("s"), "block_number", "block_timestamp", "transaction_index", "log_index").where(F.col("s.address") != zero)
-    last = F.max(F.struct("block_number", "transaction_index", "log_index", "block_timestamp"))
-    found = flat.groupBy(F.col("s.address").alias("address")).agg(
-        u256.sum_of(F.col("s.value_in")).alias("total_in"), u256.sum_of(F.col("s.value_out")).alias("total_out"), F.count("*").alias("transfer_count"), last.alias("last")
+        F.struct(F.col(f"`{sender}`").alias("address"), F.lit(False).alias("received")),
+        F.struct(F.col(f"`{receiver}`").alias("address"), F.lit(True).alias("received")),
     )
+    where = ["block_number", "transaction_index", "log_index", "block_timestamp"]
+    cut = transfers.select(F.col(f"`{sender}`"), F.col(f"`{receiver}`"), u256.limbs(F.col(f"`{value}`")).alias("limbs"), position(transfers, ORDER).alias("at"), *where)
+    flat = cut.select(F.inline(sides), "limbs", "at", *where).where(F.col("address") != F.lit(ZERO_ADDRESS))
+
+    def total(received: bool) -> list[Column]:
+        side = F.col("received") if received else ~F.col("received")
+        return [F.sum(F.when(side, F.col(f"limbs.l{k}")).otherwise(F.lit(0))) for k in range(u256.LIMBS)]
+
+    sums = {f"{name}{k}": c for name, received in (("in", True), ("out", False)) for k, c in enumerate(total(received))}
+    found = flat.groupBy("address").agg(*[c.alias(n) for n, c in sums.items()], F.count("*").alias("transfer_count"), *[F.max_by(c, "at").alias(c) for c in where])
+    whole = {name: u256.from_limbs([F.col(f"{name}{k}") for k in range(u256.LIMBS)]) for name in ("in", "out")}
     return found.select(
-        "address", "total_in", "total_out", "transfer_count", F.col("last.block_number").alias("updated_at_block"), F.col("last.block_timestamp").alias("updated_at"), *[F.col(f"last.{c}").alias(c) for c in ORDER]
+        "address", whole["in"].alias("total_in"), whole["out"].alias("total_out"), "transfer_count", F.col("block_number").alias("updated_at_block"), F.col("block_timestamp").alias("updated_at"), *ORDER
     )
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loglattice.operators.latest import latest
+
 
 def rates(samples: DataFrame, counters: list[str], chain: str = "chain_id", time: str = "ts") -> DataFrame:
     """Adds ``<counter>_per_s``: the growth since the chain's sample before, by the seconds; 0 for the first."""
@@ -57,8 +59,7 @@ def high_water(rows: DataFrame, column: str = "block_number") -> DataFrame:
 
 def latest_checkpoint(sync: DataFrame) -> DataFrame:
     """Of each chain the newest checkpoint; the higher block among equal times."""
-    whole = F.struct(*sync.columns)
-    return sync.groupBy("chain_id").agg(F.max_by(whole, F.struct("updated_at", "last_block")).alias("_row")).select("_row.*")
+    return latest(sync, ["chain_id"], ("updated_at", "last_block"))
 
 
 def tables_with(columns: DataFrame, tables: DataFrame, needed: str = "block_number", marked: str = "chain_id", unlike: str = "%View") -> DataFrame:

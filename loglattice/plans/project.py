@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loglattice.functions import abi, hexes
+from loglattice.functions import abi, abi_nested, hexes, u256
 from loglattice.functions.signature import Event, entity_tables, event_table, parse_event, quoted, text_literal
 from loglattice.functions.types import ALWAYS, METADATA, ORDER, event_type, state_type
 from loglattice.plans.config import Config, ConfigError, plain
@@ -38,8 +38,7 @@ class EventSpec:
         kinds = [(n, METADATA[n]) for n in self.metadata]
         for name in self.columns:
             argument = by_name[name]
-            hashed = argument.indexed and (argument.dynamic or argument.is_array)
-            kinds.append((name, T.BinaryType() if hashed else event_type(argument.type)))
+            kinds.append((name, T.BinaryType() if argument.indexed and argument.hashed else event_type(argument.kind)))
         return T.StructType([T.StructField(n, t, False) for n, t in kinds])
 
     @property
@@ -131,11 +130,13 @@ class Project:
         own = [s for s in named if address.lower() in (a.lower() for a in s.addresses)]
         return (own or [s for s in named if not s.addresses] or [None])[0]
 
-    def decode(self, logs: DataFrame, spec: EventSpec) -> DataFrame:
+    def decode(self, logs: DataFrame, spec: EventSpec, diagnose: bool = False) -> DataFrame:
         """The typed rows of an event out of raw logs (see ``sources.blocks.logs_of``).
 
-        Logs shorter than the event's head are left out; a value that is not
-        valid is zero. The chain is always kept, as ``_chain_id``.
+        Logs shorter than the event's head, or with fewer topics than indexed
+        arguments, are left out; a value that is not valid is zero. The chain is
+        always kept, as ``_chain_id``; ``diagnose`` adds ``_decode_ok``, whether
+        every value was valid, which no table stores.
         """
         data = hexes.lenient_bytes(F.col("data"))
         values = abi.decoded(spec.event, F.col("topics"), F.col("_data"))
@@ -150,29 +151,28 @@ class Project:
             "log_index": F.col("log_index"),
         }
         chosen = logs.where((F.size("topics") > 0) & spec.matches(F.col("topics"), F.col("address")) & (F.col("chain_id") == spec.chain_id))
-        chosen = chosen.withColumn("_data", data).where(abi.fits(spec.event, F.col("_data")))
-        return chosen.select(*[meta[n].alias(n) for n in spec.metadata], *[values[n].alias(n) for n in spec.columns], F.col("chain_id").alias("_chain_id"))
+        chosen = chosen.withColumn("_data", data).where(abi.fits(spec.event, F.col("_data"), F.col("topics")))
+        known = [abi.decodes(spec.event, F.col("topics"), F.col("_data")).alias("_decode_ok")] if diagnose else []
+        return chosen.select(*[meta[n].alias(n) for n in spec.metadata], *[values[n].alias(n) for n in spec.columns], F.col("chain_id").alias("_chain_id"), *known)
 
     def params_json(self, logs: DataFrame, spec: EventSpec) -> DataFrame:
         """Logs with event_name, topic0 and params: JSON with sorted names, numbers quoted, bytes as 0x text."""
-        from loglattice.functions import u256
-
         def shown(argument, value: Column) -> Column:
-            hashed = argument.indexed and (argument.dynamic or argument.is_array)
-            kind = argument.type
-            if hashed or kind.startswith("bytes") and not argument.is_array or kind == "address":
+            kind = argument.kind
+            if argument.indexed and argument.hashed:
                 return hexes.hex_text(value)
-            if argument.is_array:
-                element = kind.split("[")[0]
-                if element.startswith(("uint", "int")):
-                    return F.transform(value, u256.to_text if element[0] == "u" else u256.to_signed_text)
-                return value if element in ("bool", "string") else F.transform(value, hexes.hex_text)
-            if kind.startswith("uint"):
-                return u256.to_text(value)
-            return u256.to_signed_text(value) if kind.startswith("int") else value
+            if kind.nested:
+                return abi_nested.shown(value, kind)
+            base = (kind.element or kind).base
+            if base in ("bool", "string"):
+                return value
+            if base.startswith(("uint", "int")):
+                one, many = (u256.to_text, u256.texts) if base[0] == "u" else (u256.to_signed_text, u256.signed_texts)
+                return many(value) if kind.element else one(value)
+            return F.transform(value, hexes.hex_text) if kind.element else hexes.hex_text(value)
 
         chosen = logs.where((F.size("topics") > 0) & spec.matches(F.col("topics"), F.col("address")))
-        chosen = chosen.withColumn("_data", hexes.lenient_bytes(F.col("data"))).where(abi.fits(spec.event, F.col("_data")))
+        chosen = chosen.withColumn("_data", hexes.lenient_bytes(F.col("data"))).where(abi.fits(spec.event, F.col("_data"), F.col("topics")))
         values = abi.decoded(spec.event, F.col("topics"), F.col("_data"))
         by_name = {a.name: a for a in spec.event.arguments}
         params = F.to_json(F.struct(*[shown(by_name[n], values[n]).alias(n) for n in sorted(values)])) if values else F.lit("{}")

@@ -163,3 +163,57 @@ def test_abi_decoding(spark):
     assert not found["flag"].ok and found["flag"].flag is False and found["flag"].note == "hello"
     assert not found["offset"].ok and found["offset"].many == [] and found["huge"].many == []
     assert not found["cut"].ok and bytes(found["cut"].raw) == b"" and found["cut"].note == "hello"
+
+
+def test_nested_abi(spark):
+    event = parse_event("E(string[] names, uint256[][] grid, (uint256 id, string note, address[2] both)[] parts, (bool ok, bytes4 tag) flat)")
+    assert event.canonical == "E(string[],uint256[][],(uint256,string,address[2])[],(bool,bytes4))" and event.head_words == 5
+
+    def text(value):
+        return words(len(value)) + value.encode().ljust(-(-len(value) // 32) * 32, b"\0")
+
+    def heads(*tails):
+        out, at = [], 32 * len(tails)
+        for tail in tails:
+            out.append(at)
+            at += len(tail)
+        return words(*out) + b"".join(tails)
+
+    names = words(2) + heads(text("one"), text(""))
+    grid = words(3) + heads(words(1, 7), words(0), words(2, 2**200, 9))
+    part = words(5, 4 * 32, b"\0" * 12 + b"a" * 20, b"\0" * 12 + b"b" * 20) + text("note")
+    parts = words(1) + heads(part)
+    start = 5 * 32
+    data = words(start, start + len(names), start + len(names) + len(grid), 1, b"tag!".ljust(32, b"\0")) + names + grid + parts
+    rows = [("good", data), ("cut", data[:-64]), ("flag", data[: 3 * 32] + words(2) + data[4 * 32 :])]
+    df = spark.createDataFrame([(n, d, [event.topic]) for n, d in rows], "n string, data binary, topics array<string>")
+    values = abi.decoded(event, F.col("topics"), F.col("data"))
+    found = {r.n: r for r in df.select("n", abi.decodes(event, F.col("topics"), F.col("data")).alias("ok"), *[c.alias(k) for k, c in values.items()]).collect()}
+    one = found["good"]
+    assert one.ok and one.names == ["one", ""] and [[u256.unpack(x) for x in row] for row in one.grid] == [[7], [], [2**200, 9]]
+    assert u256.unpack(one.parts[0].id) == 5 and one.parts[0].note == "note" and [bytes(x) for x in one.parts[0].both] == [b"a" * 20, b"b" * 20]
+    assert one.flat.ok is True and bytes(one.flat.tag) == b"tag!"
+    assert not found["cut"].ok and found["cut"].parts == [] and found["cut"].names == ["one", ""]
+    assert not found["flag"].ok and found["flag"].flat.ok is False and bytes(found["flag"].flat.tag) == bytes(4)
+    with pytest.raises(ValueError):
+        parse_event("E((uint256 a, string b x)")
+    abi_json = '[{"type":"event","name":"P","inputs":[{"name":"x","type":"tuple[]","components":[{"name":"a","type":"uint8"},{"name":"b","type":"string[]"}]}]}]'
+    assert events_of_abi(abi_json) == ["P((uint8 a, string[] b)[] x)"] and parse_event(events_of_abi(abi_json)[0]).canonical == "P((uint8,string[])[])"
+
+
+def test_topics_guard(spark):
+    event = parse_event("Transfer(address indexed from, address indexed to, uint256 value)")
+    df = spark.createDataFrame([(["t", "a", "b"], bytes(32)), (["t", "a"], bytes(32)), (["t", "a", "b", "c"], b"")], "topics array<string>, data binary")
+    assert [r.f for r in df.select(abi.fits(event, F.col("data"), F.col("topics")).alias("f")).collect()] == [True, False, False]
+
+
+def test_decimal_bytes_and_whole_calls(spark):
+    df = spark.createDataFrame([(b"\xfe\xff", u256.pack(5), u256.pack(0)), (b"", u256.pack(7), u256.pack(2)), (None, None, u256.pack(1))], "raw binary, a binary, b binary")
+    little, back = dec256.from_integer_bytes(F.col("raw"), little=True), dec256.to_integer_bytes(F.col("a"), little=True)
+    found = df.select(little.alias("n"), back.alias("b")).collect()
+    assert u256.signed(found[0].n) == -2 and found[1].n is None and found[2].n is None
+    assert bytes(found[0].b) == u256.pack(5)[::-1] and found[2].b is None
+    stand = lambda f: df.agg(dec256.all_stand(f(F.col("a"), F.col("b")), F.col("a"), F.col("b")).alias("ok")).first().ok
+    assert stand(dec256.add) and not stand(dec256.div)
+    money = spark.createDataFrame([("1.5",), ("-0.25",)], "t string").select(dec256.from_decimal(F.col("t").cast("decimal(30,10)")).alias("v"))
+    assert [u256.signed(r.v) for r in money.collect()] == [15 * 10**17, -25 * 10**16]
