@@ -1,17 +1,18 @@
-"""Tables on shared storage: appended by batch, cut back and compacted by stretches of blocks.
+"""Tables on shared storage: immutable segments, named by a commit.
 
-A table is a folder of Parquet, partitioned by ``block_bucket``. A batch writes
-its own folder (``batch=<id>``) in overwrite mode, so a batch that is repeated
-after a failure replaces itself. Rollback and compaction rewrite the buckets
-that change and leave the others alone.
+A segment is a folder of Parquet under a name that is never used again,
+partitioned by stretches of blocks and sorted by the table's order. Nothing is
+ever overwritten: which segments make up a table is said by a commit alone
+(``streaming.commits``), so what a failed job leaves behind is never read, and a
+rollback drops the segments above a block and rewrites only those that cross it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,11 +20,31 @@ from loglattice.functions.types import ORDER
 from loglattice.operators import compaction
 
 BUCKET = 100_000
+#: Segments of like size that are merged into one.
+FAN_IN = 16
+
+
+@dataclass(frozen=True)
+class Segment:
+    """A folder, the first and the last block that its batch covers, and its rows."""
+
+    name: str
+    first: int
+    last: int
+    rows: int
+
+    @property
+    def level(self) -> int:
+        """The power of ``FAN_IN`` that its rows reach."""
+        level, n = 0, self.rows
+        while n >= FAN_IN * 1000:
+            level, n = level + 1, n // FAN_IN
+        return level
 
 
 @dataclass
 class Table:
-    """A partitioned table; ``order`` is its sort key."""
+    """Writes and reads segments; ``order`` is the sort key."""
 
     spark: SparkSession
     path: str
@@ -31,62 +52,51 @@ class Table:
     order: tuple[str, ...] = ORDER
     bucket: int = BUCKET
 
-    def _fs(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), self.spark._jvm.org.apache.hadoop.fs.Path
-
-    def exists(self) -> bool:
-        fs, path = self._fs()
-        return fs.exists(path(self.path)) and len(fs.listStatus(path(self.path))) > 0
-
-    def read(self) -> DataFrame:
-        if not self.exists():
+    def read(self, segments: list[Segment]) -> DataFrame:
+        if not segments:
             return self.spark.createDataFrame([], self.schema)
-        full = T.StructType([*self.schema.fields, T.StructField("batch", T.LongType()), T.StructField("block_bucket", T.LongType())])
-        return self.spark.read.schema(full).parquet(self.path).select(*self.schema.fieldNames())
+        full = T.StructType([*self.schema.fields, T.StructField("segment", T.StringType()), T.StructField("block_bucket", T.LongType())])
+        found = self.spark.read.schema(full).option("basePath", self.path).parquet(*[f"{self.path}/segment={s.name}" for s in segments])
+        return found.select(*self.schema.fieldNames())
 
-    def append(self, rows: DataFrame, batch: int) -> None:
-        """Rows clustered by bucket and sorted by the table's order; the same batch again replaces itself."""
+    def write(self, rows: DataFrame, first: int, last: int) -> Segment:
+        """A new segment of rows clustered by bucket and sorted by the table's order."""
         bucket = F.floor(F.col("block_number") / self.bucket).cast("long")
+        counted = Observation()
         out = rows.select(*self.schema.fieldNames()).withColumn("block_bucket", bucket)
         own = [c for c in self.order if c in self.schema.fieldNames()]
         spread = out.repartitionByRange("block_bucket", *own) if own else out.repartition("block_bucket")
-        spread.sortWithinPartitions("block_bucket", *own).write.mode("overwrite").partitionBy("block_bucket").parquet(f"{self.path}/batch={batch}")
-
-    def _rewrite(self, keep: DataFrame, changed: Callable[[int], bool], batch: int) -> None:
-        """Replaces the buckets that change by what of them stays, written first and swapped in by renames."""
-        fs, path = self._fs()
-        if not self.exists():
-            return
-        fresh = f"{self.path}/.rewrite-{batch}"
-        bucket = F.floor(F.col("block_number") / self.bucket).cast("long")
-        keep.withColumn("block_bucket", bucket).write.mode("overwrite").partitionBy("block_bucket").parquet(fresh)
-        for old in fs.listStatus(path(self.path)):
-            name = old.getPath().getName()
-            if name.startswith("batch="):
-                for part in fs.listStatus(old.getPath()):
-                    own = part.getPath().getName()
-                    if own.startswith("block_bucket=") and changed(int(own.split("=")[1])):
-                        fs.delete(part.getPath(), True)
-        fs.rename(path(fresh), path(f"{self.path}/batch={batch}"))
-
-    def rollback(self, block: int, batch: int, chain_id: int | None = None) -> None:
-        """Drops what lies above a block; only the bucket of the block is rewritten, later ones of this chain alone are deleted."""
-        edge = block // self.bucket
-        above = self.read().where(F.floor(F.col("block_number") / self.bucket) >= edge)
-        self._rewrite(compaction.rolled_back(above, block, chain_id), lambda b: b >= edge, batch)
-
-    def compact(self, keys: list[str], interval: int, head: int, batch: int, lower: int = 0) -> None:
-        """Keeps of each key and interval the newest row, below the head's margin."""
+        name = uuid.uuid4().hex
+        # Counted behind the exchange: what comes before it runs twice, once for the sample of its ranges.
+        ready = spread.sortWithinPartitions("block_bucket", *own).observe(counted, F.count(F.lit(1)).alias("n"))
+        ready.write.partitionBy("block_bucket").parquet(f"{self.path}/segment={name}")
+        return Segment(name, first, last, int(counted.get.get("n") or 0))
+
+    def rolled_back(self, segments: list[Segment], block: int) -> list[Segment]:
+        """The segments without what lies above a block; only those that cross it are rewritten."""
+        out = []
+        for one in segments:
+            if one.last <= block:
+                out.append(one)
+            elif one.first <= block:
+                out.append(self.write(compaction.rolled_back(self.read([one]), block), one.first, block))
+        return out
+
+    def compacted(self, segments: list[Segment], keys: list[str], interval: int, head: int, lower: int = 0) -> list[Segment]:
+        """Keeps of each key and interval the newest row below the head's margin; segments outside of the window stay."""
         span = compaction.window(lower, head, interval)
-        if span is None:
-            return
-        first, last = span[0] // self.bucket, span[1] // self.bucket
-        bucket = F.floor(F.col("block_number") / self.bucket)
-        touched = self.read().where((bucket >= first) & (bucket <= last))
-        kept = compaction.compacted(touched, keys, interval, head, lower)
-        self._rewrite(kept, lambda b: first <= b <= last, batch)
-
-    def drop(self) -> None:
-        fs, path = self._fs()
-        fs.delete(path(self.path), True)
+        touched = [s for s in segments if span and s.last > span[0] and s.first <= span[1]]
+        if not touched:
+            return segments
+        kept = compaction.compacted(self.read(touched), keys, interval, head, lower)
+        whole = self.write(kept, min(s.first for s in touched), max(s.last for s in touched))
+        return sorted([*(s for s in segments if s not in touched), whole], key=lambda s: s.first)
+
+    def merged(self, segments: list[Segment], final: int) -> list[Segment]:
+        """Neighbours of one level up to a final block, once there are ``FAN_IN``, as one: each row is rewritten a few times at most."""
+        for k in range(len(segments) - FAN_IN + 1):
+            run = segments[k : k + FAN_IN]
+            if run[-1].last <= final and len({s.level for s in run}) == 1:
+                whole = self.write(self.read(run), run[0].first, run[-1].last)
+                return self.merged([*segments[:k], whole, *segments[k + FAN_IN :]], final)
+        return segments

@@ -248,6 +248,17 @@ def create_table(name: str, schema: T.StructType, order: list[str]) -> str:
     return f"CREATE TABLE IF NOT EXISTS {name} (\n{columns}\n) USING parquet TBLPROPERTIES ('order' = {text_literal(', '.join(order))})"
 
 
+def apply_ddl(spark, text: str, database: str | None = None) -> list[str]:
+    """Runs the statements of a DDL text, in a database of its own if one is named; returns them."""
+    if database:
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {quoted(database)}")
+        spark.catalog.setCurrentDatabase(database)
+    statements = split_statements(text)
+    for statement in statements:
+        spark.sql(statement)
+    return statements
+
+
 def split_statements(text: str) -> list[str]:
     """Statements of a DDL text: comments dropped, semicolons within quotes kept."""
     out, now, quote, k = [], [], "", 0

@@ -17,7 +17,9 @@ LOG = T.StructType(
         T.StructField("logIndex", T.LongType()),
     ]
 )
-PAGE = T.StructType([T.StructField("header", HEADER), T.StructField("logs", T.ArrayType(LOG))])
+#: What the source told with a page: its final head, and its newest block. Files tell nothing.
+HEADS = T.StructType([T.StructField("finalized_number", T.LongType()), T.StructField("finalized_hash", T.StringType()), T.StructField("latest", T.LongType())])
+PAGE = T.StructType([T.StructField("header", HEADER), T.StructField("logs", T.ArrayType(LOG)), T.StructField("heads", HEADS)])
 #: Topics of a log that are looked at.
 TOPICS = 4
 
@@ -73,10 +75,19 @@ def filter_condition(filters: list[dict]) -> Column:
     return found
 
 
-def blocks_with(events: DataFrame) -> DataFrame:
-    """A row for each block that has a decoded event."""
-    return events.groupBy("chain_id", "block_number").agg(F.max("block_timestamp").alias("block_timestamp"), F.max("block_hash").alias("block_hash"))
-
-
 def natural_order(events: DataFrame) -> DataFrame:
     return events.orderBy("block_number", "transaction_index", "log_index")
+
+
+def timeline(kinds: dict[str, DataFrame]) -> DataFrame:
+    """Events of several kinds as one table, each named by ``kind``; a column that a kind lacks is null.
+
+    ``natural_order`` of it is the order in which they happened.
+    """
+    found = None
+    for kind, rows in kinds.items():
+        named = rows.withColumn("kind", F.lit(kind))
+        found = named if found is None else found.unionByName(named, allowMissingColumns=True)
+    if found is None:
+        raise ValueError("a timeline needs a kind of event")
+    return found

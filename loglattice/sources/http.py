@@ -6,7 +6,12 @@
 A request is JSON in, compressed JSON lines out; 204 is an empty range, 409 a
 fork, whose body names the service's own blocks. Answers may stop early, and may
 go beyond the range: a reader goes on behind the last block it was given, and
-leaves out what lies beyond. Filters on address and topics go to the service.
+leaves out what lies beyond. Filters on address and topics go to the service,
+and the heads that it tells come with every page.
+
+As a stream, an offset is a block and its hash. Each micro-batch is admitted by
+blocks (``sources.pacing``), and its first request names the hash of the block
+before, so that a fork ends the query instead of passing unseen.
 """
 
 from __future__ import annotations
@@ -18,11 +23,11 @@ import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
 
 from loglattice.sources.blocks import PAGE
-from loglattice.sources.paging import ATTEMPTS, TokenBucket, backoff, split_ranges
+from loglattice.sources.pacing import ATTEMPTS, Admission, RequestRate, pause, tasks
 
 FIELDS = {
     "block": {"number": True, "hash": True, "timestamp": True},
@@ -98,31 +103,30 @@ def pages_of(raw: bytes, last: int | None = None) -> Iterator[dict]:
             yield page
 
 
-def as_row(page: dict) -> tuple:
+def as_row(page: dict, head: Head) -> tuple:
     header = page["header"]
     logs = [(x.get("address"), x.get("transactionHash"), x.get("topics") or [], x.get("data"), x.get("transactionIndex"), x.get("logIndex")) for x in page.get("logs") or []]
-    return (header["number"], header.get("hash"), header.get("timestamp")), logs
+    number, digest = head.finalized or (None, None)
+    return (header["number"], header.get("hash"), header.get("timestamp")), logs, (number, digest, head.latest)
 
 
-def read_range(url: str, start: int, end: int, filters: list[dict], bucket: TokenBucket, ask: Callable = fetch, sleep: Callable = time.sleep) -> Iterator[dict]:
-    """All pages of a range, in as many requests as the service needs."""
-    at, attempt = start, 0
+def read_range(url: str, start: int, end: int, filters: list[dict], rate: RequestRate, ask: Callable = fetch, sleep: Callable = time.sleep, parent: str | None = None) -> Iterator[tuple]:
+    """The rows of a range, in as many requests as the service needs; the first names the parent's hash."""
+    at, failures = start, 0
     while at <= end:
-        bucket.take()
+        rate.take()
         try:
-            raw, _ = ask(url, query(at, end, None, False, filters))
-        except ForkDetected:
-            raise
+            raw, head = ask(url, query(at, end, parent if at == start else None, False, filters))
         except OSError:
-            attempt += 1
-            if attempt >= ATTEMPTS:
+            failures += 1
+            if failures >= ATTEMPTS:
                 raise
-            sleep(backoff(attempt))
+            sleep(pause(failures))
             continue
-        attempt, covered = 0, None
+        failures, covered = 0, None
         for page in pages_of(raw, end):
             covered = page["header"]["number"]
-            yield page
+            yield as_row(page, head)
         if covered is None:
             return
         at = covered + 1
@@ -132,23 +136,29 @@ def read_range(url: str, start: int, end: int, filters: list[dict], bucket: Toke
 class BlockRange(InputPartition):
     start: int
     end: int
+    parent: str | None = None
 
 
-class _Reader(DataSourceReader):
+class _Ranges:
+    """What the batch and the stream reader share: options, and reading a partition."""
+
     def __init__(self, options: dict):
-        self.url = options["url"]
-        self.start, self.end = int(options["from"]), int(options["to"])
+        self.url, self.first = options["url"], int(options.get("from", 0))
         self.size = int(options.get("rangeSize", 10_000))
         self.filters = json.loads(options.get("filters", "[]"))
         self.readers = int(options.get("readers", 8))
 
-    def partitions(self) -> list[BlockRange]:
-        return [BlockRange(a, b) for a, b in split_ranges(self.start, self.end, self.size)]
-
     def read(self, partition: BlockRange) -> Iterator[tuple]:
-        bucket = TokenBucket().share(self.readers)
-        for page in read_range(self.url, partition.start, partition.end, self.filters, bucket):
-            yield as_row(page)
+        return read_range(self.url, partition.start, partition.end, self.filters, RequestRate().share(self.readers), parent=partition.parent)
+
+
+class _Reader(_Ranges, DataSourceReader):
+    def __init__(self, options: dict):
+        super().__init__(options)
+        self.start, self.end = self.first, int(options["to"])
+
+    def partitions(self) -> list[BlockRange]:
+        return [BlockRange(a, b) for a, b in tasks(self.start, self.end, None, self.size)]
 
 
 class _PushingReader(_Reader):
@@ -165,25 +175,46 @@ class _PushingReader(_Reader):
             yield one
 
 
-class _Tail(SimpleDataSourceStreamReader):
-    """Blocks behind the last one seen, with the hash of that one as the parent."""
+class _Tail(_Ranges, DataSourceStreamReader):
+    """Blocks behind ``from``, as they come; ``parent`` is the hash of the block before, ``to`` the last one."""
 
     def __init__(self, options: dict):
-        self.url, self.first = options["url"], int(options.get("from", 0))
-        self.filters = json.loads(options.get("filters", "[]"))
+        super().__init__(options)
+        #: Offsets: the block, its hash, and the final head that the service told, -1 if none.
+        self.begin = {"block": self.first - 1, "hash": options.get("parent", ""), "final": -1}
+        self.last, self.poll, self.idle_since = self.begin, float(options.get("pollSeconds", 1.0)), None
+        self.to = int(options["to"]) if options.get("to") else None
+        self.admission, self.asked = Admission(target=float(options.get("targetSeconds", Admission.target))), None
 
     def initialOffset(self) -> dict:
-        return {"block": self.first - 1, "hash": ""}
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        raw, _ = fetch(self.url, query(start["block"] + 1, None, start["hash"] or None, False, self.filters))
-        pages = list(pages_of(raw))
-        end = {"block": pages[-1]["header"]["number"], "hash": pages[-1]["header"].get("hash", "")} if pages else start
-        return iter([as_row(p) for p in pages]), end
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        pages = read_range(self.url, start["block"] + 1, end["block"], self.filters, TokenBucket())
-        return (as_row(p) for p in pages)
+        return dict(self.begin)
+
+    def latestOffset(self) -> dict:
+        """As many blocks on as are admitted; the same offset where there are none, or it is too early to ask again."""
+        now, begun = time.monotonic(), self.last["block"]
+        if self.idle_since is not None and now - self.idle_since < self.poll:
+            return dict(self.last)
+        raw, head = fetch(self.url, query(begun + 1, begun + 1, self.last["hash"] or None, True, self.filters))
+        top = head.latest if head.latest is not None else max((p["header"]["number"] for p in pages_of(raw)), default=begun)
+        end = min(x for x in (top, begun + self.admission.blocks, self.to) if x is not None)
+        self.idle_since = None
+        if end <= begun:
+            self.asked, self.idle_since = None, now
+            return dict(self.last)
+        if self.asked is not None:
+            self.admission.seen(self.asked[0], now - self.asked[1])
+        self.asked = end - begun, now
+        last, _ = fetch(self.url, query(end, end, None, True, []))
+        digest = next((p["header"].get("hash") for p in pages_of(last, end)), None)
+        self.last = {"block": end, "hash": digest or "", "final": head.finalized[0] if head.finalized else -1}
+        return dict(self.last)
+
+    def partitions(self, start: dict, end: dict) -> list[BlockRange]:
+        ranges = tasks(start["block"] + 1, end["block"], end["final"], self.size)
+        return [BlockRange(a, b, start.get("hash") or None if k == 0 else None) for k, (a, b) in enumerate(ranges)]
+
+    def commit(self, end: dict) -> None:
+        pass
 
 
 class BlockRanges(DataSource):
@@ -198,7 +229,7 @@ class BlockRanges(DataSource):
         pushes = str(self.options.get("pushdown", "false")).lower() == "true"
         return (_PushingReader if pushes else _Reader)(self.options)
 
-    def simpleStreamReader(self, schema: StructType) -> _Tail:
+    def streamReader(self, schema: StructType) -> _Tail:
         return _Tail(self.options)
 
 

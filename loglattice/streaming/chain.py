@@ -9,8 +9,6 @@ from dataclasses import dataclass, field
 from typing import NamedTuple
 
 DEPTH = 1024
-#: Blocks below the finalised head from which on snapshots are kept, and how many.
-SNAPSHOT_MARGIN, SNAPSHOTS = 128, 128
 
 
 class Block(NamedTuple):
@@ -136,31 +134,3 @@ def gate(wanted: Block, durable: int | None, finalized: Block | None, chain: lis
         return wanted
     known = [b for b in [*chain, *([finalized] if finalized else [])] if b.number <= most]
     return max(known, default=None, key=lambda b: b.number)
-
-
-def wants_snapshot(block: int, finalized: int | None, margin: int = SNAPSHOT_MARGIN) -> bool:
-    """Only near and above the finalised head can a state be asked for again."""
-    return finalized is None or block + margin >= finalized
-
-
-@dataclass
-class Snapshots:
-    """Values by block, the newest ``keep``."""
-
-    keep: int = SNAPSHOTS
-    values: dict[int, object] = field(default_factory=dict)
-
-    def put(self, block: int, value: object) -> None:
-        self.values[block] = value
-        for old in sorted(self.values)[: -self.keep]:
-            del self.values[old]
-
-    def restore(self, block: int) -> tuple[int, object] | None:
-        """The newest at or below a block; later ones are forgotten."""
-        self.values = {b: v for b, v in self.values.items() if b <= block}
-        return max(self.values.items(), default=None)
-
-
-def due(blocks: int, seconds: float, most_blocks: int = 5000, most_seconds: float = 3.0) -> bool:
-    """Whether a commit is due: so many blocks, or so long."""
-    return blocks >= most_blocks or (blocks > 0 and seconds >= most_seconds)

@@ -1,17 +1,19 @@
 """Config, plans, sources, tables, forks and the indexer end to end."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from loglattice.functions import u256
 from loglattice.operators import compaction, fold, latest
+from loglattice.operators.tables import Table
 from loglattice.plans import config as configs
 from loglattice.plans.project import Project, split_statements, state_spec
-from loglattice.sources import blocks, http, paging
-from loglattice.streaming.chain import Block, Checkpoint, ForkError, ForkTracker, Snapshots, common_prefix, due, effective_finalized, gate, resume, wants_snapshot
-from loglattice.streaming.indexer import Indexer
+from loglattice.sources import blocks, http, pacing
+from loglattice.streaming.chain import Block, Checkpoint, ForkError, ForkTracker, common_prefix, effective_finalized, gate, resume
+from loglattice.streaming.indexer import Indexer, LateBlock
 
 TOKEN = "0x00000000000000000000000000000000000000aa"
 YAML = f"""
@@ -119,27 +121,24 @@ def test_pages_and_decoding(spark, tmp_path):
         blocks.logs_of(blocks.read_pages(spark, str(tmp_path / "bad.jsonl")), 1).count()
 
 
-def test_paging():
-    size = lambda *a: paging.next_page_size(*a, least=10, most=1000)
-    assert size(100, 100, 0, True) == 50 and size(100, 100, 0, False) == 100 and size(100, 100, 100, False) == 200
-    assert size(100, 100, 40, False) == 50 and size(12, 100, 0, True) == 10 and size(900, 100, 200, False) == 1000
-    assert paging.page_for_latency(100, 100, 12.0) == 50 and paging.page_for_latency(100, 100, 3.0) == 100
-    assert paging.request_range(5, 10, 8, False) == (5, 8) and paging.request_range(9, 10, 8, False) is None and paging.request_range(5, 0, None, True) == (5, None)
-    assert paging.request_range(5, 10, None, True, finalized=1000) == (5, 14) and paging.request_range(995, 10, None, True, finalized=1000) == (995, None)
-    assert paging.parallel_bound(True, 0, 512, None) is None and paging.parallel_bound(True, 0, 1000, None) == 488 and paging.parallel_bound(False, 0, 0, None) is None
-    assert paging.split_ranges(0, 9, 4) == [(0, 3), (4, 7), (8, 9)] and paging.parallel_pays(80, 10, 4) and not paging.parallel_pays(79, 10, 4)
-    estimate = paging.SpanEstimate(1000)
-    estimate.observe(0)
-    estimate.observe(2000)
-    assert estimate.current == 1250
-    for _ in range(5):
-        estimate.saw(0)
-    assert estimate.strides
+def test_pacing():
+    admission = pacing.Admission(target=6.0, least=100, most=10_000)
+    assert admission.blocks == pacing.FIRST_BLOCKS
+    admission.seen(600, 2.0)
+    assert admission.blocks == 1800
+    admission.seen(600, 6.0)
+    assert admission.blocks == 1200
+    admission.seen(0, 5.0)
+    admission.seen(1_000_000, 1.0)
+    assert admission.blocks == 10_000
+    assert pacing.tasks(0, 9, None, 4) == [(0, 3), (4, 7), (8, 9)] and pacing.tasks(5, 4, None, 4) == []
+    assert pacing.tasks(0, 1000, 522, 6) == [(0, 5), (6, 10), (11, 1000)] and pacing.tasks(20, 30, 100, 4) == [(20, 30)]
     slept, now = [], [0.0]
-    bucket = paging.TokenBucket(5, 2, lambda: now[0], slept.append)
+    rate = pacing.RequestRate(5, 2, lambda: now[0], slept.append)
     for _ in range(3):
-        bucket.take()
-    assert slept == [0.2] and paging.backoff(9, lambda: 1.0) == pytest.approx(2.65)
+        rate.take()
+    assert slept == [pytest.approx(0.2)] and rate.share(2).rate == 2.5
+    assert pacing.pause(9, lambda: 1.0) == 8.0 and pacing.pause(1, lambda: 0.0) == 0.25
 
 
 def test_range_reader():
@@ -153,8 +152,7 @@ def test_range_reader():
         found = [p for n, p in have.items() if n >= body["fromBlock"]][:4]  # short pages that go beyond the end
         return b"\n".join(json.dumps(p).encode() for p in found), http.Head()
 
-    bucket = paging.TokenBucket(1e9, 1e9)
-    got = [p["header"]["number"] for p in http.read_range("u", 4, 31, [], bucket, ask, lambda s: None)]
+    got = [row[0][0] for row in http.read_range("u", 4, 31, [], pacing.RequestRate(1e9, 1e9), ask, lambda s: None)]
     assert got == [6, 9, 12, 15, 18, 21, 24, 27, 30] and asked.count(16) == 2
     assert http.query(1, 2, "0x9", True, [])["parentBlockHash"] == "0x9"
     with pytest.raises(ValueError):
@@ -187,16 +185,11 @@ def test_forks():
     assert effective_finalized(A, Block(6, "z"), Block(2, "2")) == Block(6, "6") and effective_finalized(A, Block(1, "1"), Block(2, "2")) == Block(2, "2")
 
 
-def test_checkpoints_and_snapshots():
+def test_checkpoints():
     assert resume(None) is None and resume(Checkpoint(A[2], A[0], A)).block == A[0]
     point = resume(Checkpoint(A[2], None, A))
     assert point.block == A[2] and point.tracker.chain == A
     assert gate(A[2], 6, None, A) == A[1] and gate(A[2], None, A[0], A) == A[0] and gate(A[2], None, None, A) == A[2]
-    assert wants_snapshot(900, 1000) and not wants_snapshot(800, 1000) and due(5000, 0) and due(1, 3) and not due(0, 9)
-    kept = Snapshots(2)
-    for n in (1, 2, 3):
-        kept.put(n, str(n))
-    assert kept.restore(2) == (2, "2") and kept.restore(1) is None
 
 
 def test_compaction_vector(spark):
@@ -219,20 +212,18 @@ def test_positions(spark):
 def test_table_batches(spark, tmp_path):
     from pyspark.sql.types import LongType, StructField, StructType
 
-    from loglattice.operators.tables import Table
-
     schema = StructType([StructField(n, LongType()) for n in ("v", "block_number", "transaction_index", "log_index")])
     table = Table(spark, str(tmp_path / "t"), schema, bucket=10)
-    assert table.read().count() == 0
+    assert table.read([]).count() == 0
     rows = lambda *blocks_: spark.createDataFrame([(b, b, 0, 0) for b in blocks_], schema)
-    table.append(rows(1, 5, 15), 1)
-    table.append(rows(17, 25), 2)
-    table.append(rows(17, 26), 2)  # the same batch again
-    assert sorted(r.v for r in table.read().collect()) == [1, 5, 15, 17, 26]
-    table.rollback(15, 3)
-    assert sorted(r.v for r in table.read().collect()) == [1, 5, 15]
-    table.drop()
-    assert not table.exists()
+    seen = lambda segments: sorted(r.v for r in table.read(segments).collect())
+    one, two, empty = table.write(rows(1, 5, 15), 1, 16), table.write(rows(17, 26), 17, 26), table.write(rows().limit(0), 27, 30)
+    assert (one.rows, two.rows, empty.rows) == (3, 2, 0) and seen([one, two, empty]) == [1, 5, 15, 17, 26] and seen([two]) == [17, 26]
+    cut = table.rolled_back([one, two, empty], 17)
+    assert cut[0] is one and len(cut) == 2 and seen(cut) == [1, 5, 15, 17] and seen(table.rolled_back(cut, 0)) == []
+    small = [table.write(rows(n), n, n) for n in range(16)]
+    assert [s.rows for s in table.merged(small, 14)] == [1] * 16
+    assert [(s.first, s.last, s.rows) for s in table.merged(small, 15)] == [(0, 15, 16)]
 
 
 def positions(before, events):
@@ -272,8 +263,8 @@ def test_reorganisation_equals_the_canonical_branch(spark, tmp_path, indexer):
     assert amounts(first) == {2: 6, 4: 7 * 15} and amounts(other) == amounts(first)
     key = lambda df: sorted(map(tuple, df.collect()))
     for mine, theirs in zip(first.specs, other.specs, strict=True):
-        assert key(first.event_table(mine).read()) == key(other.event_table(theirs).read())
-    assert key(first.system_table("blocks").read()) == key(other.system_table("blocks").read())
+        assert key(first.rows(mine.table)) == key(other.rows(theirs.table))
+    assert key(first.rows("blocks")) == key(other.rows("blocks")) and key(first.rows("logs")) == key(other.rows("logs"))
     again = indexer("a")
     assert again.recover() == Block(3, "0x3") and amounts(again) == {2: 6}
     again.reindex(2)
@@ -290,7 +281,7 @@ def test_stream_of_files(spark, tmp_path, indexer):
         query = one.stream(blocks.stream_pages(spark, str(folder), 1), str(tmp_path / "offsets"))
         query.awaitTermination(120)
         assert query.exception() is None
-    assert amounts(one) == {2: 6} and one.event_table(one.specs[0]).read().count() == 3
+    assert amounts(one) == {2: 6} and one.rows(one.specs[0].table).count() == 3
 
 
 def test_latest_views(spark):
@@ -298,3 +289,87 @@ def test_latest_views(spark):
     assert sorted(map(tuple, latest.latest(rows, ["k"]).collect())) == [("a", 9, 0, 1), ("b", 3, 0, 0)]
     assert sorted(map(tuple, latest.as_of(rows, ["k"], 5).collect())) == [("a", 1, 0, 0), ("b", 3, 0, 0)]
     assert latest.latest_by_bucket(rows, ["k"], 5).count() == 3 and latest.latest(rows.limit(0), ["k"]).count() == 0
+
+
+def test_a_crash_before_the_commit_changes_nothing(spark, tmp_path, indexer, monkeypatch):
+    first, more = ([page(n, [transfer(n, 0, 1, 2, n)]) for n in span] for span in ((1, 2), (3, 4, 5)))
+    paths = [write(tmp_path / f"{k}.jsonl", pages) for k, pages in enumerate((first, more))]
+    clean = indexer("clean")
+    for path in paths:
+        clean.process(blocks.read_pages(spark, path), Block(1, "0x1"))
+    crash = lambda *a, **k: (_ for _ in ()).throw(OSError("lost"))
+    one = indexer("crash")
+    for path in paths:  # before the first checkpoint, and before a later one
+        for broken, name in ((Indexer, "_fold"), (type(one.log), "commit")):
+            with monkeypatch.context() as patch:
+                patch.setattr(broken, name, crash)
+                with pytest.raises(OSError):
+                    one.process(blocks.read_pages(spark, path), Block(1, "0x1"))
+        one = indexer("crash")
+        one.recover()
+        one.process(blocks.read_pages(spark, path).where(F.col("header.number") > 0), Block(1, "0x1"))
+    one = indexer("crash")
+    one.recover()  # back to the final block
+    for path in paths:
+        one.process(blocks.read_pages(spark, path), Block(1, "0x1"))
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert amounts(one) == amounts(clean) and all(key(one.rows(n)) == key(clean.rows(n)) for n in ("token_transfer_events", "any_moved_events", "blocks", "logs"))
+    live = {s.name for segments in one.state.tables.values() for s in segments}
+    one.log.clean(one.state)
+    assert {d.name.removeprefix("segment=") for d in (tmp_path / "crash").glob("*/segment=*")} == live and not (tmp_path / "crash/_staging").exists()
+    other = indexer("crash")
+    other.process(blocks.read_pages(spark, write(tmp_path / "9.jsonl", [page(9, [])])))
+    with pytest.raises(RuntimeError):  # two writers: the later commit fails
+        one.process(blocks.read_pages(spark, write(tmp_path / "8.jsonl", [page(8, [])])))
+
+
+def test_streams_reindexed_and_restarted(spark, tmp_path, indexer):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    put = lambda n, pages: (write(folder / f"{n}.json", pages), os.utime(folder / f"{n}.json", (1000 + n, 1000 + n)))
+    for n in (1, 2, 3):
+        put(n, [page(n, [transfer(n, 0, 1, 2, n)])])
+
+    def run(one):
+        one.recover()
+        assert one.stream(blocks.stream_pages(spark, str(folder), 1)).awaitTermination(120)
+        return amounts(one), one.rows("token_transfer_events").count()
+
+    one = indexer("s")
+    assert run(one) == ({2: 6}, 3) and run(indexer("s")) == ({2: 6}, 3)
+    one = indexer("s")
+    one.reindex(2)
+    assert amounts(one) == {2: 1} and run(one) == ({2: 6}, 3)
+    one.restart()
+    assert not (tmp_path / "s/_offsets").exists() and run(one) == ({2: 6}, 3)
+    put(4, [page(n, [transfer(n, 0, 1, 3, 50)], "other") for n in (3, 4, 6)])  # files replace block 3
+    assert run(indexer("s")) == ({2: 3, 3: 150}, 5)
+    with pytest.raises(LateBlock):
+        one = indexer("s")
+        one.recover()
+        one.process(blocks.read_pages(spark, write(tmp_path / "late.jsonl", [page(5, [])])))
+
+
+def test_state_folds_are_stamped(spark):
+    state = state_spec("HoldingSchema", [("account", "string"), ("amount", "int64"), ("updated_at_block", "int64"), ("updated_at", "int64")], ["account"])
+    rows = [("a", 5, 3, 0, 1), ("a", 2, 3, 0, 0), ("b", 7, 4, 1, 0)]
+    events = spark.createDataFrame(rows, "who string, v long, block_number long, transaction_index long, log_index long").withColumn("block_timestamp", F.timestamp_seconds("block_number"))
+    before = spark.createDataFrame([("a", 10, 1, 1000, 1, 0, 0), ("c", 1, 1, 1000, 1, 0, 0)], state.schema)
+    one = fold.state_fold(state, "moves", {"account": "who"}, lambda s, e: {"amount": (s["amount"] if s else 0) + e["v"]})
+    many = fold.state_fold(state, "moves", {"account": "who"}, lambda s, batch: {"amount": (s["amount"] if s else 0) + sum(batch.column("v").to_pylist())}, columnar=True)
+    for process in (one, many):
+        found = {r.account: tuple(r)[1:] for r in process(before, {"moves": events}).collect()}
+        assert found == {"a": (17, 3, 3000, 3, 0, 1), "b": (7, 4, 4000, 4, 1, 0)}
+    every = fold.ordered_fold(events.withColumnRenamed("who", "account"), ["account"], lambda s, e: {"amount": (s["amount"] if s else 0) + e["v"]}, state.schema, every=True)
+    assert sorted(tuple(r)[:2] for r in every.collect()) == [("a", 2), ("a", 7), ("b", 7)]
+
+
+def test_newest_rows_of_ties_and_odd_kinds(spark):
+    rows = [(None, "x", 5, 0, 0), (None, "y", 6, 0, 0), ("k", "same", 7, 0, 0), ("k", "same", 7, 0, 0), ("n", "null", None, 0, 0), ("n", "some", 0, 0, 0)]
+    df = spark.createDataFrame(rows, "k string, v string, block_number long, transaction_index long, log_index long")
+    found = latest.latest(df, ["k"])
+    assert sorted((str(r.k), r.v) for r in found.collect()) == [("None", "y"), ("k", "same"), ("n", "some")]
+    plan = found._jdf.queryExecution().toString()
+    assert "SortAggregate" not in plan and "SortAggregate" not in latest.latest(df.drop("v"), ["k"])._jdf.queryExecution().toString()
+    with pytest.raises(Exception, match="digits"):
+        latest.latest(df.withColumn("block_number", F.lit(10**15)), ["k"]).collect()

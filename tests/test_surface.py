@@ -35,7 +35,7 @@ def test_start_and_resume(spark, tmp_path):
     more = write(tmp_path / "b.jsonl", [page(n, [transfer(n, 0, 1, 2, n)]) for n in (2, 3, 4)])
     assert cli.main([*args, "--pages", more]) == 0
     one = cli.indexers(cli.arguments([*args, "--pages", more]))[0]
-    assert one.event_table(one.specs[0]).read().count() == 4 and one.load_checkpoint().current.number == 4
+    assert one.rows(one.specs[0].table).count() == 4 and one.load_checkpoint().current.number == 4
 
 
 def test_streaming_fold(spark, tmp_path):
