@@ -59,3 +59,14 @@ def ceil_block(blocks: DataFrame, block: int) -> DataFrame:
     """The first block there is at or behind a number, and the last of all: a gap up to the last is known to be empty."""
     number = F.col("block_number")
     return blocks.agg(F.min(F.when(number >= block, number)).alias("ceil_block"), F.max(number).alias("last_block"))
+
+
+def common_ancestor(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Of two chains (number, hash) the last block they share before their hashes first differ, and how many they share.
+
+    Heights that only one chain has are passed over; ``ancestor`` is null where nothing is shared.
+    """
+    met = ours.join(theirs.select("number", F.col("hash").alias("_other")), "number")
+    parted = met.agg(F.min(F.when(~F.col("hash").eqNullSafe(F.col("_other")), F.col("number")))).first()[0]
+    shared = met if parted is None else met.where(F.col("number") < parted)
+    return shared.agg(F.max("number").alias("ancestor"), F.count("*").alias("shared"))

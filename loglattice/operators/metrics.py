@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loglattice.operators.latest import latest
@@ -40,9 +40,13 @@ def average_where(condition: Column, value: Column) -> Column:
     return F.avg(F.when(condition, value))
 
 
+#: The rank of an approximate quantile is off by at most one part in so many.
+ACCURACY = 10_000
+
+
 def quantile_or_zero(column: str, share: float, exact: bool = False) -> Column:
     """A quantile, 0 over no rows; approximate unless asked for exactly."""
-    found = F.percentile(column, share) if exact else F.percentile_approx(column, share)
+    found = F.percentile(column, share) if exact else F.percentile_approx(column, share, ACCURACY)
     return F.coalesce(found, F.lit(0))
 
 
@@ -62,6 +66,16 @@ def latest_checkpoint(sync: DataFrame) -> DataFrame:
     return latest(sync, ["chain_id"], ("updated_at", "last_block"))
 
 
+def catalogue(spark: SparkSession, prefix: str = "") -> tuple[DataFrame, DataFrame]:
+    """The session's catalogue as (database, table, engine) and (database, table, name), of tables whose name begins so."""
+    tables = [t for t in spark.catalog.listTables() if t.name.startswith(prefix)]
+    columns = [(t.database or "", t.name, c.name) for t in tables for c in spark.catalog.listColumns(t.name)]
+    return (
+        spark.createDataFrame([(t.database or "", t.name, t.tableType) for t in tables], "database string, table string, engine string"),
+        spark.createDataFrame(columns, "database string, table string, name string"),
+    )
+
+
 def tables_with(columns: DataFrame, tables: DataFrame, needed: str = "block_number", marked: str = "chain_id", unlike: str = "%View") -> DataFrame:
     """Of a catalogue, the tables that have a column, and whether they have another."""
     chosen = columns.join(tables.where(~F.col("engine").like(unlike)), ["database", "table"])

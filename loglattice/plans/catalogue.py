@@ -16,6 +16,9 @@ from loglattice.functions import abi, dec256, hexes, u256
 from loglattice.functions.signature import parse_event
 from loglattice.functions.types import ORDER
 from loglattice.operators import compaction, fold, latest, lookup, metrics
+from loglattice.plans import config as configs
+from loglattice.plans.project import Project
+from loglattice.sources import blocks
 
 FLAGSHIP = "flagship_positions_top"
 
@@ -244,33 +247,74 @@ def tombstone_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.known_absent(events.select("user_id").distinct(), gone, ["user_id"])
 
 
+SHOP = """
+name: shop
+chains:
+  - id: 1
+    contracts:
+      - name: Shop
+        events:
+          - event: Purchase(string kind, uint256 user, int256 value)
+          - event: View(string kind, uint256 user, int256 value)
+          - event: Clicked(uint256 k, string missing)
+"""
+
+
+def shop() -> Project:
+    return Project.plan(configs.validate(configs.parse(SHOP)))
+
+
+def padded_word(text: Column) -> Column:
+    """Length and content of a text of at most 32 bytes, as the end of an event's data."""
+    raw = text.cast("binary")
+    return F.concat(u256.from_long(F.length(raw).cast("long")), F.rpad(raw, 32, F.lit(b"\x00")))
+
+
+def shop_logs(spark: SparkSession, sf_dir: str, topic: Column) -> DataFrame:
+    """Events as raw logs of the shop: kind, user and cents in the data."""
+    data = F.concat(u256.literal(96), u256.from_long(F.col("user_id")), u256.from_long(F.col("cents")), padded_word(F.col("event_type")))
+    return chain_events(spark, sf_dir).select(
+        F.lit(1).cast("long").alias("chain_id"), "block_number", F.col("ts").alias("block_timestamp"), F.lit("").alias("block_hash"), F.lit("").alias("transaction_hash"), "transaction_index", "log_index",
+        hexes.hex_text(address_of(F.col("user_id"))).alias("address"), F.array(topic).alias("topics"), hexes.hex_text(data).alias("data"), "event_type", "user_id", "props",
+    )
+
+
 @register(
     """
     WITH {events}
-    SELECT event_id, CASE WHEN event_type = 'purchase' THEN 'purchase_events' ELSE 'view_events' END AS route FROM events_
+    SELECT event_id, CASE WHEN event_type = 'purchase' THEN 'shop_purchase_events' ELSE 'shop_view_events' END AS route FROM events_
     WHERE event_type = 'purchase' AND user_id IN (SELECT c_custkey FROM customer WHERE c_nationkey < 10) OR event_type = 'view'
     """
 )
 def event_router(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Topics to tables: one asks for certain addresses, the other for any."""
-    events = chain_events(spark, sf_dir).select("event_id", "event_type", "user_id")
+    """Topics to tables by the plan's own predicate: one event asks for certain addresses, the other for any."""
+    purchase, view, _ = shop().events
+    topic = F.when(F.col("event_type") == "purchase", F.upper(F.lit(purchase.event.topic))).when(F.col("event_type") == "view", F.lit(view.event.topic)).otherwise(F.lit("0x00"))
+    logs = shop_logs(spark, sf_dir, topic)
     known = table(spark, sf_dir, "customer").where("c_nationkey < 10").select("c_custkey")
-    bought = lookup.in_set(events.where("event_type = 'purchase'"), "user_id", known, lower=False)
-    seen = events.where("event_type = 'view'")
-    named = [rows.select("event_id", F.lit(name).alias("route")) for rows, name in ((bought, "purchase_events"), (seen, "view_events"))]
+    bought = lookup.in_set(logs.where(purchase.matches(F.col("topics"), F.col("address"))), "user_id", known, lower=False)
+    seen = logs.where(view.matches(F.col("topics"), F.col("address")))
+    named = [rows.select(F.col("log_index").alias("event_id"), F.lit(spec.table).alias("route")) for rows, spec in ((bought, purchase), (seen, view))]
     return named[0].unionByName(named[1])
 
 
-@register("SELECT event_id, coalesce(json_extract_string(props, '$.k'), '') AS k, coalesce(json_extract_string(props, '$.missing'), '') AS missing FROM events WHERE event_type = 'click'")
+@register("SELECT event_id, coalesce(json_extract_string(props, '$.k'), '') AS k, '' AS missing FROM events WHERE event_type = 'click'")
 def event_view_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    get = lambda name: F.coalesce(F.get_json_object("props", f"$.{name}"), F.lit("")).alias(name)
-    return table(spark, sf_dir, "events").where("event_type = 'click'").select("event_id", get("k"), get("missing"))
+    """The plan's view over raw logs: arguments out of the JSON, missing ones empty."""
+    project = shop()
+    spec = project.events[2]
+    logs = shop_logs(spark, sf_dir, F.lit(spec.event.topic)).where("event_type in ('click', 'view')")
+    named = logs.select("*", F.when(F.col("event_type") == "click", F.lit(spec.label)).otherwise("Viewed").alias("event_name"), F.get("topics", 0).alias("topic0"), F.col("props").alias("params"))
+    named.createOrReplaceTempView("logs")
+    return spark.sql(project.view_sql(spec)).select(F.col("log_index").alias("event_id"), "k", "missing")
 
 
 @register("""WITH {events} SELECT event_id, '{"kind":"' || event_type || '","user":"' || user_id || '","value":"' || cents || '"}' AS params FROM events_""")
 def params_to_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = F.struct(F.col("event_type").alias("kind"), u256.to_text(u256.from_long(F.col("user_id"))).alias("user"), u256.to_signed_text(u256.from_long(F.col("cents"))).alias("value"))
-    return chain_events(spark, sf_dir).select("event_id", F.to_json(shown).alias("params"))
+    """Raw logs decoded and shown as JSON by the plan."""
+    project = shop()
+    spec = project.events[0]
+    return project.params_json(shop_logs(spark, sf_dir, F.lit(spec.event.topic)), spec).select(F.col("log_index").alias("event_id"), "params")
 
 
 @register("SELECT c_custkey, '0x' || substr(md5(c_name), 1, 40) AS address, lower(c_name) AS name FROM customer")
@@ -409,11 +453,10 @@ def dec256_avg_price(spark: SparkSession, sf_dir: str) -> DataFrame:
                       row_number() OVER (PARTITION BY user_id ORDER BY block_number, transaction_index, log_index) AS n
                FROM events_ WHERE event_type IN ('purchase', 'click')),
     folded AS (
-        SELECT user_id, n, quantity AS amount, CASE WHEN quantity >= 0 THEN CAST(floor(price) AS BIGINT) ELSE 0 END AS average, CASE WHEN quantity < 0 THEN -quantity * price ELSE 0 END AS realised FROM trades WHERE n = 1
+        SELECT user_id, n, quantity AS amount, CASE WHEN quantity >= 0 THEN price ELSE 0 END AS average, CASE WHEN quantity < 0 THEN -quantity * price ELSE 0 END AS realised FROM trades WHERE n = 1
         UNION ALL
         SELECT t.user_id, t.n, f.amount + t.quantity,
-               CASE WHEN t.quantity >= 0 AND f.amount + t.quantity <> 0 THEN CAST(CASE WHEN (t.quantity * t.price + f.amount * f.average) % (f.amount + t.quantity) <> 0 AND ((t.quantity * t.price + f.amount * f.average) < 0) <> ((f.amount + t.quantity) < 0)
-                    THEN (t.quantity * t.price + f.amount * f.average) // (f.amount + t.quantity) - 1 ELSE (t.quantity * t.price + f.amount * f.average) // (f.amount + t.quantity) END AS BIGINT) ELSE f.average END,
+               CASE WHEN t.quantity >= 0 AND f.amount + t.quantity <> 0 THEN (t.quantity * t.price + f.amount * f.average) // (f.amount + t.quantity) ELSE f.average END,
                f.realised + CASE WHEN t.quantity < 0 THEN -t.quantity * (t.price - f.average) ELSE 0 END
         FROM folded f JOIN trades t ON t.user_id = f.user_id AND t.n = f.n + 1)
     SELECT user_id, amount, average, realised, n AS trades FROM folded QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC) = 1
@@ -428,15 +471,21 @@ def pnl_ordered_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     """
-    WITH {events}
-    SELECT event_id, CAST(sum(cents) OVER w AS BIGINT) AS running, CAST(sum(cents * (1 + event_id % 7)) OVER w AS BIGINT) AS cost
-    FROM events_ WINDOW w AS (PARTITION BY user_id ORDER BY block_number, transaction_index, log_index ROWS UNBOUNDED PRECEDING)
+    WITH {events},
+    sums AS (
+        SELECT event_id, CAST(sum(1 + event_id % 7) OVER w AS HUGEINT) AS amount, CAST(sum(cents * (1 + event_id % 7)) OVER w AS HUGEINT) AS total
+        FROM events_ WINDOW w AS (PARTITION BY user_id ORDER BY block_number, transaction_index, log_index ROWS UNBOUNDED PRECEDING))
+    SELECT event_id, CAST(amount AS BIGINT) AS amount, CAST(total AS BIGINT) AS total, CAST((total * 1000000000000000000) // amount AS VARCHAR) AS average FROM sums
     """
 )
 def running_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amount, total and their quotient, cut at the eighteenth digit, after each event."""
     so_far = Window.partitionBy("user_id").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    rows = chain_events(spark, sf_dir).select("event_id", "user_id", "cents", *ORDER)
-    return rows.select("event_id", F.sum("cents").over(so_far).alias("running"), F.sum(F.col("cents") * (1 + F.col("event_id") % 7)).over(so_far).alias("cost"))
+    amount = 1 + F.col("event_id") % 7
+    rows = chain_events(spark, sf_dir).select("event_id", "user_id", amount.alias("q"), (F.col("cents") * amount).alias("c"), *ORDER)
+    sums = rows.select("event_id", F.sum("q").over(so_far).alias("amount"), F.sum("c").over(so_far).alias("total"))
+    average = dec256.div(u256.from_long(F.col("total")), u256.from_long(F.col("amount")))
+    return sums.select("event_id", "amount", "total", u256.to_signed_text(average).alias("average"))
 
 
 @register(
@@ -483,20 +532,23 @@ def conditional_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Tables that the catalogue queries look at, under names of their own.
+LISTED = ("customer", "documents", "events", "labels", "nation", "orders", "pages", "region")
+
+
 @register(
-    """
-    WITH tables_ AS (SELECT r_name AS database, n_name AS "table", CASE WHEN n_nationkey % 5 = 0 THEN 'LiveView' ELSE 'Tree' END AS engine, n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey),
-    columns_ AS (
-        SELECT database, "table", 'block_number' AS name FROM tables_ WHERE n_nationkey % 2 = 0 UNION ALL SELECT database, "table", 'chain_id' FROM tables_ WHERE n_nationkey % 3 = 0)
-    SELECT database, "table", count(*) FILTER (WHERE name = 'chain_id') > 0 AS has_chain FROM columns_ JOIN tables_ USING (database, "table")
-    WHERE engine NOT LIKE '%View' GROUP BY ALL HAVING count(*) FILTER (WHERE name = 'block_number') > 0
+    f"""
+    SELECT table_name AS "table", count(*) FILTER (WHERE column_name = 'lang') > 0 AS has_marked FROM information_schema.columns
+    WHERE table_name IN ({", ".join(f"'{n}'" for n in LISTED)}) GROUP BY table_name HAVING count(*) FILTER (WHERE column_name = 'doc_id') > 0
     """
 )
 def catalog_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    places = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    tables = places.select(F.col("r_name").alias("database"), F.col("n_name").alias("table"), F.when(F.col("n_nationkey") % 5 == 0, "LiveView").otherwise("Tree").alias("engine"), "n_nationkey")
-    named = lambda k, name: tables.where(F.col("n_nationkey") % k == 0).select("database", "table", F.lit(name).alias("name"))
-    return metrics.tables_with(named(2, "block_number").unionByName(named(3, "chain_id")), tables.drop("n_nationkey"))
+    """Of the session's catalogue, the tables that have a column, and whether they have another."""
+    for name in LISTED:
+        table(spark, sf_dir, name).createOrReplaceTempView(f"listed_{name}")
+    tables, columns = metrics.catalogue(spark, "listed_")
+    found = metrics.tables_with(columns, tables, "doc_id", "lang", unlike="%Hidden")
+    return found.select(F.regexp_replace("table", "^listed_", "").alias("table"), F.col("has_chain").alias("has_marked"))
 
 
 CHAINS_SQL = """
@@ -517,11 +569,8 @@ def fork_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = chain_events(spark, sf_dir)
     edge = block_at(events, 0.6)
     ours = events.groupBy(F.col("block_number").alias("number")).agg(F.max("event_id").alias("hash"))
-    theirs = ours.where("number % 7 <> 3").select("number", F.when(F.col("number") >= edge, F.col("hash") + 1).otherwise(F.col("hash")).alias("other"))
-    met = ours.join(theirs, "number")
-    parted = met.agg(F.min(F.when(F.col("hash") != F.col("other"), F.col("number")))).first()[0]
-    shared = met if parted is None else met.where(F.col("number") < parted)
-    return shared.agg(F.max("number").alias("ancestor"), F.count("*").alias("shared"))
+    theirs = ours.where("number % 7 <> 3").select("number", F.when(F.col("number") >= edge, F.col("hash") + 1).otherwise(F.col("hash")).alias("hash"))
+    return lookup.common_ancestor(ours, theirs)
 
 
 @register(f"WITH {{events}} SELECT min(CASE WHEN block_number >= {blocks_of(0.3)} THEN block_number END) AS ceil_block, max(block_number) AS last_block FROM events_ WHERE block_number % 5 = 0")
@@ -541,10 +590,12 @@ def gap_ceil(spark: SparkSession, sf_dir: str) -> DataFrame:
 def multi_event_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of two kinds, each with its own columns, in one order within a block."""
     events = chain_events(spark, sf_dir)
-    clicks = events.where("event_type = 'click'").select(*ORDER, F.lit("click").alias("kind"), "cents")
-    views = events.where("event_type = 'view'").select(*ORDER, F.lit("view").alias("kind"), F.col("props").alias("page"))
+    kinds = {
+        "click": events.where("event_type = 'click'").select(*ORDER, "cents"),
+        "view": events.where("event_type = 'view'").select(*ORDER, F.col("props").alias("page")),
+    }
     within = Window.partitionBy("block_number").orderBy("transaction_index", "log_index")
-    return clicks.unionByName(views, allowMissingColumns=True).select("log_index", "kind", F.coalesce("cents", F.lit(0)).alias("cents"), F.coalesce("page", F.lit("")).alias("page"), F.row_number().over(within).cast("long").alias("position"))
+    return blocks.natural_order(blocks.timeline(kinds)).select("log_index", "kind", F.coalesce("cents", F.lit(0)).alias("cents"), F.coalesce("page", F.lit("")).alias("page"), F.row_number().over(within).cast("long").alias("position"))
 
 
 @register(f"WITH {{events}}, {SYNC_SQL} SELECT chain_id, least(max(last_block), max(finalized_block)) AS checkpoint, max(last_block) - max(finalized_block) AS behind FROM sync GROUP BY chain_id")
@@ -605,6 +656,88 @@ def array_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", abi.array_text(flags, "bool[]").alias("flags"), abi.array_text(numbers, "uint256[2]").alias("numbers"))
 
 
-@register("SELECT quantile_disc(value, 0.5) IS NOT NULL AS known, count(*) AS n FROM events")
+@register("SELECT round(quantile_cont(value, 0.5), 6) AS exact, true AS within, count(*) AS n FROM events")
 def quantile_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").agg((metrics.quantile_or_zero("value", 0.5) >= 0).alias("known"), F.count("*").alias("n"))
+    """The exact median, and whether the approximate one lies within its stated error of the middle rank."""
+    rows = table(spark, sf_dir, "events").select("value")
+    found = rows.agg(metrics.quantile_or_zero("value", 0.5).alias("near"), metrics.quantile_or_zero("value", 0.5, exact=True).alias("exact"), F.count("*").alias("n")).first()
+    below, upto = F.count_if(F.col("value") < found.near), F.count_if(F.col("value") <= found.near)
+    slack = found.n / metrics.ACCURACY + 1
+    within = (below <= found.n / 2 + slack) & (upto >= found.n / 2 - slack)
+    return rows.agg(F.round(F.lit(found.exact), 6).alias("exact"), within.alias("within"), F.count("*").alias("n"))
+
+
+@register(
+    """
+    SELECT o_orderkey, '[' || o_orderpriority || ' ' || o_orderstatus || ']' AS names, CAST(o_custkey AS VARCHAR) AS id, lower(o_orderpriority) AS note,
+           '{"names":["' || o_orderpriority || '","' || o_orderstatus || '"],"part":{"id":"' || o_custkey || '","note":"' || lower(o_orderpriority) || '"}}' AS params
+    FROM orders
+    """
+)
+def abi_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An array of strings and a tuple behind their offsets, typed and as JSON."""
+    project = Project.plan(configs.validate(configs.parse("name: n\nchains: [{id: 1, contracts: [{name: C, events: [{event: 'Made(string[] names, (uint256 id, string note) part)'}]}]}]")))
+    spec = project.events[0]
+    number = lambda n: u256.literal(n)
+    names = F.concat(number(2), number(64), number(128), padded_word(F.col("o_orderpriority")), padded_word(F.col("o_orderstatus")))
+    part = F.concat(u256.from_long(F.col("o_custkey")), number(64), padded_word(F.lower("o_orderpriority")))
+    data = F.concat(number(64), number(64 + 7 * 32), names, part)
+    logs = table(spark, sf_dir, "orders").select(
+        F.lit(1).cast("long").alias("chain_id"), F.col("o_orderkey").alias("block_number"), F.col("o_orderdate").cast("timestamp").alias("block_timestamp"), F.lit("").alias("block_hash"),
+        F.lit("").alias("transaction_hash"), F.lit(0).cast("long").alias("transaction_index"), F.col("o_orderkey").alias("log_index"), F.lit("").alias("address"), F.array(F.lit(spec.event.topic)).alias("topics"), hexes.hex_text(data).alias("data"),
+    )
+    typed = project.decode(logs, spec).select(F.col("log_index").alias("o_orderkey"), abi.array_text(F.col("names"), "string[]").alias("names"), u256.to_text(F.col("part.id")).alias("id"), F.col("part.note").alias("note"))
+    return typed.join(project.params_json(logs, spec).select(F.col("log_index").alias("o_orderkey"), "params"), "o_orderkey")
+
+
+@register(
+    """
+    SELECT o_orderkey, lpad(lower(to_hex(o_orderkey)) || repeat('0', 50), 64, '0') AS product, CAST(o_custkey AS VARCHAR) AS wrapped, CAST(-o_orderkey AS VARCHAR) AS below, repeat('f', 64) AS most
+    FROM orders
+    """
+)
+def u256_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products beyond 2^200, and what wraps around at 2^256."""
+    key, customer, top = u256.from_long(F.col("o_orderkey")), u256.from_long(F.col("o_custkey") + 1), u256.literal(u256.MODULUS - 1)
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.lower(F.hex(u256.mul(key, u256.literal(1 << 200)))).alias("product"), u256.to_text(u256.add(customer, top)).alias("wrapped"),
+        u256.to_signed_text(u256.mul(key, top)).alias("below"), F.lower(F.hex(u256.sub(u256.literal(0), u256.literal(1)))).alias("most"),
+    )
+
+
+@register("SELECT event_id AS block_number, CAST(user_id AS VARCHAR) AS sender, CAST(round(value * 100) AS BIGINT)::VARCHAR AS value FROM events")
+def resumed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event as a block: half of them indexed, a batch that fails before its commit, a restart, and the rest.
+
+    The tables lie in the folder that the cluster shares, in one place a session.
+    """
+    from loglattice.streaming.indexer import Indexer
+
+    project = Project.plan(configs.validate(configs.parse("name: r\nchains: [{id: 1, contracts: [{name: C, events: [{event: 'Sent(address indexed sender, int256 value)'}]}]}]")))
+    spec = project.events[0]
+    number = F.col("event_id")
+    log = F.struct(
+        F.lit("0x01").alias("address"), F.lit("0x02").alias("transactionHash"), F.array(F.lit(spec.event.topic), hexes.hex_text(u256.from_long(F.col("user_id")))).alias("topics"),
+        hexes.hex_text(u256.from_long(F.col("cents"))).alias("data"), F.lit(0).cast("long").alias("transactionIndex"), F.lit(0).cast("long").alias("logIndex"),
+    )
+    header = F.struct(number.alias("number"), F.concat(F.lit("0x"), F.hex(number)).alias("hash"), F.lit(0).cast("long").alias("timestamp"))
+    pages = chain_events(spark, sf_dir).select(header.alias("header"), F.array(log).alias("logs"))
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    root = f"{shared}/loglattice-resumed-{spark.sparkContext.applicationId}"
+    one = Indexer(spark, project, 1, root)
+    one.restart()
+    half = block_at(chain_events(spark, sf_dir).select(number.alias("block_number")), 0.5)
+    one.process(pages.where(F.col("header.number") <= half))
+
+    def fail(block, events):
+        raise InterruptedError("before the commit")
+
+    try:
+        Indexer(spark, project, 1, root, callbacks=[fail]).process(pages)
+    except InterruptedError:
+        pass
+    again = Indexer(spark, project, 1, root)
+    again.recover()
+    again.process(pages)
+    sender = F.conv(F.hex(F.substring("sender", 13, 8)), 16, 10)
+    return again.rows(spec.table).select("block_number", sender.alias("sender"), u256.to_signed_text(F.col("value")).alias("value"))
