@@ -22,16 +22,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the folder that the cluster shares.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset, as in tests, is a local folder made.
+    The folder is the session's ``spark.checkpoint.dir``. Where that is unset a
+    local session, as in tests, gets a folder of its own; a cluster is an error.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loglattice-"))
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="loglattice-")
+        context.setCheckpointDir(folder)
     return df.checkpoint()
 
 
+def fresh_name(wanted: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+#: Keys that hold more rows than the larger of these, a number and a share of all rows, are crowded: at most 1 / share of them.
+CROWD, CROWD_SHARE = 10_000, 1e-4
+
+
+def join_crowded(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined to a ``table`` of one row a ``key``, of which ``count`` rows have it; the count is dropped.
+
+    The crowded keys, at most 10,000 whatever the input, are broadcast, so that
+    their rows stay where they are; only the others are brought together by key.
+    """
+    edge = max(CROWD, int(total * CROWD_SHARE))
+    if total <= CROWD:
+        return rows.join(table.drop(count), key, how)
+    crowded = durable(table.where(F.col(count) > edge))
+    if crowded.isEmpty():
+        return rows.join(table.drop(count), key, how)
+    few = F.broadcast(crowded.drop(count))
+    others = rows.join(F.broadcast(crowded.select(key)), key, "left_anti").join(table.where(F.col(count) <= edge).drop(count), key, how)
+    return rows.join(few, key).unionByName(others)
+
+
 class BoundedMemo:
     """A memo of two generations, each of about ``limit`` entries; one of over 64 letters counts for more.
 
@@ -103,7 +136,3 @@ def keep_rows(docs: DataFrame, accepts: Callable[[], Callable[[list], list]], te
             yield batch.filter(pa.array(mask, pa.bool_()))
 
     return docs.mapInArrow(rows, docs.schema)
-
-
-def unsigned(column) -> F.Column:
-    return column.cast("long")

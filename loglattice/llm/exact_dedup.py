@@ -8,11 +8,15 @@ are, and the merge of all tasks' entries (the last compaction) is an aggregation
 with map-side combining.
 
 Digests that are met more than once are hits, and hits receive byte
-verification: a Bloom filter of all hit digests, of fixed size, picks the texts
-in a second narrow pass; each task compares the texts of a digest with the first
-one it has met and hands on that one; and sorted streams of those compare them
-between tasks. Texts with no copy are never moved. Digests that turn out to
-stand for different texts are regrouped by the texts themselves.
+verification: a Bloom filter of the hit digests, sized by their number and
+bounded, picks the texts in a second narrow pass; each task compares the texts of
+a digest with the first one it has met and hands on that one; and sorted streams
+of those compare them between tasks. Texts with no copy are never moved. Digests
+that turn out to stand for different texts are regrouped by the texts themselves.
+
+As a stage, ``drop_copies`` decides by row, that is by text and doc_id: of equal
+texts one row stays, whatever rows share a doc_id, and only the texts of rows
+that stay in a group of several are moved.
 
 Defined results: a null text counts as empty; texts of any length are read whole
 and compared byte by byte; the largest doc_id of a group stays (or the smallest,
@@ -27,50 +31,23 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglattice.llm.common import durable, text_slices, worker_state
+from loglattice.llm import bloom
+from loglattice.llm.bloom import Bloom
+from loglattice.llm.common import durable, fresh_name, join_crowded, text_slices, worker_state
 
-#: Entries of a memtable before it is flushed, and bits of the filter of hits (1 MB).
+#: Entries of a memtable before it is flushed.
 MEMTABLE = 1 << 15
-FILTER_BITS = 1 << 23
 #: Runs of a level before they are compacted.
 FAN_IN = 4
-PROBES = 5
 
 
 def sha256(raw: bytes) -> bytes:
     return hashlib.sha256(raw).digest()
 
 
-class Bloom:
-    """A Bloom filter over digests; the probes are taken from the digest's own bytes."""
-
-    def __init__(self, bits: int, words: np.ndarray | None = None):
-        self.bits = bits
-        self.words = np.zeros(bits // 8, np.uint8) if words is None else words
-
-    def _places(self, digests: np.ndarray) -> np.ndarray:
-        own = digests.view(np.uint8).reshape(len(digests), -1)[:, :16]
-        raw = np.zeros((len(digests), 16), np.uint8)
-        raw[:, : own.shape[1]] = own
-        raw = raw.view("<u8")
-        step = raw[:, 1] | np.uint64(1)
-        return (raw[:, :1] + np.arange(PROBES, dtype=np.uint64) * step[:, None]) % np.uint64(self.bits)
-
-    def add(self, digests: np.ndarray) -> None:
-        if len(digests):
-            at = self._places(digests).ravel()
-            np.bitwise_or.at(self.words, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-
-    def may_hold(self, digests: np.ndarray) -> np.ndarray:
-        if not len(digests):
-            return np.zeros(0, bool)
-        at = self._places(digests)
-        return ((self.words[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
-
-
 class Run:
     """Digests in order, the identifier that stays for each, and their counts."""
 
@@ -195,39 +172,28 @@ def index_entries(members: DataFrame, largest: bool) -> DataFrame:
     return members.select("doc_id", "digest").mapInArrow(rows, "digest binary, keep_id long, n long")
 
 
-def _wide(digests: list[bytes]) -> np.ndarray:
-    """Digests of one length as an array, with the closing byte that runs have as well."""
-    width = 1 + max(map(len, digests), default=0)
-    return np.frombuffer(b"".join(d + b"\1" for d in digests), f"V{width}")
+def _short(digests: list[bytes]) -> np.ndarray:
+    """The first eight bytes of each digest as a number; shorter ones get zeros."""
+    return np.frombuffer(b"".join(d[:8].ljust(8, b"\0") for d in digests), "<i8")
 
 
-def hit_filter(groups: DataFrame) -> bytes:
-    """The Bloom filter of the digests met more than once; of fixed size, whatever the input."""
+def hit_filter(groups: DataFrame) -> tuple[int, bytes]:
+    """The Bloom filter of the digests met more than once: (bits, words)."""
+    hits = groups.where("n > 1").select("digest")
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Bloom(FILTER_BITS)
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own.add(_wide(batch.column(0).to_pylist()))
-        yield pa.RecordBatch.from_arrays([pa.array([own.words.tobytes()], pa.binary())], ["words"])
+            yield pa.RecordBatch.from_arrays([pa.array(_short(batch.column(0).to_pylist()))], ["h"])
 
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = np.zeros(FILTER_BITS // 8, np.uint8)
-        for batch in batches:
-            for words in batch.column(0):
-                whole |= np.frombuffer(words.as_buffer(), np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([whole.tobytes()], pa.binary())], ["words"])
+    return bloom.built(hits.mapInArrow(short, "h long"), hits.count())
 
-    parts = groups.where("n > 1").select("digest").coalesce(8).mapInArrow(rows, "words binary")
-    found = parts.coalesce(1).mapInArrow(merged, "words binary").first()
-    return bytes(found.words) if found else bytes(FILTER_BITS // 8)
 
-
-def collided(docs: DataFrame, words: bytes, digest: Callable[[bytes], bytes]) -> DataFrame:
+def collided(docs: DataFrame, found: tuple[int, bytes], digest: Callable[[bytes], bytes]) -> DataFrame:
     """The digests, among the hits, that stand for texts that differ in a byte."""
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+    bits, shared = found[0], docs.sparkSession.sparkContext.broadcast(found[1])
 
     def first_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hits = Bloom(FILTER_BITS, np.frombuffer(shared.value, np.uint8))
+        hits = Bloom(bits, np.frombuffer(shared.value, np.uint8))
         held: dict[bytes, bytes] = {}
         size = 0
 
@@ -237,7 +203,7 @@ def collided(docs: DataFrame, words: bytes, digest: Callable[[bytes], bytes]) ->
         for raws in ([_raw(text) for text in texts] for batch in batches for _, texts in text_slices(batch.column(0))):
             keys = [digest(raw) for raw in raws]
             differ = []
-            for i in np.flatnonzero(hits.may_hold(_wide(keys))).tolist():
+            for i in np.flatnonzero(hits.may_hold(_short(keys))).tolist():
                 known = held.setdefault(keys[i], raws[i])
                 if known is raws[i]:
                     size += len(known)
@@ -268,33 +234,58 @@ def collided(docs: DataFrame, words: bytes, digest: Callable[[bytes], bytes]) ->
     return texts.repartition("digest").sortWithinPartitions("digest").mapInArrow(compare, "digest binary")
 
 
-def exact_groups(docs: DataFrame, largest: bool = True, digest: Callable[[bytes], bytes] = sha256) -> DataFrame:
-    """One row a row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, digest."""
+def _indexed(docs: DataFrame, largest: bool, digest: Callable[[bytes], bytes]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, digest) of each row, (digest, keep_id, group_size) of each digest, and the digests of several texts."""
     members = durable(digests_of(docs, digest))
     pick = F.max if largest else F.min
     entries = index_entries(members, largest).groupBy("digest").agg(pick("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
     entries = durable(entries)
-    bad = durable(collided(docs, hit_filter(entries.withColumnRenamed("group_size", "n")), digest))
+    return members, entries, durable(collided(docs, hit_filter(entries.withColumnRenamed("group_size", "n")), digest))
+
+
+def _mixed(docs: DataFrame, bad: DataFrame, largest: bool, digest: Callable[[bytes], bytes]) -> DataFrame:
+    """digest, text, doc_id, copies, keep_id and group_size of the rows whose digests stand for several texts, by their texts."""
+    make = F.arrow_udf(lambda texts: pa.array([digest(_raw(t)) for t in texts.to_pylist()], pa.binary()), "binary")
+    pick = F.max if largest else F.min
+    own = docs.selectExpr("cast(doc_id as long) doc_id", "coalesce(text, '') text").withColumn("digest", make("text")).join(bad, "digest", "left_semi")
+    apart = own.groupBy("digest", "text").agg(pick("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    return own.groupBy("digest", "text", "doc_id").agg(F.count("*").alias("copies")).join(apart, ["digest", "text"])
+
+
+def exact_groups(docs: DataFrame, largest: bool = True, digest: Callable[[bytes], bytes] = sha256) -> DataFrame:
+    """One row a row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, digest."""
+    members, entries, bad = _indexed(docs, largest, digest)
     rows = members.groupBy("digest", "doc_id").agg(F.count("*").alias("copies"))
-    out = rows.join(entries, "digest")
-    if not bad.isEmpty():  # different texts with one digest: group those by the texts
-        make = F.udf(lambda text: digest(_raw(text)), "binary")
-        mixed = docs.selectExpr("cast(doc_id as long) doc_id", "coalesce(text, '') text").withColumn("digest", make("text")).join(bad, "digest", "left_semi")
-        apart = mixed.groupBy("digest", "text").agg(pick("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        mixed = mixed.groupBy("digest", "text", "doc_id").agg(F.count("*").alias("copies")).join(apart, ["digest", "text"])
+    out = join_crowded(rows, entries.withColumn("n", F.col("group_size")), "digest", "n", members.count())
+    if not bad.isEmpty():
+        mixed = _mixed(docs, bad, largest, digest)
         out = out.join(bad, "digest", "left_anti").unionByName(mixed.select(*out.columns))
     copy = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
     return out.select("doc_id", "keep_id", "group_size", "digest", copy).select("doc_id", "keep_id", "group_size", kept.alias("kept"), "digest")
 
 
-def keep_first_copies(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``kept`` (doc_id), each repeated row once; columns as they are."""
-    chosen = kept.select(F.col("doc_id").alias("_kept_id")).distinct()
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    found = docs.join(chosen, docs["doc_id"].cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
-    once = Window.partitionBy("doc_id", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).orderBy(F.lit(0))
-    return found.withColumn("_copy", F.row_number().over(once)).where("_copy = 1").select(*own)
+def drop_copies(docs: DataFrame, largest: bool = True) -> DataFrame:
+    """The rows of ``docs``, columns as they are, without copies: of equal texts the row with the largest doc_id.
+
+    The decision is by row. A row goes if its text has a row with a larger
+    doc_id, or is repeated with the same one; rows that share a doc_id but not
+    the text do not touch each other. A null doc_id is below all others.
+    """
+    _, entries, bad = _indexed(docs, largest, sha256)
+    key, own = fresh_name("digest", docs), fresh_name("own_id", docs)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.withColumn(key, F.unhex(F.sha2(text.cast("binary"), 256))).withColumn(own, F.col("doc_id").cast("long"))
+    chosen = entries.select(F.col("digest").alias(key), F.col("keep_id").alias(own))
+    several = entries.where("group_size > 1").select(F.col("digest").alias(key))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if bad.isEmpty():
+        return bloom.keep_chosen(rows, key, own, chosen, several, several.count()).select(*columns)
+    # Different texts with one digest: their rows are parted by the texts themselves.
+    parted = rows.join(bad.select(F.col("digest").alias(key)), key, "left_semi").groupBy(text.alias("_text"))
+    apart = parted.agg((F.max_by if largest else F.min_by)(F.struct(*columns), own).alias("_row")).select("_row.*")
+    rest = rows.join(bad.select(F.col("digest").alias(key)), key, "left_anti")
+    return bloom.keep_chosen(rest, key, own, chosen, several, several.count()).select(*columns).unionByName(apart)
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:

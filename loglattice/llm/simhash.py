@@ -16,7 +16,12 @@ them all, and whoever comes with turned bits looks up the few values that the
 budget leaves. Links are handed on as forests, never as all pairs.
 
 Fingerprints that many documents share are one vertex. The components of the
-vertices come from large-star/small-star steps.
+vertices come from large-star/small-star steps. Where documents meet their
+vertex again, the few fingerprints that very many share are broadcast.
+
+As a stage, ``drop_near`` keeps one row of each component, the one with the least
+doc_id (of several with it, the one with the least fingerprint), and moves no
+text but those of components with several rows that stay.
 
 Defined results: a null or empty text, or one of blanks only, has fingerprint
 zero and is linked like any other; fewer words than a shingle has make one
@@ -37,7 +42,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglattice.llm.common import durable, text_slices, worker_state
+from loglattice.llm import bloom
+from loglattice.llm.common import durable, fresh_name, join_crowded, text_slices, worker_state
 from loglattice.llm.components import connected_components
 
 BITS, DISTANCE, SEGMENT = 64, 3, 16
@@ -300,14 +306,52 @@ def near_links(fps: DataFrame) -> DataFrame:
     return links.unionByName(longer.mapInArrow(link_long_runs, LINKS).select("a", "b"))
 
 
+def _components(members: DataFrame) -> tuple[DataFrame, int]:
+    """(fp, component, n, least) of each fingerprint: its component's root, its rows, their least doc_id; and all rows."""
+    vertices = durable(members.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    parts = durable(connected_components(near_links(vertices.select("fp"))))
+    known = vertices.join(parts.select(F.col("node").alias("fp"), "root"), "fp", "left")
+    return known.select("fp", F.coalesce("root", "fp").alias("component"), "n", "least"), members.count()
+
+
 def near_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """One row a row of ``docs`` (doc_id, text): doc_id, fingerprint, component_id."""
     members = durable(fingerprints(docs, shingle))
-    vertices = durable(members.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    parts = durable(connected_components(near_links(vertices)))
-    known = parts.join(vertices, parts["node"] == vertices["fp"]).select("node", "root", "least")
-    ids = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = known.join(ids, "root").select(F.col("node").alias("fp"), "component_id")
-    by_print = vertices.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    found, total = _components(members)
+    ids = found.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("prints"))
+    by_print = join_crowded(found, ids, "component", "prints", total).select("fp", "component_id", "n")
     text = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return members.join(by_print, "fp").select("doc_id", text, "component_id")
+    return join_crowded(members, by_print, "fp", "n", total).select("doc_id", text, "component_id")
+
+
+def with_fingerprint(docs: DataFrame, name: str, shingle: int = SHINGLE) -> DataFrame:
+    """``docs`` with the fingerprint of its text as a signed long."""
+
+    def of(texts: pa.Array) -> pa.Array:
+        worker_state(None, None)
+        found = [fingerprint(text, shingle) for _, part in text_slices(texts) for text in part]
+        return pa.array(np.array(found, np.uint64).view(np.int64))
+
+    return docs.withColumn(name, F.arrow_udf(of, "long")("text"))
+
+
+def drop_near(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs``, columns as they are, one of each component of near-duplicates.
+
+    It is the row with the least doc_id, null above all others; of several rows
+    with that one, the one with the least fingerprint, and of rows equal in both
+    any one.
+    """
+    fp, own = fresh_name("fp", docs), fresh_name("own_id", docs)
+    rows = durable(with_fingerprint(docs, fp, shingle).withColumn(own, F.col("doc_id").cast("long")))
+    found, _ = _components(rows.select(F.col(own).alias("doc_id"), F.col(fp).alias("fp")))
+    found = durable(found)
+    place = F.struct(F.col("least").isNull().alias("none"), "least", "fp")
+    best = found.groupBy("component").agg(F.min(place).alias("best"), F.sum("n").alias("n"), F.count("*").alias("prints"))
+    winners = best.select("component", F.col("best.fp").alias("won"), F.col("best.least").alias(own), "n", "prints")
+    # Every fingerprint of a component with several rows stands for the component; only the winner's is chosen.
+    several = join_crowded(found.select("component", "fp"), winners.where("n > 1").select("component", "prints"), "component", "prints", found.count())
+    several = durable(several.select(F.col("fp").alias(fp)))
+    chosen = winners.select(F.col("won").alias(fp), own)
+    kept = bloom.keep_chosen(rows, fp, own, chosen, several, several.count())
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

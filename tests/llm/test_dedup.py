@@ -50,12 +50,58 @@ def test_exact_groups(odd_docs, no_docs, digest, largest):
     assert exact_dedup.exact_groups(no_docs).count() == 0
 
 
-def test_keep_first_copies(odd_docs, spark):
-    kept = exact_dedup.exact_groups(odd_docs).where("kept").select("doc_id")
-    out = exact_dedup.keep_first_copies(odd_docs, kept)
-    assert out.schema == odd_docs.schema
-    rows = sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect())
-    assert rows == sorted((i is None, i or 0) for i in [2, 4, 5, 6, 7, 8, 9, None, -5, 2**62])
+#: Rows that share a doc_id but not the text, repeated rows, nulls, and columns named as those that the stages use.
+SHARED_IDS = [(9, "A"), (7, "A"), (7, "B"), (7, "B"), (3, None), (2, ""), (None, "A"), (None, "lone"), (None, "lone"), (5, "B" * 70_000)]
+
+
+@pytest.fixture(scope="module")
+def shared_ids(spark):
+    rows = [(i, t, 10 * k, "d", k, "g") for k, (i, t) in enumerate(SHARED_IDS)]
+    return spark.createDataFrame(rows, "doc_id long, text string, _copy long, digest string, own_id long, _group string").repartition(3).persist()
+
+
+@pytest.mark.parametrize("largest", [True, False])
+def test_drop_copies_decides_by_row(shared_ids, odd_docs, no_docs, largest):
+    out = exact_dedup.drop_copies(shared_ids, largest)
+    assert out.schema == shared_ids.schema
+    kept = sorted(((r.doc_id is None, r.doc_id or 0, r.text) for r in out.collect()), key=str)
+    ids = (9, 7, 3) if largest else (7, 7, 2)
+    assert kept == sorted([(False, ids[0], "A"), (False, ids[1], "B"), (False, ids[2], None if largest else ""), (True, 0, "lone"), (False, 5, "B" * 70_000)], key=str)
+    assert all(r._copy == 10 * r.own_id and r._group == "g" and r.digest == "d" for r in out.collect())
+    found = exact_dedup.drop_copies(odd_docs)
+    assert found.schema == odd_docs.schema and exact_dedup.drop_copies(no_docs).count() == 0
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in found.collect()) == sorted((i is None, i or 0) for i in [2, 4, 5, 6, 7, 8, 9, None, -5, 2**62])
+
+
+def test_crowded_keys_and_full_filters(spark, monkeypatch):
+    """The same rows where every key is crowded, and where the filters let everything through."""
+    from loglattice.llm import bloom, common
+
+    rows = [(k, "same") for k in range(300)] + [(1000 + k, f"pair {k % 40}") for k in range(80)] + [(2000 + k, f"only {k}") for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7).persist()
+    want = {(299, "same"), *((1040 + k, f"pair {k}") for k in range(40)), *((2000 + k, f"only {k}") for k in range(50))}
+    for crowd, bits in ((10_000, 1 << 28), (5, 1 << 28), (5, 8)):
+        monkeypatch.setattr(common, "CROWD", crowd)
+        monkeypatch.setattr(common, "CROWD_SHARE", 0.0)
+        monkeypatch.setattr(bloom, "MOST_BITS", bits)
+        assert {tuple(r) for r in exact_dedup.drop_copies(docs).collect()} == want
+        assert {(r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.exact_groups(docs).collect()} == exact_brute([(*r, None) for r in rows])
+        found = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_groups(docs).collect()}
+        assert found == near_brute([(*r, None) for r in rows])
+        near = [r.doc_id for r in simhash.drop_near(docs).collect()]
+        assert sorted(near) == sorted({c for _, c in found.values()})
+
+
+def test_drop_near_decides_by_row(spark, shared_ids, odd_docs, no_docs, docs):
+    out = simhash.drop_near(shared_ids)
+    assert out.schema == shared_ids.schema and all(r._copy == 10 * r.own_id for r in out.collect())
+    prints = {t: slow_fingerprint(t) for _, t in SHARED_IDS}
+    assert min((prints[a] ^ prints[b]).bit_count() for a in prints for b in prints if (a or "") != (b or "")) > 3
+    kept = sorted(((r.doc_id is None, r.doc_id or 0, r.text or "") for r in out.collect()), key=str)
+    assert kept == sorted([(False, 7, "A"), (False, 7, "B"), (False, 2, ""), (True, 0, "lone"), (False, 5, "B" * 70_000)], key=str)
+    assert simhash.drop_near(no_docs).count() == 0 and simhash.drop_near(odd_docs).schema == odd_docs.schema
+    kept = {r.doc_id for r in simhash.drop_near(docs).collect()}
+    assert kept == {root for _, root in near_brute([(r.doc_id, r.text, None) for r in docs.collect()]).values()}
 
 
 def slow_fingerprint(text, k=3):
