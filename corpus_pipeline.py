@@ -13,13 +13,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from loglattice.llm import langid, toxicity
 from loglattice.llm.common import durable, table
-from loglattice.llm.exact_dedup import exact_groups, keep_first_copies
+from loglattice.llm.exact_dedup import drop_copies
 from loglattice.llm.packing import pack_documents
-from loglattice.llm.simhash import near_groups
+from loglattice.llm.simhash import drop_near
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,13 +32,13 @@ def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest doc_id."""
-    return keep_first_copies(docs, exact_groups(docs).where("kept").select("doc_id"))
+    """Of equal texts, the row with the largest doc_id; rows are told apart by text and doc_id."""
+    return drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document with the smallest doc_id."""
-    return keep_first_copies(docs, near_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))
+    """Of each group of near-duplicates, the row with the smallest doc_id."""
+    return drop_near(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
