@@ -108,20 +108,23 @@ def worker_state(key, make: Callable):
     return _WORKER.get(key)
 
 
-def text_slices(column: pa.Array, limit: int = SLICE_CHARS) -> Iterator[tuple[int, list]]:
-    """(first row, texts) of consecutive parts of a column of about ``limit`` bytes, one text at least.
-
-    Only one part at a time is made into Python strings.
-    """
+def array_slices(column: pa.Array, limit: int = SLICE_CHARS) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, part) of consecutive parts of a text column of about ``limit`` bytes, one text at least."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start, n = 0, len(column)
     while start < n:
         done = int(ends[start - 1]) if start else 0
         end = min(n, int(np.searchsorted(ends, done + limit)) + 1)
-        yield start, column.slice(start, end - start).to_pylist()
+        yield start, column.slice(start, end - start)
         start = end
 
 
+def text_slices(column: pa.Array, limit: int = SLICE_CHARS) -> Iterator[tuple[int, list]]:
+    """(first row, texts) of the same parts; only one at a time is made into Python strings."""
+    for start, part in array_slices(column, limit):
+        yield start, part.to_pylist()
+
+
 def keep_rows(docs: DataFrame, accepts: Callable[[], Callable[[list], list]], text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose text is accepted.
 

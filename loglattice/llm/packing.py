@@ -2,16 +2,26 @@
 
 Tokenising is one narrow pass: texts are cut at blanks and line feeds, which the
 tokenizer's pattern never crosses, and each distinct chunk is encoded once a
-worker (bounded memo). Only documents beyond the capacity are cut. The pieces
-are then dealt out by a hash of their identity, and every task packs its pieces
-in chunks of bounded size, so no task depends on the number of documents.
-
-Within a chunk the best-fit decreasing solution is the first incumbent. If the
-waste bound (no packing needs less than total / capacity sequences) does not
-prove it best, bin completion searches depth first: the largest piece left opens
-a sequence, undominated fillings of the rest are enumerated by increasing waste,
-a branch ends when its waste exceeds what a better incumbent may waste, and each
-improvement becomes the incumbent.
+worker (bounded memo). Only documents beyond the capacity are cut. The pieces,
+without their ids, are checkpointed and dealt out evenly into as many parts as
+their number asks for, whatever the session's partitions, and every task packs
+its part alone, so no task depends on the number of documents.
+
+Within a part the best-fit decreasing solution is the first incumbent, and the
+waste bound (Martello and Toth's L2: pieces over half a sequence, and those that
+cannot join them, each against the space that is left) is the number that no
+packing can go below. Where the two meet the incumbent is proven. Else bin
+completion searches depth first: the largest piece left opens a sequence; the
+undominated fillings of the rest follow by increasing waste; a branch ends where
+its sequences and the waste bound of what is left reach the incumbent, and each
+improvement becomes the incumbent. A filling is dominated if another one can
+take its place in every packing: if its pieces can be dealt onto the other's
+pieces so that none is exceeded. By Korf's theorem it is enough that no set of
+its pieces can be replaced by one larger piece that is left and fits.
+
+A search that comes to its end has proven its incumbent. ``STEPS``, the work of
+enumerating and branching, bounds one part's search; where it is spent the
+incumbent is returned and ``proven`` is false. No piece is ever left out.
 
 Defined results: a null or empty text is the single closing id; repeated rows
 are packed as often as they occur; an empty table gives no rows; a null doc_id
@@ -22,34 +32,40 @@ from __future__ import annotations
 
 import zlib
 from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglattice.llm.common import BoundedMemo, text_slices, worker_state
+from loglattice.llm.common import BoundedMemo, array_slices, durable, worker_state
 
 CAPACITY = 2048
 #: Pieces that are packed together; bounds a task's memory.
 CHUNK_PIECES = 1 << 14
-#: Nodes of a search beyond one a sequence; past them the incumbent is returned.
-EXTRA_NODES = 4000
-#: Fillings that are enumerated at a node.
-FILLINGS = 4
+#: Bytes of text that are encoded together.
+SLICE_BYTES = 1 << 22
+#: Steps of a part's search: pieces tried while fillings are enumerated, and ten for each node.
+STEPS = 400_000
 
-#: Marks that may stand behind a word, and the end of the letters that have one lower case each.
-MARKS, LATIN_END = ".,;:!?", "\u0130"
-#: What a token that closes a word ends with, and how many words are encoded together.
-WORD_END, TOGETHER = "</w>", 256
+#: Latin letters that have one lower case each, and marks that may stand behind a word of them.
+LATIN, MARKS = r"[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}]", ".,;:!?"
+#: What a token that closes a word ends with, how many words are encoded together, and words of the memo.
+WORD_END, TOGETHER, MEMO = "</w>", 256, 400_000
 
 PIECES_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 IDS_SCHEMA = PIECES_SCHEMA + ", ids array<int>"
 
 
 class ChunkTokenizer:
-    """A tokenizer whose pattern never crosses white space, with a memo of chunks."""
+    """A tokenizer whose pattern never crosses white space, with a memo of words.
+
+    Latin words are told from the mark behind them and put into lower case, as
+    the tokenizer itself does, so that the memo has each once.
+    """
 
     def __init__(self, path: str):
         import os
@@ -58,51 +74,65 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo, self.words = BoundedMemo(250_000), BoundedMemo(250_000)
+        self.memo = BoundedMemo(MEMO)
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
-        self.marks = dict(zip(MARKS, self._encode(list(MARKS)), strict=True)) | {"": b""}
+        self.marks = [b"", *self._compute(list(MARKS))]
 
-    def _encode(self, words: list[str]) -> list[bytes]:
-        """The ids of each word; words of Latin letters go together, parted again where a token closes a word."""
+    def _compute(self, words: list[str]) -> list[bytes]:
+        """The ids of each word; plain ones are encoded together, and parted again where a token closes a word."""
         out: list[bytes] = [b""] * len(words)
-        plain = [i for i, w in enumerate(words) if w.isalpha() and max(w) < LATIN_END]
-        rest = set(range(len(words))).difference(plain)
-        lines = [plain[a : a + TOGETHER] for a in range(0, len(plain), TOGETHER)]
+        plain = pc.match_substring_regex(pa.array(words, pa.string()), f"^{LATIN}+$").to_numpy(zero_copy_only=False)
+        together, rest = np.flatnonzero(plain), np.flatnonzero(~plain).tolist()
+        lines = [together[a : a + TOGETHER].tolist() for a in range(0, len(together), TOGETHER)]
         found = self.tokenizer.encode_batch_fast([" ".join([words[i] for i in line]) for line in lines], add_special_tokens=False)
         for line, encoded in zip(lines, found, strict=True):
             ids = np.array(encoded.ids, np.uint32)
             ends = (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
             if len(ends) != len(line):
-                rest.update(line)
+                rest += line
                 continue
             raw, begin = ids.tobytes(), 0
             for i, end in zip(line, ends, strict=True):
                 out[i] = raw[begin:end]
                 begin = end
-        rest = sorted(rest)
         for i, encoded in zip(rest, self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
             out[i] = array("I", encoded.ids).tobytes()
         return out
 
-    def _compute(self, chunks: list[str]) -> list[bytes]:
-        """A word and a mark behind it are encoded apart, and Latin words in lower case, as the tokenizer itself does."""
-        parts = []
-        for chunk in chunks:
-            mark = chunk[-1:] if chunk[-1:] in self.marks and chunk[-2:-1].isalpha() and chunk[-2] < LATIN_END else ""
-            word = chunk[:-1] if mark else chunk
-            parts.append((word.lower() if word and max(word) < LATIN_END else word, mark))
-        self.words.admit({word for word, _ in parts}, self._encode)
-        known, marks = self.words.young, self.marks
-        return [known[word] + marks[mark] for word, mark in parts]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers."""
-        split = [(text or "").replace("\n", " ").split(" ") for text in texts]
-        self.memo.admit({chunk for chunks in split for chunk in chunks}, self._compute)
-        get = self.memo.young.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in split]
+    def _parts(self, chunks: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The word of each chunk, and the number of the mark behind it, 0 for none."""
+        marked = pc.match_substring_regex(chunks, f"^{LATIN}+[{MARKS}]$")
+        words = pc.if_else(marked, pc.utf8_slice_codeunits(chunks, 0, -1), chunks)
+        words = pc.if_else(pc.match_substring_regex(words, f"^{LATIN}+$"), pc.utf8_lower(words), words)
+        marks = pc.if_else(marked, pc.utf8_slice_codeunits(chunks, -1), "")
+        return words, 1 + pc.fill_null(pc.index_in(marks, pa.array(list(MARKS))), -1).to_numpy(zero_copy_only=False)
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers.
+
+        Arrow cuts the texts and numbers their distinct chunks and words, the
+        memo has the ids of these, and NumPy puts them together.
+        """
+        column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        chunks = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
+        coded = chunks.flatten().dictionary_encode()
+        words, mark = self._parts(coded.dictionary)
+        words = words.dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        self.memo.admit(distinct, self._compute)
+        known = [*map(self.memo.young.__getitem__, distinct), *self.marks]
+        size = np.fromiter(map(len, known), np.int64, len(known)) >> 2
+        flat, place = np.frombuffer(b"".join(known), "<u4"), np.cumsum(size) - size
+        pairs = np.stack([words.indices.to_numpy(), len(distinct) + mark], axis=1)[coded.indices.to_numpy()].ravel()
+        length = size[pairs]
+        ends = np.cumsum(length)
+        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(place[pairs] - (ends - length), length)
+        raw = flat[at].tobytes()
+        last = 2 * np.cumsum(pc.list_value_length(chunks).to_numpy())
+        bounds = [0, *(4 * ends[last - 1]).tolist()]
+        return [raw[begin:end] for begin, end in zip(bounds, bounds[1:], strict=False)]
 
 
 def tokenizer(path: str) -> ChunkTokenizer:
@@ -118,7 +148,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, closing_i
         closing = np.array([closing_id], "<u4").tobytes()
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for a, texts in text_slices(batch.column(1)):
+            for a, texts in array_slices(batch.column(1), SLICE_BYTES):
                 out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
                 for doc_id, ids in zip(doc_ids[a : a + len(texts)], own.encode(texts), strict=True):
                     ids += closing
@@ -181,101 +211,160 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return fillings
 
 
-def undominated(sizes: _Sizes, room: int, most: int, nodes: int = 160) -> list[tuple[int, ...]]:
-    """Up to ``most`` fillings of ``room``, by increasing waste.
+class Spent(Exception):
+    """The steps of a search are used up."""
+
+
+class Budget:
+    """The steps that a search may still take."""
+
+    def __init__(self, steps: int):
+        self.left = steps
 
-    A filling is dominated, and left out, if one larger piece could take the
-    place of some of its pieces within the room: so each filling takes the
-    largest piece that fits before smaller ones, and a set of pieces is kept
-    only if no single length present lies from its sum to the room it fills.
+    def take(self, n: int = 1) -> None:
+        self.left -= n
+        if self.left < 0:
+            raise Spent
+
+
+def waste_bound(count: np.ndarray, capacity: int) -> int:
+    """No packing of ``count[n]`` pieces of each length n has fewer sequences (L2).
+
+    For each k up to half the capacity: pieces over capacity - k and over half a
+    sequence need one each, and what the middle ones of at least k exceed the
+    space beside the latter needs more.
+    """
+    lengths = np.arange(capacity + 1)
+    pieces = np.cumsum(count)
+    weight = np.cumsum(count * lengths)
+    k = np.arange(capacity // 2 + 1)
+    half = capacity // 2
+    top, over = pieces[-1] - pieces[capacity - k], pieces[capacity - k] - pieces[half]
+    over_weight = weight[capacity - k] - weight[half]
+    middle = weight[half] - np.where(k > 0, weight[np.maximum(k - 1, 0)], 0)
+    more = np.maximum(0, -(-(middle - (over * capacity - over_weight)) // capacity))
+    return int((top + over + more).max())
+
+
+def replaceable(filling: tuple[int, ...], rest: list[int], slack: int) -> bool:
+    """Whether some pieces of a filling can be replaced by one larger piece of ``rest`` (ascending) that fits.
+
+    A set of two and more pieces may be replaced by one of its own sum; a single
+    one, or none, only by a larger one.
+    """
+    singles, several = {0}, set()
+    for n in filling:
+        several |= {s + n for s in several} | {s + n for s in singles if s}
+        singles.add(n)
+    for total, own in ((t, t in several) for t in singles | several):
+        at = bisect_left(rest, total if own else total + 1)
+        if at < len(rest) and rest[at] <= total + slack:
+            return True
+    return False
+
+
+def undominated(sizes: _Sizes, room: int, budget: Budget) -> Iterator[tuple[int, ...]]:
+    """All undominated fillings of ``room``, by increasing waste.
+
+    Each waste is tried in turn, and every set of pieces that leaves it is found
+    by taking lengths in falling order; a bit set of the sums that the shorter
+    pieces can make ends what cannot come out. One piece that fills the room
+    dominates every other filling.
     """
-    found: dict[tuple[int, ...], int] = {}
-    left = [nodes]
-
-    def extend(taken: tuple[int, ...], room: int, bound: int) -> bool:
-        n = sizes.largest(min(room, bound))
-        if n < 1:
-            found.setdefault(taken, room)
-            return room == 0
-        while n >= 1 and left[0] > 0:
-            left[0] -= 1
-            sizes.take(n)
-            full = extend((*taken, n), room - n, n)
-            sizes.give(n)
-            if full:
-                return True
-            if found and 2 * n < room - min(found.values()) and not taken:
-                break
-            n = sizes.largest(n - 1)
-        return False
-
-    extend((), room, room)
-    ranked = sorted(found.items(), key=lambda x: (x[1], len(x[0])))
-    kept: list[tuple[int, ...]] = []
-    for filling, _ in ranked:
-        if not any(_dominates(other, filling) for other in kept):
-            kept.append(filling)
-        if len(kept) == most:
-            break
-    return kept
-
-
-def _dominates(big: tuple[int, ...], small: tuple[int, ...]) -> bool:
-    """Whether the pieces of ``small`` can be dealt onto those of ``big`` one by one."""
-    return len(big) >= len(small) and all(a >= b for a, b in zip(big, small, strict=False))
-
-
-def bin_completion(lengths: np.ndarray, capacity: int = CAPACITY, extra_nodes: int = EXTRA_NODES) -> list[list[int]]:
-    """Fillings of as few sequences as the search finds; proven least where the waste bound meets."""
+    if room and sizes.count[room]:
+        budget.take()
+        yield (room,)
+        return
+    present = [n for n in range(1, min(room, len(sizes.count) - 1) + 1) if sizes.count[n]]
+    reach, sums, mask = [], 1, (2 << room) - 1
+    for n in present:  # sums of pieces up to each length, its copies in groups of doubling size
+        reach.append(sums)
+        copies, group = min(sizes.count[n], room // n), 1
+        while copies:
+            group = min(group, copies)
+            sums |= sums << n * group & mask
+            copies, group = copies - group, 2 * group
+    reach.append(sums)
+    while sums:
+        total = sums.bit_length() - 1
+        sums ^= 1 << total
+        for filling in _making(sizes, present, reach, total, budget):
+            budget.take(len(filling))
+            left = [n for n in present if sizes.count[n] > filling.count(n)]
+            if not replaceable(filling, left, room - total):
+                yield filling
+
+
+def _making(sizes: _Sizes, present: list[int], reach: list[int], total: int, budget: Budget) -> Iterator[tuple[int, ...]]:
+    """Every multiset of the pieces that has a sum, larger pieces first."""
+    stack: list[tuple[int, int, tuple[int, ...]]] = [(len(present), total, ())]
+    while stack:
+        k, left, taken = stack.pop()
+        budget.take()
+        if not left:
+            yield taken
+            continue
+        if not k or not reach[k] >> left & 1:
+            continue
+        n = present[k - 1]
+        more = taken
+        stack.append((k - 1, left, taken))
+        for _ in range(min(sizes.count[n], left // n)):  # the most copies come out of the stack first
+            left -= n
+            more = (*more, n)
+            stack.append((k - 1, left, more))
+
+
+def bin_completion(lengths: np.ndarray, capacity: int = CAPACITY, steps: int = STEPS) -> tuple[list[list[int]], bool]:
+    """Fillings of as few sequences as the search finds, and whether they are proven least."""
     best = best_fit_decreasing(lengths, capacity)
-    total = int(lengths.sum())
-    least = -(-total // capacity)
+    least = waste_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
     if len(best) <= least:
-        return best
-    sizes = _Sizes(lengths, capacity)
-    nodes = len(best) + extra_nodes
+        return best, True
+    sizes, budget = _Sizes(lengths, capacity), Budget(steps)
     chosen: list[list[int]] = []
-    stack: list[list] = []  # of [largest, fillings left, waste before]
-    waste = 0
+    stack: list[tuple[int, Iterator[tuple[int, ...]]]] = []
 
-    def open_bin() -> None:
+    def open_sequence() -> None:
         n = sizes.largest(capacity)
         sizes.take(n)
-        stack.append([n, undominated(sizes, capacity - n, FILLINGS)[::-1], waste])
-        sizes.give(n)
-
-    open_bin()
-    while stack and nodes > 0:
-        n, options, before = stack[-1]
-        if len(chosen) == len(stack):  # take back what was chosen here
-            for x in chosen.pop():
-                sizes.give(x)
-            waste = before
-        if not options:
-            stack.pop()
-            continue
-        filling = options.pop()
-        nodes -= 1
-        gap = capacity - n - sum(filling)
-        if before + gap > (len(best) - 1) * capacity - total:  # no better than the incumbent
-            options.clear()
-            continue
-        chosen.append([n, *filling])
-        for x in chosen[-1]:
-            sizes.take(x)
-        waste = before + gap
-        if not sizes.bits:
-            best = [list(x) for x in chosen]
-            if len(best) <= least:
-                break
-            continue
-        open_bin()
-    return best
+        stack.append((n, undominated(sizes, capacity - n, budget)))
+
+    def give(pieces: Iterable[int]) -> None:
+        for x in pieces:
+            sizes.give(x)
+
+    try:
+        open_sequence()
+        while stack:
+            n, options = stack[-1]
+            if len(chosen) == len(stack):  # take back what was chosen here
+                give(chosen.pop()[1:])
+            filling = next(options, None)
+            if filling is None:
+                stack.pop()
+                give([n])
+                continue
+            budget.take(10)
+            for x in filling:
+                sizes.take(x)
+            chosen.append([n, *filling])
+            if not sizes.bits:
+                best = [list(x) for x in chosen]
+                if len(best) <= least:
+                    break
+            elif len(chosen) + waste_bound(np.array(sizes.count), capacity) < len(best):
+                open_sequence()
+                continue
+            give(chosen.pop()[1:])
+    except Spent:
+        return best, False
+    return best, True
 
 
-def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """The sequence and the offset of every piece, and how many sequences there are."""
-    fillings = bin_completion(lengths, capacity)
+def place(lengths: np.ndarray, capacity: int, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray, int, bool]:
+    """The sequence and the offset of every piece, how many sequences there are, and whether they are proven least."""
+    fillings, proven = bin_completion(lengths, capacity, steps)
     order = np.argsort(-lengths, kind="stable")
     flat = np.array([n for filling in fillings for n in filling], np.int64)
     which = np.repeat(np.arange(len(fillings)), [len(x) for x in fillings])
@@ -285,14 +374,19 @@ def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, i
     slot = np.argsort(-flat, kind="stable")
     sequence, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
     sequence[order], offset[order] = which[slot], offsets[slot]
-    return sequence, offset, len(fillings)
+    return sequence, offset, len(fillings), proven
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, chunk: int = CHUNK_PIECES) -> DataFrame:
-    """Adds sequence_id and offset to rows that have doc_id, piece and length."""
+def pack(pieces: DataFrame, capacity: int = CAPACITY, chunk: int = CHUNK_PIECES, steps: int = STEPS) -> DataFrame:
+    """Adds sequence_id, offset and proven to rows that have doc_id, piece and length.
+
+    ``proven``: no packing of the row's part, of about ``chunk`` pieces, has
+    fewer sequences. The rows are checkpointed and dealt out evenly, so that no
+    doc_id, null or repeated, comes to one task.
+    """
     from pyspark.sql import types as T
 
-    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("proven", T.BooleanType())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -302,22 +396,23 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, chunk: int = CHUNK_PIECES)
         def placed() -> pa.Table:
             nonlocal base
             whole = pa.Table.from_batches(held)
-            sequence, offset, used = place(whole.column("length").to_numpy(), capacity)
+            sequence, offset, used, proven = place(whole.column("length").to_numpy(), capacity, steps)
             sequence, base = sequence + base, base + used
-            return whole.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset)).combine_chunks()
+            whole = whole.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+            return whole.append_column("proven", pa.array(np.full(len(sequence), proven))).combine_chunks()
 
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
                 n += batch.num_rows
-            if n >= chunk:
+            if n >= 2 * chunk:
                 yield from placed().to_batches()
                 held, n = [], 0
         if held:
             yield from placed().to_batches()
 
-    dealt = pieces.repartition("doc_id", "piece").sortWithinPartitions("doc_id", "piece", *([F.col("ids_crc32")] if "ids_crc32" in pieces.columns else []))
-    return dealt.mapInArrow(rows, schema)
+    ready = durable(pieces)
+    return ready.repartition(max(1, -(-ready.count() // chunk))).mapInArrow(rows, schema)
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
