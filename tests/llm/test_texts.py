@@ -101,20 +101,51 @@ def fewest(lengths, capacity):
     return best[0]
 
 
-@given(st.lists(st.integers(1, 20), min_size=1, max_size=9))
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=12))
 @settings(max_examples=150, deadline=None)
 def test_bin_completion_is_exact_when_small(lengths):
-    found = packing.bin_completion(np.array(lengths), 20)
+    found, proven = packing.bin_completion(np.array(lengths), 20)
     assert sorted(x for f in found for x in f) == sorted(lengths) and max(map(sum, found)) <= 20
-    assert len(found) == fewest(lengths, 20)
+    least = fewest(lengths, 20)
+    assert proven and len(found) == least and packing.waste_bound(np.bincount(lengths, minlength=21), 20) <= least
+
+
+def dealt(small, big):
+    """Whether the pieces of one filling can be dealt onto those of another so that none is exceeded."""
+    def go(k, gaps):
+        return k == len(small) or any(gaps[i] >= small[k] and go(k + 1, [g - (small[k] if i == j else 0) for j, g in enumerate(gaps)]) for i in range(len(gaps)))
+
+    return go(0, list(big))
+
+
+@given(st.lists(st.integers(1, 12), min_size=1, max_size=8), st.integers(1, 20))
+@settings(max_examples=150, deadline=None)
+def test_fillings_are_the_undominated_ones(lengths, room):
+    sizes = packing._Sizes(np.array(lengths), 20)
+    found = [tuple(sorted(f, reverse=True)) for f in packing.undominated(sizes, room, packing.Budget(10**7))]
+    assert [sum(f) for f in found] == sorted((sum(f) for f in found), reverse=True) and len(set(found)) == len(found)
+    every = {tuple(sorted((lengths[i] for i in range(len(lengths)) if mask >> i & 1), reverse=True)) for mask in range(1 << len(lengths))}
+    every = {f for f in every if sum(f) <= room}
+    # Every filling is dominated by one that was found, and none that was found by a different one.
+    assert set(found) <= every and all(any(dealt(f, g) for g in found) for f in every)
+    assert not any(dealt(f, g) for f in found for g in found if f != g)
 
 
 def test_bin_completion_beats_best_fit():
-    lengths = np.random.default_rng(0).integers(500, 1200, 1200)
-    plain, found = packing.best_fit_decreasing(lengths, 2048), packing.bin_completion(lengths)
-    assert len(found) < len(plain) and max(map(sum, found)) <= 2048 and sum(map(sum, found)) == lengths.sum()
-    sequence, offset, n = packing.place(lengths, 2048)
-    check_sequences(sequence, offset, lengths, 2048)
+    """Best fit needs one sequence more than there has to be on many small instances; the search proves the least."""
+    rng, better = np.random.default_rng(0), 0
+    for _ in range(60):
+        lengths = rng.integers(150, 700, 30)
+        plain, (found, proven) = packing.best_fit_decreasing(lengths, 1000), packing.bin_completion(lengths, 1000)
+        assert len(found) <= len(plain) and max(map(sum, found)) <= 1000 and sum(map(sum, found)) == lengths.sum()
+        assert not proven or len(found) >= packing.waste_bound(np.bincount(lengths, minlength=1001), 1000)
+        better += len(found) < len(plain)
+    assert better >= 5
+    hard = rng.integers(500, 1100, 2000)
+    found, proven = packing.bin_completion(hard, steps=2000)
+    assert not proven and len(found) == len(packing.best_fit_decreasing(hard, 2048))
+    sequence, offset, n, _ = packing.place(hard, 2048)
+    check_sequences(sequence, offset, hard, 2048)
     assert n == len(set(sequence.tolist()))
 
 
@@ -575,6 +606,49 @@ def test_shards_split_a_large_group_and_keep_small_ones(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def slow_tree(points, first, leaves):
+    """[(row, shard)] of a k-d tree over (row, size, keys), each node sorted whole."""
+    if leaves == 1 or not points:
+        return [(row, first) for row, _, _ in points]
+    bits = kd_shard.CHECK + kd_shard.WITHIN
+    spans = [(max(p[2][k] for p in points) >> bits) - (min(p[2][k] for p in points) >> bits) for k in range(len(points[0][2]))]
+    dim, half = spans.index(max(spans)), leaves // 2
+    want, by_key = sum(p[1] for p in points) * half / leaves, defaultdict(list)
+    for p in points:
+        by_key[p[2][dim]].append(p)
+    left, right, before = [], [], 0
+    for key in sorted(by_key):
+        weight = sum(p[1] for p in by_key[key])
+        (left if 2 * before + weight <= 2 * want else right).extend(by_key[key])
+        before += weight
+    return slow_tree(left, first, half) + slow_tree(right, first + half, leaves - half)
+
+
+@pytest.mark.parametrize("most,bins", [(1 << 16, 2048), (150, 2048), (20, 2), (3, 64)])
+def test_shards_equal_a_tree_by_brute_force(spark, monkeypatch, most, bins):
+    """Whether all levels are windows, the upper ones are searched, or all are."""
+    monkeypatch.setattr(kd_shard, "ROWS", most)
+    monkeypatch.setattr(kd_shard, "BINS", bins)
+    monkeypatch.setattr(kd_shard, "LEVELS", 2)
+    rng = random.Random(8)
+    rows = [(k, "copy of one text " * 9) for k in range(120)] + [(120 + k, "ä" * rng.randint(0, 40) + f"text {k % 300} " * rng.randint(1, 30)) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found, dims = kd_shard.points(docs, kd_shard.default_dimensions()), len(kd_shard.default_dimensions())
+    bounds = found.agg(*[f(f"d{k}").alias(f"{f.__name__}{k}") for k in range(dims) for f in (F.min, F.max)]).first().asDict()
+    total = found.agg(F.sum("size")).first()[0]
+    keyed = kd_shard.keyed(found, dims, 13, bounds, total, kd_shard.HEAVY).collect()
+    want = dict(slow_tree([(r.doc_id, r["size"], [r[f"k{k}"] for k in range(dims)]) for r in keyed], 0, 13))
+    shards = kd_shard.kd_shards(docs, shards=13, near=0.0).toPandas()
+    check_shards(shards, 13)
+    assert dict(zip(shards.doc_id, shards.shard, strict=True)) == want
+
+
+def test_many_leaves(spark, docs):
+    total = docs.agg(F.sum(F.octet_length("text") + 16)).first()[0]
+    found = kd_shard.kd_shards(docs, target_bytes=total // 100).groupBy("shard").agg(F.sum("size").alias("b")).toPandas()
+    assert len(found) > 60 and found.shard.max() <= 100
+
+
 def test_memo_is_bounded():
     from loglattice.llm.common import BoundedMemo
 
