@@ -3,24 +3,33 @@
 The decoder reads RIFF/VP8L: prefix codes (simple and normal, with meta codes),
 back-references with the near-distance map, the colour cache, and the predictor,
 cross-colour, subtract-green and colour-indexing transforms, and gives ARGB
-pixels. Images whose one prefix-code group has only green literals, as the
-encoder writes them, are decoded by the same tables, four symbols a step, with
-NumPy; any other image by the general loop.
+pixels; ``pixel_column`` does so for any column of such images. Images whose one
+prefix-code group has only green literals are decoded by the same tables, four
+symbols a step, with NumPy; any other image by the general loop.
 
-The encoder stores one byte a pixel, as grey by way of subtract-green, under one
-fixed canonical prefix code (short codes for the frequent bytes of prose), in
-images of 64 pixels a row and at most 16,384 rows; longer payloads take several
-images in a row. So equal payloads have equal stored bytes.
+The encoder stores one byte a pixel, as grey, in images of 64 pixels a row and at
+most 16,384 rows; longer payloads take several images in a row. Each image takes
+the form that suits its samples (``form_of``):
+
+    palette     up to 16 values: colour indexing, several pixels a byte
+    cache       a single row: colour cache and a prefix code of its own
+    predictor   half of the samples equal the one above: predictor, short code for 0
+    references  shrunk to a sixth by repeats: back-references, codes of their own
+    cross       a quarter are no ASCII: cross-colour in place of subtract-green, flat code
+    plain       else: subtract-green, one fixed code (short codes for the frequent bytes of prose)
+
+The form depends on the samples alone, so equal payloads have equal stored bytes.
 
 Defined results: a null text counts as empty, and an empty payload is 64 zero
 bytes; texts of any length are stored whole; repeated rows give repeated
-results; a damaged or cut stream raises ValueError; further columns are not
-looked at.
+results; a damaged or cut stream raises ValueError (``pixel_column`` can give
+null instead); further columns are not looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import struct
 import zlib
 from collections.abc import Iterator
@@ -28,7 +37,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from loglattice.llm.common import text_slices
 
@@ -39,13 +49,22 @@ CODE_LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 1
 LENGTH_CODES = 24
 DISTANCE_CODES = 40
 CACHE_FACTOR = 0x1E35A7BD
-# Offset of each near distance: the row above in the high half, 8 less the column in the low half.
-NEAR = bytes.fromhex(
-    "180717192806272916 1a262a38053739151b363a252b4804474914 1c353b464a242c58454b343c0357591 31d565a23"
-    "2d444c555b333d68026769121e666a222e545c434d656b323e7801777953 5d111f646c424e767a212f757b313f636d52"
-    "5e00747c414f1020626e30737d515f40727e616f50717f6070".replace(" ", "")
+# Near distances by code, fixed by the format: columns to the left (to the right if negative) and rows up.
+NEAR = (
+    (0, 1), (1, 0), (1, 1), (-1, 1), (0, 2), (2, 0), (1, 2), (-1, 2), (2, 1), (-2, 1), (2, 2), (-2, 2),
+    (0, 3), (3, 0), (1, 3), (-1, 3), (3, 1), (-3, 1), (2, 3), (-2, 3), (3, 2), (-3, 2), (0, 4), (4, 0),
+    (1, 4), (-1, 4), (4, 1), (-4, 1), (3, 3), (-3, 3), (2, 4), (-2, 4), (4, 2), (-4, 2), (0, 5), (3, 4),
+    (-3, 4), (4, 3), (-4, 3), (5, 0), (1, 5), (-1, 5), (5, 1), (-5, 1), (2, 5), (-2, 5), (5, 2), (-5, 2),
+    (4, 4), (-4, 4), (3, 5), (-3, 5), (5, 3), (-5, 3), (0, 6), (6, 0), (1, 6), (-1, 6), (6, 1), (-6, 1),
+    (2, 6), (-2, 6), (6, 2), (-6, 2), (4, 5), (-4, 5), (5, 4), (-5, 4), (3, 6), (-3, 6), (6, 3), (-6, 3),
+    (0, 7), (7, 0), (1, 7), (-1, 7), (5, 5), (-5, 5), (7, 1), (-7, 1), (4, 6), (-4, 6), (6, 4), (-6, 4),
+    (2, 7), (-2, 7), (7, 2), (-7, 2), (3, 7), (-3, 7), (7, 3), (-7, 3), (5, 6), (-5, 6), (6, 5), (-6, 5),
+    (8, 0), (4, 7), (-4, 7), (7, 4), (-7, 4), (8, 1), (8, 2), (6, 6), (-6, 6), (8, 3), (5, 7), (-5, 7),
+    (7, 5), (-7, 5), (8, 4), (6, 7), (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
 )
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, COLOUR_INDEXING = range(4)
+#: The predictor mode of the pixel above, and the bits of the largest block.
+TOP, BLOCK_BITS = 2, 9
 
 
 class Bits:
@@ -166,8 +185,8 @@ def read_run(bits: Bits, symbol: int) -> int:
 def near_distance(code: int, width: int) -> int:
     if code > len(NEAR):
         return code - len(NEAR)
-    at = NEAR[code - 1]
-    return max(1, (at >> 4) * width + 8 - (at & 15))
+    left, up = NEAR[code - 1]
+    return max(1, up * width + left)
 
 
 #: The last codes read: their alphabets, the bits they were read from, and they.
@@ -223,8 +242,8 @@ def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
             distance = near_distance(read_run(bits, group[4].read(bits)), width)
             if distance > at or at + run > total:
                 raise ValueError("a back-reference leaves the image")
-            for k in range(at - distance, at - distance + run):
-                pixels.append(pixels[k])
+            again = pixels[at - distance : at - distance + run]
+            pixels += again if len(again) == run else (again * (run // len(again) + 1))[:run]
         else:
             while cached < at:
                 cache[(pixels[cached] * CACHE_FACTOR & 0xFFFFFFFF) >> (32 - cache_bits)] = pixels[cached]
@@ -311,6 +330,12 @@ def _add(a: int, b: int) -> int:
 
 
 def undo_predictor(pixels: np.ndarray, width: int, height: int, shift: int, modes: np.ndarray) -> np.ndarray:
+    if ((modes >> 8 & 15) == TOP).all():  # sums along the first row, then down the columns
+        parts = (pixels.reshape(height, width)[:, :, None] >> np.array([24, 16, 8, 0], np.uint32) & 255).astype(np.uint8)
+        parts[0, 0, 0] += 255
+        parts[0] = np.cumsum(parts[0], axis=0, dtype=np.uint8)
+        whole = np.cumsum(parts, axis=0, dtype=np.uint8).astype(np.uint32)
+        return (whole[:, :, 0] << 24 | whole[:, :, 1] << 16 | whole[:, :, 2] << 8 | whole[:, :, 3]).ravel()
     flat, across = pixels.tolist(), -(-width >> shift)
     chosen = (modes >> 8 & 15).tolist()
     for y in range(height):
@@ -404,86 +429,311 @@ def decode_all(data: bytes) -> Iterator[np.ndarray]:
 
 
 class Writer:
-    """Writes bits from the least significant on."""
+    """Writes bits from the least significant on; whole stretches of them become bytes, so that long streams stay cheap."""
 
     def __init__(self):
-        self.value = self.n = 0
+        self.value = self.n = self.held = 0
+        self.parts: list[bytes] = []
 
     def put(self, value: int, n: int) -> None:
-        self.value |= value << self.n
+        self.value |= value << self.held
+        self.held += n
         self.n += n
+        if self.held >= 4096:
+            self.parts.append((self.value & ((1 << 4096) - 1)).to_bytes(512, "little"))
+            self.value, self.held = self.value >> 4096, self.held - 4096
+
+    def done(self) -> bytes:
+        """All bits, the last byte filled up with zeros."""
+        return b"".join(self.parts) + self.value.to_bytes((self.held + 7) // 8, "little")
 
 
 #: Bytes with codes of 4, of 6 and of 9 bits; all others have 10.
 FREQUENT = {4: b" etanoir", 6: b"hsdlucmpfgwbv.\n,", 9: b"\xc3\xa9\xa8\xa4\xb6\xbcABCDEGHIOTWSkyzqx'"}
 
 
-def stored_lengths() -> tuple[int, ...]:
-    lengths = [10] * 256 + [0] * LENGTH_CODES
-    for n, symbols in FREQUENT.items():
-        for symbol in symbols:
-            lengths[symbol] = n
-    return tuple(lengths)
-
-
-@lru_cache(maxsize=1)
-def _stored() -> tuple[np.ndarray, np.ndarray, tuple[int, int]]:
-    """Codes and lengths of the stored form, and the header behind the dimensions."""
-    lengths = stored_lengths()
+#: Literal codes that whole images are written with: of prose, of residuals that are mostly 0, and flat.
+def literal_lengths(kind: str) -> tuple[int, ...]:
+    if kind == "flat":
+        lengths = [8] * 256
+    elif kind == "residual":
+        lengths = [1, 8, *[9] * 254]
+    else:
+        lengths = [10] * 256
+        for n, symbols in FREQUENT.items():
+            for symbol in symbols:
+                lengths[symbol] = n
+    return tuple(lengths + [0] * LENGTH_CODES)
+
+
+@lru_cache(maxsize=3)
+def literal_code(kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and lengths of the 256 literals."""
+    lengths = literal_lengths(kind)
     codes = np.zeros(256, np.uint64)
     for symbol, code in canonical(lengths):
         codes[symbol] = code
-    head = Writer()
-    head.put(0, 1)  # no alpha in use
-    head.put(0, 3)
-    head.put(1, 1)
-    head.put(SUBTRACT_GREEN, 2)
-    head.put(0, 1)  # no more transforms
-    head.put(0, 1)  # no colour cache
-    head.put(0, 1)  # one group of codes
-    own = [0] * 19
-    used = sorted({*lengths})  # 0, 4, 6, 9 and 10
-    for symbol, n in zip((10, 0, 4, 6, 9), (1, 3, 3, 3, 3), strict=True):
-        own[symbol] = n
-    assert used == [0, 4, 6, 9, 10]
-    head.put(0, 1)
-    order = CODE_LENGTH_ORDER
-    head.put(len(order) - 4, 4)
-    for symbol in order:
-        head.put(own[symbol], 3)
-    head.put(0, 1)
+    return codes, np.array(lengths[:256], np.int64)
+
+
+def huffman(counts: list[int], most: int = 15) -> list[int]:
+    """Code lengths of the symbols that occur, at most ``most``."""
+    while True:
+        heap = [(n, k, (k,)) for k, n in enumerate(counts) if n]
+        lengths = [0] * len(counts)
+        heapq.heapify(heap)
+        if len(heap) == 1:
+            lengths[heap[0][1]] = 1
+        while len(heap) > 1:
+            (a, i, own), (b, j, other) = heapq.heappop(heap), heapq.heappop(heap)
+            for symbol in (*own, *other):
+                lengths[symbol] += 1
+            heapq.heappush(heap, (a + b, min(i, j), own + other))
+        if max(lengths) <= most:
+            return lengths
+        counts = [n and n // 2 + 1 for n in counts]  # flatter, until it fits
+
+
+def put_code(out: Writer, lengths: list[int] | tuple[int, ...]) -> dict[int, tuple[int, int]]:
+    """Writes a prefix code; (code, length) by symbol, where one symbol alone takes no bits."""
+    some = [s for s, n in enumerate(lengths) if n]
+    if len(some) <= 1 and (not some or some[0] < 256):
+        symbol = some[0] if some else 0
+        out.put(1, 1)
+        out.put(0, 1)
+        out.put(1, 1)
+        out.put(symbol, 8)
+        return {symbol: (0, 0)}
+    if len(some) == 1:  # beyond the simple form: a second one makes the code whole
+        lengths = list(lengths)
+        lengths[0] = 1
+        some = [0, some[0]]
+    own = [4] * 13 + [5] * 6
+    out.put(0, 1)
+    out.put(len(CODE_LENGTH_ORDER) - 4, 4)
+    for symbol in CODE_LENGTH_ORDER:
+        out.put(own[symbol], 3)
+    out.put(0, 1)
     small = dict(canonical(tuple(own)))
-    for n in lengths:
-        head.put(small[n], own[n])
-    for symbol in (0, 0, 255, 0):  # red, blue, alpha, distance
-        head.put(1, 1)
-        head.put(0, 1)
-        head.put(1, 1)
-        head.put(symbol, 8)
-    return codes, np.array(lengths[:256], np.int64), (head.value, head.n)
+    at = 0
+    while at < len(lengths):
+        run = at
+        while run < len(lengths) and not lengths[run]:
+            run += 1
+        zeros = min(run - at, 138)
+        if zeros >= 11:
+            out.put(small[18], own[18])
+            out.put(zeros - 11, 7)
+        elif zeros >= 3:
+            out.put(small[17], own[17])
+            out.put(zeros - 3, 3)
+        else:
+            zeros = 1
+            out.put(small[lengths[at]], own[lengths[at]])
+        at += zeros
+    return {symbol: (code, lengths[symbol]) for symbol, code in canonical(tuple(lengths))}
+
+
+def put_constants(out: Writer, *symbols: int) -> None:
+    """Prefix codes of one symbol each."""
+    for symbol in symbols:
+        put_code(out, [int(s == symbol) for s in range(symbol + 1)])
+
+
+def put_blocks(out: Writer, kind: int, red: int, green: int, blue: int) -> None:
+    """A transform whose blocks are all alike: an image that takes no bits but its codes."""
+    out.put(1, 1)
+    out.put(kind, 2)
+    out.put(BLOCK_BITS - 2, 3)
+    out.put(0, 1)  # no colour cache
+    put_constants(out, green, red, blue, 255, 0)
+
+
+def put_number(out: Writer, code: dict[int, tuple[int, int]], base: int, value: int) -> None:
+    """A length or a distance from 1 on: the symbol of its stretch, and the bits behind it."""
+    symbol, extra, rest = stretch(value)
+    out.put(*code[base + symbol])
+    out.put(rest, extra)
+
+
+def stretch(value: int) -> tuple[int, int, int]:
+    """(symbol, extra bits, their value) of a length or a distance."""
+    value -= 1
+    if value < 4:
+        return value, 0, 0
+    extra = value.bit_length() - 2
+    return 2 * extra + 2 + (value >> extra & 1), extra, value & ((1 << extra) - 1)
+
+
+LONGEST, FARTHEST, SEEN = 4096, (1 << 20) - len(NEAR), 8
+
+
+def repeats(raw: bytes) -> list[int | tuple[int, int]]:
+    """The samples as literals and (length, distance) of what came before, greedily."""
+    seen: dict[bytes, int] = {}
+    out: list[int | tuple[int, int]] = []
+    at, n = 0, len(raw)
+    while at < n:
+        key = raw[at : at + SEEN]
+        before = seen.get(key)
+        seen[key] = at
+        if before is None or len(key) < SEEN or at - before > FARTHEST:
+            out.append(raw[at])
+            at += 1
+            continue
+        run, most = SEEN, min(LONGEST, n - at)
+        while run < most:  # in steps that double, then bytewise
+            step = min(run, most - run)
+            if raw[before + run : before + run + step] == raw[at + run : at + run + step]:
+                run += step
+            else:
+                while raw[before + run] == raw[at + run]:
+                    run += 1
+                break
+        out.append((run, at - before))
+        for k in range(at + 4, at + run, 4):
+            seen[raw[k : k + SEEN]] = k
+        at += run
+    return out
+
+
+def form_of(samples: np.ndarray) -> str:
+    """The form that an image is stored in; it depends on the samples alone."""
+    if np.count_nonzero(np.bincount(samples, minlength=256)) <= 16:
+        return "palette"
+    if len(samples) == WIDTH:
+        return "cache"
+    if 2 * np.count_nonzero(samples[WIDTH:] == samples[:-WIDTH]) >= len(samples):
+        return "predictor"
+    if len(samples) >= 16 * WIDTH and 6 * len(zlib.compress(samples.tobytes(), 1)) <= len(samples):
+        return "references"
+    return "cross" if 4 * np.count_nonzero(samples >= 128) >= len(samples) else "plain"
 
 
 def encode_rows(samples: np.ndarray) -> bytes:
     """One image of 64 samples a row."""
-    codes, sizes, (head, head_bits) = _stored()
-    first = Writer()
-    first.put(WIDTH - 1, 14)
-    first.put(len(samples) // WIDTH - 1, 14)
-    first.put(head, head_bits)
-    n = sizes[samples]
-    ends = np.cumsum(n)
-    at = ends - n + first.n
-    word = at >> 4
-    value = codes[samples] << (at & 15).astype(np.uint64)
-    starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-    sums = np.add.reduceat(value, starts)
-    words = np.zeros((first.n + int(ends[-1]) + 15) // 16 + 2, np.uint64)
-    words[word[starts]] = sums & np.uint64(0xFFFF)
-    words[word[starts] + 1] += sums >> np.uint64(16)
-    stream = bytearray(words.astype("<u2").tobytes()[: (first.n + int(ends[-1]) + 7) // 8])
-    front = int.from_bytes(stream[: first.n // 8 + 1], "little") | first.value
-    stream[: first.n // 8 + 1] = front.to_bytes(first.n // 8 + 1, "little")
-    body = b"\x2f" + bytes(stream)
+    kind = form_of(samples)
+    out = Writer()
+    out.put(WIDTH - 1, 14)
+    out.put(len(samples) // WIDTH - 1, 14)
+    out.put(0, 1)  # no alpha in use
+    out.put(0, 3)
+    if kind == "palette":
+        samples = _palette(out, samples)
+    elif kind == "cross":  # red and blue less 32 / 32 of green
+        put_blocks(out, CROSS_COLOUR, 0, 32, 32)
+    else:
+        out.put(1, 1)
+        out.put(SUBTRACT_GREEN, 2)
+    if kind == "predictor":
+        put_blocks(out, PREDICTOR, 0, TOP, 0)
+        rows = samples.reshape(-1, WIDTH)
+        above = np.concatenate([np.concatenate([[0], rows[0, :-1]])[None], rows[:-1]]).astype(np.uint8)
+        samples = (rows - above).ravel()
+    out.put(0, 1)  # no more transforms
+    if kind == "cache":
+        return _finished(_cached(out, samples.tolist()), b"")
+    out.put(0, 1)  # no colour cache
+    out.put(0, 1)  # one group of codes
+    if kind == "references":
+        return _finished(_referred(out, samples.tobytes()), b"")
+    alpha = 0 if kind == "predictor" else 255
+    if kind == "palette" and not samples.any():
+        put_constants(out, 0, 0, 0, alpha, 0)
+        return _finished(out, b"")
+    literals = {"predictor": "residual", "plain": "prose"}.get(kind, "flat")
+    put_code(out, literal_lengths(literals))
+    put_constants(out, 0, 0, alpha, 0)
+    return _finished(out, samples, *literal_code(literals))
+
+
+def _palette(out: Writer, samples: np.ndarray) -> np.ndarray:
+    """Writes the palette; several pixels as one."""
+    values, place = np.unique(samples, return_inverse=True)
+    out.put(1, 1)
+    out.put(COLOUR_INDEXING, 2)
+    out.put(len(values) - 1, 8)
+    out.put(0, 1)  # no colour cache
+    differ = np.diff(values.astype(np.int64), prepend=0).tolist()
+    counts, alphas = [0] * (256 + LENGTH_CODES), [0] * 256
+    for k, d in enumerate(differ):
+        counts[d] += 1
+        alphas[0 if k else 255] += 1
+    codes = [put_code(out, huffman(c)) for c in (counts, counts[:256], counts[:256], alphas)]
+    put_constants(out, 0)
+    for k, d in enumerate(differ):
+        for code, symbol in zip(codes, (d, d, d, 0 if k else 255), strict=True):
+            out.put(*code[symbol])
+    bundle = palette_bits(len(values))
+    each = 8 >> bundle
+    return (place.reshape(-1, 1 << bundle) << np.arange(1 << bundle) * each).sum(axis=1).astype(np.uint8)
+
+
+CACHE_BITS = 4
+
+
+def _cached(out: Writer, samples: list[int]) -> Writer:
+    """Literals, and places of a colour cache."""
+    cache, tokens = [0] * (1 << CACHE_BITS), []
+    for value in samples:
+        pixel = 0xFF000000 | value << 8
+        at = (pixel * CACHE_FACTOR & 0xFFFFFFFF) >> (32 - CACHE_BITS)
+        tokens.append(256 + LENGTH_CODES + at if cache[at] == pixel else value)
+        cache[at] = pixel
+    out.put(1, 1)
+    out.put(CACHE_BITS, 4)
+    out.put(0, 1)  # one group of codes
+    counts = [0] * (256 + LENGTH_CODES + (1 << CACHE_BITS))
+    for token in tokens:
+        counts[token] += 1
+    code = put_code(out, huffman(counts))
+    put_constants(out, 0, 0, 255, 0)
+    for token in tokens:
+        out.put(*code[token])
+    return out
+
+
+def _referred(out: Writer, raw: bytes) -> Writer:
+    """Literals and back-references; distances by their plain codes."""
+    tokens = repeats(raw)
+    counts, far = [0] * (256 + LENGTH_CODES), [0] * DISTANCE_CODES
+    for token in tokens:
+        if isinstance(token, int):
+            counts[token] += 1
+        else:
+            counts[256 + stretch(token[0])[0]] += 1
+            far[stretch(token[1] + len(NEAR))[0]] += 1
+    code = put_code(out, huffman(counts))
+    put_constants(out, 0, 0, 255)
+    distances = put_code(out, huffman(far) if any(far) else far)
+    for token in tokens:
+        if isinstance(token, int):
+            out.put(*code[token])
+        else:
+            put_number(out, code, 256, token[0])
+            put_number(out, distances, 0, token[1] + len(NEAR))
+    return out
+
+
+def _finished(first: Writer, samples: np.ndarray | bytes, codes: np.ndarray | None = None, sizes: np.ndarray | None = None) -> bytes:
+    """The image file: what was written, and the literals behind it."""
+    front, bits = first.done(), first.n
+    if len(samples):
+        n = sizes[samples]
+        ends = np.cumsum(n)
+        at = ends - n + bits
+        word = at >> 4
+        value = codes[samples] << (at & 15).astype(np.uint64)
+        starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+        sums = np.add.reduceat(value, starts)
+        words = np.zeros((bits + int(ends[-1]) + 15) // 16 + 2, np.uint64)
+        words[word[starts]] = sums & np.uint64(0xFFFF)
+        words[word[starts] + 1] += sums >> np.uint64(16)
+        stream = bytearray(words.astype("<u2").tobytes()[: (bits + int(ends[-1]) + 7) // 8])
+        shared = int.from_bytes(stream[: len(front)], "little") | int.from_bytes(front, "little")
+        stream[: len(front)] = shared.to_bytes(len(front), "little")
+        front = bytes(stream)
+    body = b"\x2f" + front
     body += bytes(len(body) & 1)
     return b"RIFF" + struct.pack("<I", len(body) + 12) + b"WEBPVP8L" + struct.pack("<I", len(body)) + body
 
@@ -515,6 +765,33 @@ SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 MEDIA_SCHEMA = SCHEMA + ", media binary"
 
 
+def pixels_of(media: bytes) -> np.ndarray:
+    """The pixels of a media value: its images, of one width, one below the other."""
+    images = list(decode_all(media))
+    if not images:
+        raise ValueError("no image")
+    return images[0] if len(images) == 1 else np.concatenate(images)
+
+
+def pixel_column(df: DataFrame, column: str = "media", strict: bool = True) -> Column:
+    """The pixels of a column of lossless WebP values: width, height and ARGB as little-endian unsigned 32-bit numbers, row by row.
+
+    Null for a null value; a damaged one fails the query, or is null if not ``strict``.
+    """
+
+    def one(value: bytes | None) -> dict | None:
+        try:
+            pixels = None if value is None else pixels_of(value)
+        except ValueError:
+            if strict:
+                raise
+            pixels = None
+        return None if pixels is None else {"width": pixels.shape[1], "height": pixels.shape[0], "argb": pixels.astype("<u4").tobytes()}
+
+    kind = pa.struct([("width", pa.int32()), ("height", pa.int32()), ("argb", pa.binary())])
+    return F.arrow_udf(lambda values: pa.array([one(v.as_py()) for v in values], kind), "struct<width: int, height: int, argb: binary>")(df[column])
+
+
 def media_column(docs: DataFrame, with_media: bool = False) -> DataFrame:
     """Store each text of ``docs`` (doc_id, text) as lossless WebP, read it back and describe it."""
 
@@ -534,7 +811,6 @@ def media_column(docs: DataFrame, with_media: bool = False) -> DataFrame:
 def describe(text: str | None, with_media: bool = False) -> tuple:
     n, payload = padded(text)
     media = encode(payload)
-    images = list(decode_all(media))
-    pixels = images[0] if len(images) == 1 else np.concatenate(images)
+    pixels = pixels_of(media)
     back = (pixels >> 8).astype(np.uint8).tobytes()
     return (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature(pixels), *([media] if with_media else []))

@@ -281,7 +281,7 @@ class Stream:
                 write[0](280 + t[1])
 
     def done(self):
-        body = b"\x2f" + self.bits.value.to_bytes((self.bits.n + 7) // 8, "little")
+        body = b"\x2f" + self.bits.done()
         body += bytes(len(body) & 1)
         return b"RIFF" + (len(body) + 12).to_bytes(4, "little") + b"WEBPVP8L" + len(body).to_bytes(4, "little") + body
 
@@ -426,6 +426,65 @@ def test_media_round_trip(raw):
     assert all((i >> 24 == 255).all() and (i & 255 == i >> 8 & 255).all() for i in images)
 
 
+def form_samples():
+    rng = np.random.default_rng(2)
+    prose = " ".join(rng.choice(["some", "words", "of", "prose,", "and", "more."], 4000)).encode()
+    noise = rng.integers(0, 256, 3000).astype(np.uint8).tobytes()
+    return {
+        "palette": [bytes(64), b"ab" * 320, b"0123456789\n " * 96, bytes(range(16)) * 20],
+        "cache": [b"one short row of text, with more than sixteen letters: qzvjk!".ljust(64, b"\0"), noise[:64]],
+        "predictor": [b"".join((b"a line as wide as the image, and its number; qzvjkx %08d" % k).ljust(63) + b"\n" for k in range(200))],
+        "references": [(prose[:700] + noise[:37]) * 40],
+        "cross": ["日本語のテキストと漢字、".encode() * 3 + "ñandú öäü".encode() * 2 + "мир и труд, слово".encode() * 5 + noise[:1500]],
+        "plain": [prose[:6400] + b"QXZ@#%[]{}<>"],
+    }
+
+
+def test_every_form_of_an_image(monkeypatch):
+    seen = set()
+    for kind in ("undo_predictor", "undo_cross_colour", "undo_subtract_green", "undo_colour_indexing", "near_distance", "read_run"):
+        whole = getattr(webp, kind)
+        monkeypatch.setattr(webp, kind, lambda *a, own=whole, kind=kind: (seen.add(kind), own(*a))[1])
+    for kind, payloads in form_samples().items():
+        for raw in payloads:
+            payload = raw.ljust(-(-len(raw) // 64) * 64, b"\0")
+            assert webp.form_of(np.frombuffer(payload, np.uint8)) == kind, kind
+            media = webp.encode(payload)
+            assert (webp.pixels_of(media) >> 8).astype(np.uint8).tobytes() == payload and media == webp.encode(payload)
+            if kind in ("predictor", "references"):
+                assert len(media) < len(payload) / 4
+    assert len(seen) == 6
+
+
+def test_repeats_are_whole():
+    rng = random.Random(3)
+    for _ in range(60):
+        raw = b"".join(rng.choice([b"abc", b"abcabcabc" * rng.randint(1, 30), bytes([rng.randint(0, 255)]) * rng.randint(1, 50)]) for _ in range(rng.randint(1, 60)))
+        out = bytearray()
+        for token in webp.repeats(raw):
+            if isinstance(token, int):
+                out.append(token)
+            else:
+                for _ in range(token[0]):
+                    out.append(out[-token[1]])
+        assert bytes(out) == raw
+    for value in (1, 2, 4, 5, 6, 7, 8, 9, 4096, (1 << 20) - 1):
+        symbol, extra, rest = webp.stretch(value)
+        bits = webp.Writer()
+        bits.put(rest, extra)
+        assert webp.read_run(webp.Bits(bits.done() + bytes(8)), symbol) == value
+
+
+def test_pixel_column(spark):
+    whole = webp.encode(b"0123456789" * 32)
+    df = spark.createDataFrame([(1, whole), (2, None), (3, whole[:40]), (4, b"")], "k int, media binary")
+    found = {r.k: r.p for r in df.select("k", webp.pixel_column(df, strict=False).alias("p")).collect()}
+    assert (found[1].width, found[1].height) == (64, 5) and found[2] is found[3] is found[4] is None
+    assert (np.frombuffer(found[1].argb, "<u4") >> 8 & 255).astype(np.uint8).tobytes() == b"0123456789" * 32
+    with pytest.raises(Exception, match="not a lossless|too early"):
+        df.where("k = 3").select(webp.pixel_column(df)).collect()
+
+
 def test_media_query(odd_docs, no_docs):
     found = webp.media_column(odd_docs, with_media=True).collect()
     want = Counter()
