@@ -21,7 +21,8 @@ telling words, too short ones, and those with too few of its distinct bigrams
 cannot reach the limit and end before.
 
 Defined results: a null or empty text matches nothing (licence null, dice 0);
-``licence`` and ``dice`` are those of the best unit or span, a licence that a unit
+``licence`` and ``dice`` are those of the best unit or span, ``licences`` names
+all that any unit or span matches, in the alphabet's order, a licence that a unit
 matches keeps the coefficient of its best unit, and ``lines`` counts units only,
 so it is 0 where a notice stands in no line of its own;
 texts of any length are read whole; of equally near templates the
@@ -158,7 +159,7 @@ def _spans(own: str, templates: dict[str, list[str]], dice: float) -> str:
 
 
 def scan_licences(docs: DataFrame, templates: dict[str, list[str]] | None = None, dice: float = DICE) -> DataFrame:
-    """doc_id, licence (of the nearest template at ``dice`` or more, else null), dice, lines (units that match)."""
+    """doc_id, licence (of the nearest template at ``dice`` or more, else null), dice, lines (units that match), licences (all, by commas)."""
     wider = templates
     if templates is None:
         templates, wider = TEMPLATES, {k: [*TEMPLATES.get(k, []), *published().get(k, [])] for k in TEMPLATES | published()}
@@ -176,9 +177,9 @@ def scan_licences(docs: DataFrame, templates: dict[str, list[str]] | None = None
     pairs_of = "transform(slice(words, 2, greatest(size(words) - 1, 0)), (word, i) -> concat(words[i], ' ', word))"
     bigrams = f"transform(units, words -> {pairs_of})"
     scored = f"""
-        transform(pairs, own -> array_max(transform(
+        transform(pairs, own -> filter(transform(
             filter({known}, t -> size(own) BETWEEN t.low AND t.high AND arrays_overlap(t.keys, own)),
-            t -> struct(2D * aggregate(zip_with(t.keys, t.times, (key, k) -> least(k, size(filter(own, b -> b = key)))), 0, (a, b) -> a + b) / (t.n + size(own)) AS dice, t.name AS name))))
+            t -> struct(2D * aggregate(zip_with(t.keys, t.times, (key, k) -> least(k, size(filter(own, b -> b = key)))), 0, (a, b) -> a + b) / (t.n + size(own)) AS dice, t.name AS name)), s -> s.dice >= {dice!r}D))
     """
     spans = f"flatten(transform(whole, own -> {_spans('own', wider, dice)}))"
     found = (
@@ -187,10 +188,11 @@ def scan_licences(docs: DataFrame, templates: dict[str, list[str]] | None = None
         .select("doc_id", "units", "text", F.expr(telling).alias("told"))
         .select("doc_id", "units", F.expr(f"array({words})").alias("texts"))
         .select("doc_id", F.expr(bigrams).alias("pairs"), F.expr(f"transform(texts, words -> {pairs_of})").alias("whole"))
-        .select("doc_id", F.expr(f"filter({scored}, s -> s.dice >= {dice!r}D)").alias("hits"), F.expr(spans).alias("spans"))
-        .select("doc_id", F.expr("array_max(concat(hits, filter(spans, s -> NOT exists(hits, h -> h.name = s.name))))").alias("best"), F.size("hits").alias("lines"))
+        .select("doc_id", F.expr(scored).alias("units"), F.expr(spans).alias("spans"))
+        .select("doc_id", F.expr("concat(flatten(units), filter(spans, s -> NOT exists(units, u -> exists(u, h -> h.name = s.name))))").alias("hits"), F.expr("size(filter(units, u -> size(u) > 0))").alias("lines"))
+        .select("doc_id", F.expr("array_max(hits)").alias("best"), "lines", F.expr("array_join(array_sort(array_distinct(hits.name)), ',')").alias("licences"))
     )
-    return found.select("doc_id", F.col("best.name").alias("licence"), F.coalesce("best.dice", F.lit(0.0)).alias("dice"), "lines")
+    return found.select("doc_id", F.col("best.name").alias("licence"), F.coalesce("best.dice", F.lit(0.0)).alias("dice"), "lines", "licences")
 
 
 def oracle_sql(templates: dict[str, list[str]] | None = None, dice: float = DICE) -> str:
@@ -210,7 +212,8 @@ def oracle_sql(templates: dict[str, list[str]] | None = None, dice: float = DICE
         scores AS (
             SELECT r, u, name, 2.0::DOUBLE * list_sum(list_transform(generate_series(1, len(keys)), lambda k: least(times[k], len(list_filter(own, lambda b: b = keys[k]))))) / (n + len(own)) AS dice
             FROM pairs JOIN templates ON list_has_any(own, keys)),
-        hits AS (SELECT r, u, max(struct_pack(dice := dice, name := name)) AS s FROM scores WHERE dice >= {dice} GROUP BY r, u),
-        best AS (SELECT r, max(s) AS s, count(*) AS lines FROM hits GROUP BY r)
-        SELECT doc_id, s.name AS licence, coalesce(s.dice, 0.0) AS dice, coalesce(lines, 0)::INT AS lines FROM bare LEFT JOIN best USING (r)
+        best AS (
+            SELECT r, max(struct_pack(dice := dice, name := name)) AS s, count(DISTINCT u) AS lines, string_agg(DISTINCT name, ',' ORDER BY name) AS licences
+            FROM scores WHERE dice >= {dice} GROUP BY r)
+        SELECT doc_id, s.name AS licence, coalesce(s.dice, 0.0) AS dice, coalesce(lines, 0)::INT AS lines, coalesce(licences, '') AS licences FROM bare LEFT JOIN best USING (r)
     """
