@@ -9,7 +9,7 @@ the largest mean chance over its words, and that mean is its score.
 
 Only documents with a language whose crc32(doc_id as text) mod 4 is not 2 are
 learned from, and of those a bounded sample: ``per_language`` documents of each
-language by a hash of doc_id, ``sequences`` training sequences in all. Prediction
+language by a hash, ``sequences`` training sequences in all. Prediction
 is one narrow pass over whole texts; a text is cut into blocks, whose transfer
 matrices are multiplied all at once and then chained, so long texts cost no more
 a word than short ones.
@@ -29,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loglattice.llm.common import BoundedMemo, keep_rows, text_slices, worker_state
@@ -37,6 +37,8 @@ from loglattice.llm.toxicity import SharedModel
 
 #: Documents of each language, training sequences and their words.
 PER_LANGUAGE, SEQUENCES, SEQUENCE = 300, 3000, 48
+#: Languages that are learned at most, and characters of a training text.
+LANGUAGES, TRAINING_CHARS = 100, 20_000
 #: Features and lexicon entries at most; a feature has to occur so often.
 FEATURES, LEXICON, LEAST = 60_000, 4000, 3
 BLOCK = 32
@@ -84,23 +86,23 @@ class Labeller:
         return [next(emitted).tobytes() if word else b"" for word in words]
 
     def emit(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [(text or "").replace("\n", " ").split(" ") for text in texts]
+        split = [(text or "").split() for text in texts]
         self.memo.admit({c for chunks in split for c in chunks}, self._compute)
         get = self.memo.young.__getitem__
         return [np.frombuffer(b"".join(map(get, chunks)), np.float32).reshape(-1, self.width) for chunks in split]
 
-    def label(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """The language and its score of each text."""
+    def label(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        """The language of each text, its score, and how sure its words are: the mean of their largest chances."""
+        none = (UNDETERMINED, 0.0, 0.0)
         if not self.width:
-            return [(UNDETERMINED, 0.0)] * len(texts)
+            return [none] * len(texts)
         emitted = self.emit(texts)
         full = [i for i, e in enumerate(emitted) if len(e)]
-        out = [(UNDETERMINED, 0.0)] * len(texts)
+        out = [none] * len(texts)
         if full:
-            means = mean_chances([emitted[i] for i in full], self.step)
-            for i, mean in zip(full, means, strict=True):
+            for i, mean, sure in zip(full, *mean_chances([emitted[i] for i in full], self.step), strict=True):
                 best = int(mean.argmax())
-                out[i] = (self.model.languages[best], float(min(1.0, mean[best])))
+                out[i] = (self.model.languages[best], float(min(1.0, mean[best])), float(min(1.0, sure)))
         return out
 
     def words(self, text: str) -> list[tuple[str, str]]:
@@ -190,12 +192,13 @@ def _blocks(emitted: list[np.ndarray], step: np.ndarray) -> tuple:
     return forward, text, nth, length, sizes
 
 
-def mean_chances(emitted: list[np.ndarray], step: np.ndarray) -> np.ndarray:
-    """Each text's mean chances over its words."""
+def mean_chances(emitted: list[np.ndarray], step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's mean chances over its words, and the mean of its words' largest chances."""
     chances, text, _, _, sizes = _blocks(emitted, step)
-    total = np.zeros((len(sizes), step.shape[0]))
+    total, largest = np.zeros((len(sizes), step.shape[0])), np.zeros(len(sizes))
     np.add.at(total, text, chances.sum(axis=1))
-    return total / sizes[:, None]
+    np.add.at(largest, text, chances.max(axis=2).sum(axis=1))
+    return total / sizes[:, None], largest / sizes
 
 
 def chances_of(emitted: list[np.ndarray], step: np.ndarray) -> list[np.ndarray]:
@@ -212,16 +215,25 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("long").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_texts(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
-    """(language, text) of about ``per_language`` documents of each language, by a hash of doc_id."""
+def training_texts(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES, chars: int = TRAINING_CHARS) -> list[tuple[str, str]]:
+    """(language, text) of ``per_language`` documents of each of the ``languages`` most frequent languages, by a hash of doc_id and text.
+
+    Of a training text longer than ``chars`` letters a stretch of that length is
+    taken, where the hash says. So what comes to the driver is bounded by the
+    three numbers, and is the same in every run.
+    """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    counts = {row.lang: row.n for row in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    common = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    counts = {row.lang: row.n for row in common.collect()}
     if not counts:
         return []
     space = 1 << 40
-    share = F.create_map(*[x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(min(space, space * per_language // n)))])
-    chosen = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(space)) < share[F.col("lang")])
-    rows = chosen.select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).limit(2 * per_language * len(counts)).collect()
+    share = F.create_map(*[x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(min(space, 2 * space * per_language // n)))])
+    digest = F.xxhash64("doc_id", "text")
+    start = 1 + F.pmod(digest, F.greatest(F.lit(1), F.char_length("text") - chars + 1)).cast("int")
+    chosen = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(space)) < F.coalesce(share[F.col("lang")], F.lit(0))).select("lang", F.substr("text", start, F.lit(chars)).alias("text"), digest.alias("h"))
+    first = Window.partitionBy("lang").orderBy("h", "text")
+    rows = chosen.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= per_language).collect()
     return [(row.lang, row.text) for row in sorted(rows, key=lambda r: (r.lang, r.h, r.text))]
 
 
@@ -331,13 +343,20 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         own = labeller(shared)
         for batch in batches:
             found = [x for _, texts in text_slices(batch.column(2)) for x in own.label(texts)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([k for k, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([k for k, _, _ in found], pa.string()), pa.array([s for _, s, _ in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
     return rows_in.mapInArrow(rows, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs``, columns as they are, whose language is told with a score of ACCEPT or more."""
+    """The rows of ``docs``, columns as they are, whose words have a language that is sure by ACCEPT or more.
+
+    How sure a text is is the mean of its words' largest chances, so a text that
+    switches between languages stays. Texts without a letter go. Where no
+    language was learned nothing can be told, and all rows stay.
+    """
+    if not model.languages:
+        return docs
     shared = SharedModel(docs.sparkSession, model)
-    return keep_rows(docs, lambda: lambda texts: [k != UNDETERMINED and s >= ACCEPT for k, s in labeller(shared).label(texts)])
+    return keep_rows(docs, lambda: lambda texts: [k != UNDETERMINED and sure >= ACCEPT for k, _, sure in labeller(shared).label(texts)])
