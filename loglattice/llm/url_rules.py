@@ -136,7 +136,7 @@ def judge_urls(urls: DataFrame, rules: DataFrame | Iterable[tuple[str, str, str]
 
     placed = pages.select("page_id", "key", "host", "path", "at").mapInArrow(place_urls, ROW)
     opened = rules.select("host", "path", "verdict").mapInArrow(place_rules, ROW)
-    both = placed.unionByName(opened).repartition(ranges, "range").sortWithinPartitions("range", "key", "is_url", "path")
+    both = placed.unionByName(opened).repartitionById(ranges, "range").sortWithinPartitions("range", "key", "is_url", "path")
     return both.mapInArrow(sweep, "page_id long, host string, path string, rule string, verdict string")
 
 
