@@ -570,6 +570,8 @@ def test_licences(spark, odd_docs, no_docs):
     for k, t in enumerate(texts):
         assert found[k][0] == dice_of(t)[0] and found[k][1] == pytest.approx(dice_of(t)[1]) and found[k][2] == dice_of(t)[2], t
     assert found[0][0] == "Apache-2.0" and found[1] == ("MIT", 1.0, 1) and found[3][2] == 3 and found[9][0] == "MIT"
+    named = {r.doc_id: r.licences for r in license_scan.scan_licences(df).collect()}
+    assert named[0] == "Apache-2.0" and named[3] == "GPL-3.0,MIT" and named[4] == ""
     odd = license_scan.scan_licences(odd_docs).collect()
     assert len(odd) == len(TEXTS) and all(r.licence is None for r in odd) and license_scan.scan_licences(no_docs).count() == 0
     plan = license_scan.scan_licences(odd_docs)._jdf.queryExecution().toString()
