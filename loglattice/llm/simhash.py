@@ -19,9 +19,9 @@ Fingerprints that many documents share are one vertex. The components of the
 vertices come from large-star/small-star steps. Where documents meet their
 vertex again, the few fingerprints that very many share are broadcast.
 
-As a stage, ``drop_near`` keeps one row of each component, the one with the least
-doc_id (of several with it, the one with the least fingerprint), and moves no
-text but those of components with several rows that stay.
+As a stage, ``drop_near`` links documents that are near in any of several
+independent fingerprints, keeps one row of each component, and moves no text but
+those of components with several rows that stay.
 
 Defined results: a null or empty text, or one of blanks only, has fingerprint
 zero and is linked like any other; fewer words than a shingle has make one
@@ -53,25 +53,33 @@ RUN = 4096
 PAIRS = 1 << 20
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """SimHash over word shingles, repeats included: the bits set in over half the hashes."""
+def table_fingerprints(text: str | None, shingle: int, seeds: list[int]) -> list[int]:
+    """SimHashes over word shingles, repeats included, one for each seed: the bits set in over half the hashes."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return [0] * len(seeds)
     if len(words) < shingle:
         words = [b" ".join(words)]
         shingle = 1
     digest = xxhash.xxh64_intdigest
-    shifted = zip(*(words[k:] for k in range(shingle)), strict=False)
-    hashes = np.array([digest(b" ".join(x), SEED) for x in shifted], np.uint64)
-    n, counts = len(hashes), np.zeros(BITS, np.int64)
-    for a in range(0, n, 1 << 14):
-        bits = np.unpackbits(hashes[a : a + (1 << 14)].view(np.uint8), bitorder="little").reshape(-1, BITS)
-        whole = len(bits) // 255 * 255
-        if whole:
-            counts += bits[:whole].reshape(-1, 255, BITS).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
-        counts += bits[whole:].sum(axis=0, dtype=np.uint8)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+    shingles = words if shingle == 1 else [b" ".join(x) for x in zip(*(words[k:] for k in range(shingle)), strict=False)]
+    out = []
+    for seed in seeds:
+        hashes = np.array([digest(x, seed) for x in shingles], np.uint64)
+        n, counts = len(hashes), np.zeros(BITS, np.int64)
+        for a in range(0, n, 1 << 14):
+            bits = np.unpackbits(hashes[a : a + (1 << 14)].view(np.uint8), bitorder="little").reshape(-1, BITS)
+            whole = len(bits) // 255 * 255
+            if whole:
+                counts += bits[:whole].reshape(-1, 255, BITS).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+            counts += bits[whole:].sum(axis=0, dtype=np.uint8)
+        out.append(int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0]))
+    return out
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The SimHash of the contract's seed."""
+    return table_fingerprints(text, shingle, [SEED])[0]
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -324,34 +332,65 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return join_crowded(members, by_print, "fp", "n", total).select("doc_id", text, "component_id")
 
 
-def with_fingerprint(docs: DataFrame, name: str, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with the fingerprint of its text as a signed long."""
+#: Words of a shingle, and independent fingerprints, of the stage.
+STAGE_SHINGLE, TABLES = 2, 4
+
+
+def with_fingerprints(docs: DataFrame, names: list[str], shingle: int) -> DataFrame:
+    """``docs`` with fingerprints of its text, each of a seed of its own, as signed longs."""
+    seeds = [SEED + 1000 * k for k in range(len(names))]
+    fields = [f"f{k}" for k in range(len(names))]
 
     def of(texts: pa.Array) -> pa.Array:
         worker_state(None, None)
-        found = [fingerprint(text, shingle) for _, part in text_slices(texts) for text in part]
-        return pa.array(np.array(found, np.uint64).view(np.int64))
+        found = [table_fingerprints(text, shingle, seeds) for _, part in text_slices(texts) for text in part]
+        prints = np.array(found, np.uint64).reshape(-1, len(seeds)).view(np.int64)
+        return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(prints[:, k])) for k in range(len(seeds))], fields)
+
+    made = F.arrow_udf(of, "struct<" + ", ".join(f"{f}: bigint" for f in fields) + ">")("text")
+    whole = fresh_name("prints", docs)
+    return docs.withColumn(whole, made).select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"{whole}.{f}").alias(n) for f, n in zip(fields, names, strict=True)])
+
 
-    return docs.withColumn(name, F.arrow_udf(of, "long")("text"))
+def _table_edges(signatures: DataFrame, table: int) -> DataFrame:
+    """(a, b): signatures (signature, fp) and the fingerprints of one table that join any two of them."""
+    counts = durable(signatures.groupBy("fp").agg(F.count("*").alias("n")))
+    links = durable(near_links(counts.select("fp")))
+    ends = links.select(F.col("a").alias("fp")).unionByName(links.select(F.col("b").alias("fp"))).distinct()
+    joining = counts.where("n > 1").unionByName(counts.where("n = 1").join(ends, "fp", "left_semi"))
+    node = lambda c: F.xxhash64(F.lit(table), F.col(c))
+    own = join_crowded(signatures, joining, "fp", "n", signatures.count())
+    return own.select(F.col("signature").alias("a"), node("fp").alias("b")).unionByName(links.select(node("a").alias("a"), node("b").alias("b")))
 
 
-def drop_near(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def drop_near(docs: DataFrame, shingle: int = STAGE_SHINGLE, tables: int = TABLES) -> DataFrame:
     """The rows of ``docs``, columns as they are, one of each component of near-duplicates.
 
-    It is the row with the least doc_id, null above all others; of several rows
-    with that one, the one with the least fingerprint, and of rows equal in both
-    any one.
+    Documents are linked if in any of ``tables`` independent fingerprints they
+    differ in at most three bits: one fingerprint alone finds few of the pairs
+    that differ in some words. Of a component the row with the least doc_id
+    stays, null above all others; of several rows with that one, the one with
+    the least fingerprints' hash, and of rows equal in both any one.
     """
-    fp, own = fresh_name("fp", docs), fresh_name("own_id", docs)
-    rows = durable(with_fingerprint(docs, fp, shingle).withColumn(own, F.col("doc_id").cast("long")))
-    found, _ = _components(rows.select(F.col(own).alias("doc_id"), F.col(fp).alias("fp")))
-    found = durable(found)
-    place = F.struct(F.col("least").isNull().alias("none"), "least", "fp")
-    best = found.groupBy("component").agg(F.min(place).alias("best"), F.sum("n").alias("n"), F.count("*").alias("prints"))
-    winners = best.select("component", F.col("best.fp").alias("won"), F.col("best.least").alias(own), "n", "prints")
-    # Every fingerprint of a component with several rows stands for the component; only the winner's is chosen.
-    several = join_crowded(found.select("component", "fp"), winners.where("n > 1").select("component", "prints"), "component", "prints", found.count())
-    several = durable(several.select(F.col("fp").alias(fp)))
-    chosen = winners.select(F.col("won").alias(fp), own)
-    kept = bloom.keep_chosen(rows, fp, own, chosen, several, several.count())
+    own, signature, names = fresh_name("own_id", docs), fresh_name("signature", docs), []
+    for k in range(tables):
+        names.append(fresh_name(f"fp{k}", docs))
+    made = with_fingerprints(docs, names, shingle)
+    rows = durable(made.withColumn(own, F.col("doc_id").cast("long")).withColumn(signature, F.xxhash64(*names)))
+    vertices = rows.groupBy(F.col(signature).alias("signature"), *[F.col(n).alias(f"f{k}") for k, n in enumerate(names)])
+    vertices = durable(vertices.agg(F.min(own).alias("least"), F.count("*").alias("n")))
+    edges = None
+    for k in range(tables):
+        some = _table_edges(vertices.select("signature", F.col(f"f{k}").alias("fp")), k)
+        edges = some if edges is None else edges.unionByName(some)
+    parts = connected_components(edges).select(F.col("node").alias("signature"), F.col("root").alias("component"))
+    found = durable(vertices.join(parts, "signature", "left").select("signature", F.coalesce("component", "signature").alias("component"), "n", "least"))
+    place = F.struct(F.col("least").isNull().alias("none"), "least", "signature")
+    best = found.groupBy("component").agg(F.min(place).alias("best"), F.sum("n").alias("n"), F.count("*").alias("members"))
+    winners = best.select("component", F.col("best.signature").alias("won"), F.col("best.least").alias(own), "n", "members")
+    # Every signature of a component with several rows stands for the component; only the winner's is chosen.
+    several = join_crowded(found.select("component", "signature"), winners.where("n > 1").select("component", "members"), "component", "members", found.count())
+    several = durable(several.select(F.col("signature").alias(signature)))
+    chosen = winners.select(F.col("won").alias(signature), own)
+    kept = bloom.keep_chosen(rows, signature, own, chosen, several, several.count())
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

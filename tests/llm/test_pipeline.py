@@ -4,7 +4,7 @@ from collections import Counter
 
 import corpus_pipeline
 from loglattice.llm import langid, toxicity
-from tests.llm.test_dedup import near_brute
+from tests.llm.test_dedup import near_ids
 
 
 def test_stages(spark, sf_dir, docs):
@@ -26,8 +26,7 @@ def test_stages(spark, sf_dir, docs):
     for i, t in kept[1].items():
         largest[t] = max(i, largest.get(t, i))
     assert set(kept[2]) == set(largest.values())
-    parts = near_brute([(i, t, None) for i, t in kept[2].items()])
-    assert set(kept[3]) == {root for _, root in parts.values()}
+    assert set(kept[3]) == near_ids([(i, t, None) for i, t in kept[2].items()])
     packed = corpus_pipeline.STAGES[-1][1](spark, now, sf_dir).toPandas()
     assert set(packed.doc_id) == set(kept[3]) and packed.groupby("sequence_id").length.sum().max() <= 2048
     whole = corpus_pipeline.run(spark, sf_dir).toPandas()
