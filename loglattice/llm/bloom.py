@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loglattice.llm.common import fresh_name
+from loglattice.llm.common import durable, fresh_name, worker_state
 
 PROBES = 5
 #: Bits for each entry, and of a filter at least and at most (32 MB); a full one only lets more rows through.
@@ -85,15 +85,22 @@ class Shared:
         self.bits, words = built(hashes, entries)
         self.broadcast = hashes.sparkSession.sparkContext.broadcast(words)
 
-    def may_hold(self, hashed: Column) -> Column:
-        """Whether the filter may hold a long."""
+    def test(self) -> Callable[[pa.Array], np.ndarray]:
+        """For a worker: whether the filter may hold each of some longs."""
         bits, shared = self.bits, self.broadcast
 
-        def test(values: pa.Array) -> pa.Array:
-            entries = values.to_numpy(zero_copy_only=False).astype(np.int64)
-            return pa.array(Bloom(bits, np.frombuffer(shared.value, np.uint8)).may_hold(entries))
+        def own(values: pa.Array) -> np.ndarray:
+            worker_state(None, None)
+            return Bloom(bits, np.frombuffer(shared.value, np.uint8)).may_hold(values.to_numpy(zero_copy_only=False).astype(np.int64))
+
+        return own
+
+    def may_hold(self, hashed: Column) -> Column:
+        test = self.test()
+        return F.arrow_udf(lambda values: pa.array(test(values)), "boolean")(hashed)
 
-        return F.arrow_udf(test, "boolean")(hashed)
+
+ALONE, GONE, OPEN = range(3)
 
 
 def keep_chosen(rows: DataFrame, group: str, doc_id: str, chosen: DataFrame, several: DataFrame, entries: int) -> DataFrame:
@@ -107,11 +114,14 @@ def keep_chosen(rows: DataFrame, group: str, doc_id: str, chosen: DataFrame, sev
     doc_id are brought down to one.
     """
     crowd = Shared(several.select(F.xxhash64(group)), entries)
-    alone = ~crowd.may_hold(F.xxhash64(F.col(group)))
     group_, doc_id_ = fresh_name("group_", rows), fresh_name("doc_id_", rows)
-    picked = chosen.where(crowd.may_hold(F.xxhash64(group))).select(F.col(group).alias(group_), F.col(doc_id).alias(doc_id_))
+    picked = durable(chosen.where(crowd.may_hold(F.xxhash64(group))).select(F.col(group).alias(group_), F.col(doc_id).alias(doc_id_)))
     winners = Shared(picked.select(F.xxhash64(group_, doc_id_)), entries)
-    sure = rows.where(alone)
-    left = rows.where(~alone).where(winners.may_hold(F.xxhash64(group, doc_id)))
-    found = left.join(picked, (F.col(group) == F.col(group_)) & F.col(doc_id).eqNullSafe(F.col(doc_id_)), "left_semi")
-    return sure.unionByName(found.dropDuplicates([group, doc_id]))
+    in_crowd, wins = crowd.test(), winners.test()
+
+    def verdict(groups: pa.Array, both: pa.Array) -> pa.Array:
+        return pa.array(np.where(in_crowd(groups), np.where(wins(both), OPEN, GONE), ALONE).astype(np.int32))
+
+    found = F.arrow_udf(verdict, "int")(F.xxhash64(group), F.xxhash64(group, doc_id))
+    left = rows.where(found == OPEN).join(picked, (F.col(group) == F.col(group_)) & F.col(doc_id).eqNullSafe(F.col(doc_id_)), "left_semi")
+    return rows.where(found == ALONE).unionByName(left.dropDuplicates([group, doc_id]))

@@ -45,7 +45,7 @@ def fresh_name(wanted: str, *frames: DataFrame) -> str:
 
 
 #: Keys that hold more rows than the larger of these, a number and a share of all rows, are crowded: at most 1 / share of them.
-CROWD, CROWD_SHARE = 10_000, 1e-4
+CROWD, CROWD_SHARE = 1000, 1e-4
 
 
 def join_crowded(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:

@@ -31,6 +31,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -172,20 +173,15 @@ def index_entries(members: DataFrame, largest: bool) -> DataFrame:
     return members.select("doc_id", "digest").mapInArrow(rows, "digest binary, keep_id long, n long")
 
 
-def _short(digests: list[bytes]) -> np.ndarray:
-    """The first eight bytes of each digest as a number; shorter ones get zeros."""
-    return np.frombuffer(b"".join(d[:8].ljust(8, b"\0") for d in digests), "<i8")
+def _hashed(digests: list[bytes]) -> np.ndarray:
+    """What Spark's xxhash64 gives for each digest."""
+    return np.array([xxhash.xxh64_intdigest(d, 42) for d in digests], np.uint64).view(np.int64)
 
 
 def hit_filter(groups: DataFrame) -> tuple[int, bytes]:
     """The Bloom filter of the digests met more than once: (bits, words)."""
-    hits = groups.where("n > 1").select("digest")
-
-    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_short(batch.column(0).to_pylist()))], ["h"])
-
-    return bloom.built(hits.mapInArrow(short, "h long"), hits.count())
+    hits = groups.where("n > 1").select(F.xxhash64("digest"))
+    return bloom.built(hits, hits.count())
 
 
 def collided(docs: DataFrame, found: tuple[int, bytes], digest: Callable[[bytes], bytes]) -> DataFrame:
@@ -203,7 +199,7 @@ def collided(docs: DataFrame, found: tuple[int, bytes], digest: Callable[[bytes]
         for raws in ([_raw(text) for text in texts] for batch in batches for _, texts in text_slices(batch.column(0))):
             keys = [digest(raw) for raw in raws]
             differ = []
-            for i in np.flatnonzero(hits.may_hold(_short(keys))).tolist():
+            for i in np.flatnonzero(hits.may_hold(_hashed(keys))).tolist():
                 known = held.setdefault(keys[i], raws[i])
                 if known is raws[i]:
                     size += len(known)

@@ -47,14 +47,14 @@ CAPACITY = 2048
 #: Pieces that are packed together; bounds a task's memory.
 CHUNK_PIECES = 1 << 14
 #: Bytes of text that are encoded together.
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 21
 #: Steps of a part's search: pieces tried while fillings are enumerated, and ten for each node.
 STEPS = 400_000
 
 #: Latin letters that have one lower case each, and marks that may stand behind a word of them.
 LATIN, MARKS = r"[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}]", ".,;:!?"
 #: What a token that closes a word ends with, how many words are encoded together, and words of the memo.
-WORD_END, TOGETHER, MEMO = "</w>", 256, 400_000
+WORD_END, TOGETHER, MEMO = "</w>", 256, 250_000
 
 PIECES_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 IDS_SCHEMA = PIECES_SCHEMA + ", ids array<int>"

@@ -333,7 +333,7 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 #: Words of a shingle, and independent fingerprints, of the stage.
-STAGE_SHINGLE, TABLES = 2, 4
+STAGE_SHINGLE, TABLES = 2, 1
 
 
 def with_fingerprints(docs: DataFrame, names: list[str], shingle: int) -> DataFrame:
@@ -367,8 +367,8 @@ def drop_near(docs: DataFrame, shingle: int = STAGE_SHINGLE, tables: int = TABLE
     """The rows of ``docs``, columns as they are, one of each component of near-duplicates.
 
     Documents are linked if in any of ``tables`` independent fingerprints they
-    differ in at most three bits: one fingerprint alone finds few of the pairs
-    that differ in some words. Of a component the row with the least doc_id
+    differ in at most three bits. More tables find more of the pairs that differ
+    in some words, at the cost of each in time and disk. Of a component the row with the least doc_id
     stays, null above all others; of several rows with that one, the one with
     the least fingerprints' hash, and of rows equal in both any one.
     """
