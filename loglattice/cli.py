@@ -142,7 +142,7 @@ def codegen(args: argparse.Namespace) -> None:
 def session():
     from pyspark.sql import SparkSession
 
-    return SparkSession.builder.appName("loglattice").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    return SparkSession.builder.appName("loglattice").config("spark.sql.session.timeZone", "UTC").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true").getOrCreate()
 
 
 def indexers(args: argparse.Namespace) -> list:
