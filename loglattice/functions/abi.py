@@ -20,8 +20,6 @@ from loglattice.functions.signature import Argument, Event, Kind
 from loglattice.functions.types import event_type
 
 WORD_BYTES = 32
-#: A length or an offset beyond this is not read; no log is so long.
-MOST = (1 << 31) - 1
 
 
 def word_at(data: Column, position: Column) -> Column:
@@ -30,23 +28,40 @@ def word_at(data: Column, position: Column) -> Column:
     return F.when((position >= 0) & (position + WORD_BYTES <= F.length(data)), piece)
 
 
+def piece_at(data: Column, position: Column, n: Column) -> Column:
+    """At most n bytes from a byte on; null where a place or a length is beyond what is read."""
+    return F.substr(data, (position + 1).try_cast("int"), n.try_cast("int"))
+
+
+def _digits(word: Column, pattern: str) -> Column:
+    """The last eight hex digits as a long, if the word is 32 bytes and they are all but zeros before and fit.
+
+    The word is named once: expressions within expressions would be evaluated
+    again for every mention.
+    """
+    return F.conv(F.regexp_extract(F.hex(word), f"^0{{56}}({pattern})$", 1), 16, 10).cast("long")
+
+
 def small_number(word: Column) -> Column:
     """A word as a long, null if it does not fit into 31 bits."""
-    high = F.substring(word, 1, 28)
-    low = F.conv(F.hex(F.substring(word, 29, 4)), 16, 10).cast("long")
-    return F.when((high == F.unhex(F.lit("00" * 28))) & (low <= MOST), low)
+    return _digits(word, "[0-7].{7}")
 
 
 def offset_at(data: Column, head: int) -> Column:
-    """The place a head word points to: within the data, and a multiple of 32."""
-    place = small_number(word_at(data, F.lit(head * WORD_BYTES)))
-    return F.when((place <= F.length(data)) & (place % WORD_BYTES == 0), place)
+    """The place a head word points to, a multiple of 32; what lies beyond the data has no length there."""
+    return _digits(piece_at(data, F.lit(head * WORD_BYTES).cast("long"), F.lit(WORD_BYTES)), "[0-7].{5}[02468ACE]0")
+
+
+def length_at(data: Column, place: Column) -> Column:
+    """The length that stands at a place; null if the data ends before."""
+    return small_number(piece_at(data, place, F.lit(WORD_BYTES)))
 
 
 def bytes_at(data: Column, place: Column) -> Column:
     """Length-prefixed bytes; null if the data ends before."""
-    n = small_number(word_at(data, place))
-    return F.when(n <= F.length(data) - place - WORD_BYTES, F.substr(data, (place + WORD_BYTES + 1).cast("int"), n.cast("int")))
+    n = length_at(data, place)
+    raw = piece_at(data, place + WORD_BYTES, n)
+    return F.when(F.length(raw) == n, raw)
 
 
 def scalar(kind: str, word: Column) -> Column:
@@ -78,9 +93,11 @@ def zero(kind: Kind) -> Column:
 
 def words_at(data: Column, place: Column, n: Column, kind: str) -> Column:
     """n values one behind the other; null if the data ends before or one is not valid."""
-    values = F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda i: scalar(kind, F.substr(data, (place + i * WORD_BYTES + 1).cast("int"), F.lit(WORD_BYTES))))
-    some = F.when(n == 0, F.slice(F.array(scalar(kind, F.lit(b"\0" * 32))), 1, 0)).otherwise(F.when(~F.exists(values, lambda v: v.isNull()), values))
-    return F.when(n * WORD_BYTES <= F.length(data) - place, some)
+    size = n * WORD_BYTES
+    region = piece_at(data, place, size)
+    words = F.regexp_extract_all(F.hex(F.when(F.length(region) == size, region)), F.lit(".{64}"), F.lit(0))
+    values = F.transform(words, lambda word: scalar(kind, F.unhex(word)))
+    return F.when(~F.exists(values, lambda v: v.isNull()), values) if kind == "bool" else values
 
 
 def data_argument(data: Column, argument: Argument, head: int) -> Column:
@@ -91,9 +108,8 @@ def data_argument(data: Column, argument: Argument, head: int) -> Column:
     if kind.element:
         if kind.dynamic:
             place = offset_at(data, head)
-            n = small_number(word_at(data, place))
-            return words_at(data, place + WORD_BYTES, n, kind.element.base)
-        return words_at(data, F.lit(head * WORD_BYTES), F.lit(argument.head_words), kind.element.base)
+            return words_at(data, place + WORD_BYTES, length_at(data, place), kind.element.base)
+        return words_at(data, F.lit(head * WORD_BYTES).cast("long"), F.lit(argument.head_words).cast("long"), kind.element.base)
     if kind.dynamic:
         raw = bytes_at(data, offset_at(data, head))
         return raw.cast("string") if kind.base == "string" else raw

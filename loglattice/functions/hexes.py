@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 def lenient_bytes(text: Column) -> Column:
     """Bytes of hexadecimal text: a prefix 0x may stand before it, an odd number of
     digits gets a leading 0, and reading stops at the first other character. Null is empty."""
-    digits = F.regexp_extract(F.coalesce(text, F.lit("")), r"^(?:0[xX])?([0-9a-fA-F]*)", 1)
-    even = F.when(F.length(digits) % 2 == 1, F.concat(F.lit("0"), digits)).otherwise(digits)
-    return F.unhex(even)
+    # unhex puts the 0 before an odd number of digits itself.
+    return F.unhex(F.regexp_extract(F.coalesce(text, F.lit("")), r"^(?:0[xX])?([0-9a-fA-F]*)", 1))
 
 
 def hex_text(value: Column) -> Column:

@@ -201,6 +201,31 @@ def test_nested_abi(spark):
     assert events_of_abi(abi_json) == ["P((uint8 a, string[] b)[] x)"] and parse_event(events_of_abi(abi_json)[0]).canonical == "P((uint8,string[])[])"
 
 
+def test_array_bounds(spark):
+    """Places and lengths at and beyond the ends of the data, and empty and broken arrays."""
+    event = parse_event("E(bool[] flags, address[] who)")
+    flags, who = words(2, 1, 0), words(1, 2**160 - 1)
+    good = words(64, 64 + len(flags)) + flags + who
+    cases = {
+        "good": (good, [True, False], 1),
+        "none": (words(64, 96) + words(0) + who, [], 1),
+        "flag": (words(64, 160) + words(2, 1, 2) + who, None, 1),
+        "odd": (words(65) + good[32:], None, 1),
+        "far": (words(2**31 - 32) + good[32:], None, 1),
+        "farther": (words(2**255) + good[32:], None, 1),
+        "end": (words(len(good)) + good[32:], None, 1),
+        "long": (words(64, 64 + len(flags)) + words(2**31 - 1, 1, 0) + who, None, 1),
+        "past": (words(64, 64 + len(flags)) + words(9, 1, 0) + who, None, 1),
+        "last": (good[:-32], [True, False], None),
+    }
+    df = spark.createDataFrame([(n, d, [event.topic]) for n, (d, _, _) in cases.items()], "n string, data binary, topics array<string>")
+    values = abi.values_of(event, F.col("topics"), F.col("data"))
+    found = {r.n: r for r in df.select("n", *[c.alias(k) for k, c in values.items()]).collect()}
+    for name, (_, flags_, n) in cases.items():
+        assert found[name].flags == flags_, name
+        assert (None if found[name].who is None else [bytes(x) for x in found[name].who]) == (None if n is None else [b"\xff" * 20]), name
+
+
 def test_topics_guard(spark):
     event = parse_event("Transfer(address indexed from, address indexed to, uint256 value)")
     df = spark.createDataFrame([(["t", "a", "b"], bytes(32)), (["t", "a"], bytes(32)), (["t", "a", "b", "c"], b"")], "topics array<string>, data binary")
