@@ -127,3 +127,37 @@ def shown(value: Column, kind: Kind) -> Column:
     spark_type = shown_type(kind)
     arrow_type = to_arrow_type(spark_type)
     return F.arrow_udf(lambda values: pa.array((text_of(kind, v) for v in values.to_pylist()), arrow_type), spark_type)(value)
+
+
+def value_of(kind: Kind, given):
+    """The value that ``text_of`` shows so."""
+    if given is None:
+        raise Broken
+    if kind.element:
+        if kind.length not in (None, len(given)):
+            raise Broken
+        return [value_of(kind.element, v) for v in given]
+    if kind.fields:
+        return {name: value_of(own, given[name]) for name, own in kind.fields}
+    if kind.base in ("bool", "string"):
+        return given
+    try:
+        if kind.base.startswith(("uint", "int")):
+            return int(given).to_bytes(WORD, "big", signed=kind.base[0] == "i")
+        return bytes.fromhex(given.removeprefix("0x"))
+    except (ValueError, OverflowError) as wrong:
+        raise Broken from wrong
+
+
+def read(value: Column, kind: Kind) -> Column:
+    """A value out of the texts of ``shown``; null if one of them is not valid."""
+    spark_type = event_type(kind)
+    arrow_type = to_arrow_type(spark_type)
+
+    def one(given):
+        try:
+            return value_of(kind, given)
+        except Broken:
+            return None
+
+    return F.arrow_udf(lambda values: pa.array(map(one, values.to_pylist()), arrow_type), spark_type)(value)

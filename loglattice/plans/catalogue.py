@@ -317,6 +317,15 @@ def params_to_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project.params_json(shop_logs(spark, sf_dir, F.lit(spec.event.topic)), spec).select(F.col("log_index").alias("event_id"), "params")
 
 
+@register("WITH {events} SELECT event_id, event_type AS kind, CAST(user_id AS VARCHAR) AS user, CAST(cents AS VARCHAR) AS value FROM events_")
+def params_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON of raw logs, read back into the event's typed rows."""
+    project = shop()
+    spec = project.events[0]
+    logs = project.params_json(shop_logs(spark, sf_dir, F.lit(spec.event.topic)), spec)
+    return project.typed_params(logs, spec).select(F.col("log_index").alias("event_id"), "kind", u256.to_text(F.col("user")).alias("user"), u256.to_text(F.col("value")).alias("value"))
+
+
 @register("SELECT c_custkey, '0x' || substr(md5(c_name), 1, 40) AS address, lower(c_name) AS name FROM customer")
 def addr_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = hexes.lenient_bytes(F.concat(F.lit("0X"), F.upper(F.md5(F.col("c_name").cast("binary"))))).alias("raw")

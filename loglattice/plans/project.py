@@ -179,6 +179,25 @@ class Project:
         keep = ["chain_id", "block_number", "block_timestamp", "block_hash", "transaction_hash", "transaction_index", "log_index", "address"]
         return chosen.select(*keep, F.lit(spec.label).alias("event_name"), F.lower(F.get("topics", 0)).alias("topic0"), params.alias("params"))
 
+    def typed_params(self, logs: DataFrame, spec: EventSpec) -> DataFrame:
+        """The typed rows of an event out of logs with ``params``: what ``params_json`` shows, read back.
+
+        An argument that the JSON lacks, or that is not of its type, is zero.
+        """
+        by_name = {a.name: a for a in spec.event.arguments}
+        hashed = {n for n, a in by_name.items() if a.indexed and a.hashed}
+        text = T.StructType([T.StructField(n, T.StringType() if n in hashed else abi_nested.shown_type(by_name[n].kind)) for n in spec.columns])
+
+        def typed(name: str) -> Column:
+            kind, given = by_name[name].kind, F.col("_given")[name]
+            if name in hashed:
+                return hexes.lenient_bytes(given)
+            return F.coalesce(given if kind.base in ("bool", "string") and not kind.element and not kind.fields else abi_nested.read(given, kind), abi.zero(kind))
+
+        chosen = logs.where(spec.matches(F.array("topic0"), F.col("address")) & (F.col("chain_id") == spec.chain_id)).withColumn("_given", F.from_json("params", text))
+        meta = {"contract_address": hexes.right(hexes.lenient_bytes(F.col("address")), 20), "transaction_hash": hexes.right(hexes.lenient_bytes(F.col("transaction_hash")), 32)}
+        return chosen.select(*[meta.get(n, F.col(n)).alias(n) for n in spec.metadata], *[typed(n).alias(n) for n in spec.columns])
+
     def view_sql(self, spec: EventSpec) -> str:
         """The event as a projection over ``logs``: arguments out of the JSON, missing ones empty."""
         by_name = {a.name: a for a in spec.event.arguments}

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loglattice.functions import u256
-from loglattice.operators import compaction, fold, latest
+from loglattice.operators import compaction, fold, latest, metrics
 from loglattice.operators.tables import Table
 from loglattice.plans import config as configs
 from loglattice.plans.project import Project, split_statements, state_spec
@@ -121,6 +121,39 @@ def test_pages_and_decoding(spark, tmp_path):
         blocks.logs_of(blocks.read_pages(spark, str(tmp_path / "bad.jsonl")), 1).count()
 
 
+def test_params_are_read_back(spark):
+    """What params_json shows of every kind of argument comes back as decode gives it; broken JSON gives zeros."""
+    text = "E(address indexed who, string indexed tag, int256 below, bytes4 mark, uint256[] many, bool[2] flags, (uint8 a, bytes[] b) part, string note)"
+    project = Project.plan(configs.validate(configs.parse(f"name: n\nchains: [{{id: 1, contracts: [{{name: C, events: [{{event: '{text}'}}]}}]}}]")))
+    spec = project.events[0]
+    word = lambda v: v if isinstance(v, bytes) else u256.pack(v)
+    words = lambda *v: b"".join(map(word, v))
+    many, part, note = words(2, 7, 2**255), words(3, 64, 1, 32, 2, b"ab".ljust(32, b"\0")), words(2, b"hi".ljust(32, b"\0"))
+    head = 32 * 7
+    data = words(-5 % 2**256, b"mark".ljust(32, b"\0"), head, 1, 0, head + len(many), head + len(many) + len(part)) + many + part + note
+    row = (1, 5, "0x1", "0x" + "02" * 32, 0, 3, "0x" + "cc" * 20, [spec.event.topic, "0x" + "00" * 12 + "ab" * 20, "0x" + "ef" * 32], "0x" + data.hex())
+    logs = spark.createDataFrame([row], "chain_id long, block_number long, block_hash string, transaction_hash string, transaction_index long, log_index long, address string, topics array<string>, data string")
+    logs = logs.withColumn("block_timestamp", F.lit("2024-01-01").cast("timestamp"))
+    shown = project.params_json(logs, spec)
+    straight = project.decode(logs, spec)
+    own = [n for n in straight.columns if n != "_chain_id"]
+    assert project.typed_params(shown, spec).select(own).collect() == straight.select(own).collect()
+    assert u256.signed(straight.first().below) == -5 and [bytes(x) for x in straight.first().part.b] == [b"ab"]
+    broken = project.typed_params(shown.withColumn("params", F.lit('{"many": ["7", "x"], "mark": "0xzz", "note": "n"}')), spec).first()
+    assert broken.many == [] and bytes(broken.mark) == bytes(4) and broken.note == "n" and bytes(broken.below) == bytes(32) and broken.part.b == []
+
+
+def test_rates_by_stretches(spark):
+    rows = [("a", "2024-01-01 00:00:00", 10), ("a", "2024-01-01 00:00:10", 30), ("a", "2024-01-04 00:00:10", 30 + 259200), ("a", "2024-01-04 00:00:11", None), ("b", "2024-01-04 00:00:00", 5), (None, "2024-01-04 00:00:00", 1), ("a", None, 4)]
+    df = spark.createDataFrame(rows, "chain_id string, t string, n long").select("chain_id", F.col("t").cast("timestamp").alias("ts"), "n", F.lit(1).alias("_stretch0"))
+    found = metrics.rates(df, ["n"])
+    assert found.columns == [*df.columns, "n_per_s"]
+    assert sorted((str(r.chain_id), str(r.ts), r.n_per_s) for r in found.collect()) == [
+        ("None", "2024-01-04 00:00:00", 0.0), ("a", "2024-01-01 00:00:00", 0.0), ("a", "2024-01-01 00:00:10", 2.0), ("a", "2024-01-04 00:00:10", 1.0), ("a", "2024-01-04 00:00:11", 0.0), ("a", "None", 0.0), ("b", "2024-01-04 00:00:00", 0.0),
+    ]
+    assert metrics.rates(df.limit(0), ["n"]).count() == 0
+
+
 def test_pacing():
     admission = pacing.Admission(target=6.0, least=100, most=10_000)
     assert admission.blocks == pacing.FIRST_BLOCKS
