@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from loglattice.operators.latest import latest
 
 
-def rates(samples: DataFrame, counters: list[str], chain: str = "chain_id", time: str = "ts", stretch: str = "day") -> DataFrame:
+def rates(samples: DataFrame, counters: list[str], chain: str = "chain_id", time: str = "ts", stretch: str = "day", ties: tuple[str, ...] = (), still: float = 0.0) -> DataFrame:
     """Adds ``<counter>_per_s``: the growth since the chain's sample before, by the seconds; 0 for the first.
 
+    Samples of one time follow each other by ``ties``; where no time has passed
+    since the sample before, the rate is ``still``.
+
     A chain's samples are dealt by stretches of time (a unit of ``date_trunc``),
     so that no task has all of them; those without a time get 0. The first sample of a stretch is compared with the last of the stretch
     before that has any; these are found among one row a stretch.
@@ -19,15 +22,16 @@ def rates(samples: DataFrame, counters: list[str], chain: str = "chain_id", time
     part, last = (next(n for k in range(len(taken) + 1) if (n := f"_{own}{k}") not in taken) for own in ("stretch", "last"))
     own = [time, *counters]
     parted = samples.withColumn(part, F.date_trunc(stretch, F.col(time)))
-    ends = parted.where(F.col(part).isNotNull()).groupBy(chain, part).agg(*[F.max_by(c, time).alias(c) for c in own])
+    ends = parted.where(F.col(part).isNotNull()).groupBy(chain, part).agg(*[F.max_by(c, F.struct(time, *ties) if ties else F.col(time)).alias(c) for c in own])
     earlier = F.lag(F.struct(*own)).over(Window.partitionBy(chain).orderBy(part))
     ends = ends.select(F.col(chain).alias(f"{last}c"), F.col(part).alias(f"{last}p"), earlier.alias(last))
     met = parted.join(ends, parted[chain].eqNullSafe(F.col(f"{last}c")) & (parted[part] == F.col(f"{last}p")), "left")
-    before = Window.partitionBy(chain, part).orderBy(time)
+    before = Window.partitionBy(chain, part).orderBy(time, *ties)
     first = F.row_number().over(before) == 1
     lagged = {c: F.when(first, F.col(last)[c]).otherwise(F.lag(c).over(before)) for c in own}
     micros = F.timestamp_diff("MICROSECOND", lagged[time], F.col(time))
-    rate = lambda c: F.coalesce(F.when(micros > 0, (F.col(c) - lagged[c]) * F.lit(1e6) / micros), F.lit(0.0))
+    growth = {c: F.col(c) - lagged[c] for c in counters}
+    rate = lambda c: F.coalesce(F.when(micros > 0, growth[c] * F.lit(1e6) / micros).when((micros == 0) & growth[c].isNotNull(), F.lit(still)), F.lit(0.0))
     return met.select(*[F.col(f"`{c}`") for c in samples.columns], *[rate(c).alias(f"{c}_per_s") for c in counters])
 
 
